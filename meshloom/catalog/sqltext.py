@@ -153,20 +153,20 @@ part("variants", ("scaled",), gated_variants("scaled", "360e6"))
 
 
 def split_parts(prefix: str, source: str, needs: tuple[str, ...]) -> None:
-    """Parts ``{prefix}base``, ``{prefix}large``, ``{prefix}split`` over a manifest ``source``."""
-    part(f"{prefix}base", needs, f"""
+    """Parts ``{prefix}first``, ``{prefix}large``, ``{prefix}split`` over a manifest ``source``."""
+    part(f"{prefix}first", needs, f"""
 SELECT base_sample_id, geometry_family, scale_bucket, radius_ratio FROM (
   SELECT *, row_number() OVER (PARTITION BY base_sample_id ORDER BY sample_id) AS rn FROM {source}) WHERE rn = 1""")
-    part(f"{prefix}large", (f"{prefix}base",), f"""
+    part(f"{prefix}large", (f"{prefix}first",), f"""
 SELECT base_sample_id FROM (
   SELECT base_sample_id, count(*) OVER () AS n,
          row_number() OVER (ORDER BY {digest(42, 'base_sample_id', "'large'")}, base_sample_id) AS rk
-  FROM {prefix}base WHERE scale_bucket = 'large')
+  FROM {prefix}first WHERE scale_bucket = 'large')
 WHERE rk <= greatest(1, floor(n * 0.5::DOUBLE))""")
     part(f"{prefix}held", (f"{prefix}large",), f"""
 SELECT *, base_sample_id IN (SELECT base_sample_id FROM {prefix}large) AS held_large,
        coalesce(geometry_family = 'l_bracket' AND radius_ratio BETWEEN 0.10::DOUBLE AND 0.20::DOUBLE, FALSE) AS held_ratio
-FROM {prefix}base""")
+FROM {prefix}first""")
     part(f"{prefix}split", (f"{prefix}held",), f"""
 SELECT *, CASE WHEN held_large OR held_ratio THEN 'test'
                WHEN geometry_family IS NULL OR scale_bucket IS NULL THEN 'train'
