@@ -116,7 +116,11 @@ WALKS = [(STRIDE[p[0]], STRIDE[p[0]] + STRIDE[p[1]]) for p in permutations(range
 
 def mesh_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, size = F.col("p_partkey"), F.col("p_size")
-    return table(spark, sf_dir, "part").select(
+    # A row grows to hundreds of nodes and elements: spread the rows while they are small.
+    part = table(spark, sf_dir, "part").repartition(
+        spark.sparkContext.defaultParallelism, "p_partkey"
+    )
+    return part.select(
         key.alias("sample_id"),
         (1 + size % 3).cast("int").alias("a"),
         (1 + key % 3).cast("int").alias("b"),
