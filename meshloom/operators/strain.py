@@ -1,10 +1,11 @@
 """Tetrahedron volumes and strains as column expressions.
 
 The shape-function gradient of a quadratic tetrahedron is linear in the barycentric
-coordinates, so the Jacobian at any point is a blend of the four corner
-Jacobians. Each corner one is a short difference formula; the four
-integration points then cost one multiply-add per entry. A linear tetrahedron has
-a single Jacobian, the same at every point.
+coordinates. At corner m the derivative of a field along L_v is 3·f(m) for v = m and
+4·f(mid(m, v)) − f(v) otherwise, and over all four corners these add up to 4 times
+the three mid-edge values around v. An integration point is one corner weighted
+more than the rest, so its derivative is a blend of those two short formulas.
+A linear tetrahedron has a single Jacobian, the same at every point.
 """
 
 from __future__ import annotations
@@ -36,26 +37,8 @@ def _mid(a: int, b: int) -> int:
     return MID_EDGE[min(a, b), max(a, b)]
 
 
-def _corner_slope(corner: int, axis: int) -> dict[int, float]:
-    """Weights of d/d(axis) at ``corner``: gradient along L_axis minus along L_0.
-
-    At a corner c the derivative of a quadratic field along L_a is
-    4·mid(c,a) − node(a) for a ≠ c, and 3·node(c) for a = c.
-    """
-    weights: dict[int, float] = {}
-    for vertex, sign in ((axis, 1.0), (0, -1.0)):
-        terms = {vertex: 3.0} if vertex == corner else {_mid(corner, vertex): 4.0, vertex: -1.0}
-        for node, w in terms.items():
-            weights[node] = weights.get(node, 0.0) + sign * w
-    return weights
-
-
-def _combine(points: Column, name: str, weights: dict[int, float]) -> Column:
-    total = None
-    for node, w in sorted(weights.items()):
-        term = points[node][name] * F.lit(w)
-        total = term if total is None else total + term
-    return total
+def _mids(vertex: int) -> list[int]:
+    return [_mid(vertex, other) for other in range(4) if other != vertex]
 
 
 def _det(m: Sequence[Sequence[Column]]) -> Column:
@@ -67,23 +50,21 @@ def _matrix(prefix: str) -> list[list[Column]]:
     return [[F.col(f"{prefix}{r}{c}") for c in range(3)] for r in range(3)]
 
 
-def _strain_of(jac: list[list[Column]], grad: list[list[Column]], det: Column) -> list[Column]:
-    """Voigt strain from J[r][k] = ∂x_k/∂ξ_r and G[r][j] = ∂u_j/∂ξ_r (by cofactors)."""
+def _cofactor(k: int, r: int) -> Column:
+    """Entry (k, r) of the adjugate of J[r][k] = ∂x_k/∂ξ_r."""
+    (a, b), (c, d) = [i for i in range(3) if i != r], [i for i in range(3) if i != k]
+    j = _matrix("j")
+    minor = j[a][c] * j[b][d] - j[a][d] * j[b][c]
+    return minor if (k + r) % 2 == 0 else -minor
 
-    def inverse(k: int, r: int) -> Column:
-        rows = [i for i in range(3) if i != r]
-        cols = [i for i in range(3) if i != k]
-        minor = (
-            jac[rows[0]][cols[0]] * jac[rows[1]][cols[1]]
-            - jac[rows[0]][cols[1]] * jac[rows[1]][cols[0]]
-        )
-        return (minor if (k + r) % 2 == 0 else -minor) / det
+
+def _voigt_strain() -> list[Column]:
+    """Strain from the scaled cofactors ``i{k}{r}`` and G[r][j] = ∂u_j/∂ξ_r."""
 
     def slope(j: int, k: int) -> Column:
-        total = inverse(k, 0) * grad[0][j]
-        for r in (1, 2):
-            total = total + inverse(k, r) * grad[r][j]
-        return total
+        return sum(
+            (F.col(f"i{k}{r}") * F.col(f"g{r}{j}") for r in (1, 2)), F.col(f"i{k}0") * F.col(f"g0{j}")
+        )
 
     normal = [slope(i, i) for i in range(3)]
     shear = [slope(i, j) + slope(j, i) for i, j in ((0, 1), (1, 2), (0, 2))]
@@ -124,43 +105,70 @@ def tet4_strains(elements: DataFrame, nodes: DataFrame, keep: Sequence[str] = ()
 
 
 def _finish(slopes: DataFrame, head: list[str], volume: Column) -> DataFrame:
+    """Strain columns; a vanishing Jacobian scales every cofactor, hence the strain, to 0."""
     flat = F.abs("det") < DEGENERATE
-    strain = _strain_of(_matrix("j"), _matrix("g"), F.when(flat, 1.0).otherwise(F.col("det")))
-    return slopes.select(
-        *head,
-        volume.alias("volume"),
-        *[F.when(flat, 0.0).otherwise(e).alias(n) for n, e in zip(STRAINS, strain)],
+    scaled = slopes.withColumn("_inv", F.when(flat, 0.0).otherwise(F.lit(1.0) / F.col("det")))
+    inverse = scaled.withColumns(
+        {f"i{k}{r}": _cofactor(k, r) * F.col("_inv") for k in range(3) for r in range(3)}
     )
+    return inverse.select(
+        *head, volume.alias("volume"), *[e.alias(n) for n, e in zip(STRAINS, _voigt_strain())]
+    )
+
+
+def _integration_points() -> Column:
+    """Constant list: per point and vertex, which node the corner formula takes and how."""
+
+    def term(corner: int, vertex: int) -> Column:
+        own = corner == vertex
+        return F.struct(
+            F.lit(corner if own else _mid(corner, vertex)).alias("node"),
+            F.lit(3.0 if own else 4.0).alias("times"),
+            F.lit(0.0 if own else 1.0).alias("minus"),
+        )
+
+    points = [
+        F.struct(F.lit(m).alias("gp"), *[term(m, v).alias(f"v{v}") for v in range(4)])
+        for m in range(4)
+    ]
+    return F.explode(F.array(*points))
 
 
 def _at_integration_points(
     elements: DataFrame, nodes: DataFrame, names: dict[str, Sequence[str]], keep: Sequence[str]
 ) -> DataFrame:
-    """One row per (element, gp) with blended slope matrices, gp in 0..3."""
+    """One row per (element, gp) with ∂/∂L_a − ∂/∂L_0 of every value, gp in 0..3."""
     head = ["sample_id", "elem_id", *keep]
     values = [n for group in names.values() for n in group]
-    points = F.col("points")
-    corner = F.array(
+
+    def at(node: Column | int, name: str) -> Column:
+        return F.get("points", node if isinstance(node, Column) else F.lit(node))[name]
+
+    far = {
+        f"far{v}{n}": F.lit(4.0 * GAUSS_FAR) * sum((at(m, n) for m in _mids(v)[1:]), at(_mids(v)[0], n))
+        for v in range(4)
+        for n in values
+    }
+    gathered = gather_points(elements, nodes, values, keep)
+    spread = gathered.select(*head, "points", *[c.alias(n) for n, c in far.items()])
+    spread = spread.select("*", _integration_points().alias("at"))
+    near = F.lit(GAUSS_NEAR - GAUSS_FAR)
+    along = {}
+    for v in range(4):
+        rule = F.col(f"at.v{v}")
+        for n in values:
+            corner = rule["times"] * at(rule["node"], n) - rule["minus"] * at(v, n)
+            along[f"d{v}{n}"] = near * corner + F.col(f"far{v}{n}")
+    derived = spread.select(*head, "at.gp", *[c.alias(n) for n, c in along.items()])
+    return derived.select(
+        *head,
+        "gp",
         *[
-            F.struct(
-                *[
-                    _combine(points, n, _corner_slope(m, axis)).alias(f"{prefix}{axis - 1}{c}")
-                    for prefix, group in names.items()
-                    for axis in (1, 2, 3)
-                    for c, n in enumerate(group)
-                ]
-            )
-            for m in range(4)
-        ]
-    )
-    cells = [f"{p}{r}{c}" for p in names for r in range(3) for c in range(3)]
-    pts = gather_points(elements, nodes, values, keep).select(*head, corner.alias("cs"))
-    cs = F.col("cs")
-    totals = F.struct(*[sum((cs[m][c] for m in (1, 2, 3)), cs[0][c]).alias(c) for c in cells])
-    rows = pts.select(*head, totals.alias("t"), F.posexplode("cs").alias("gp", "c"))
-    near, far = F.lit(GAUSS_NEAR - GAUSS_FAR), F.lit(GAUSS_FAR)
-    return rows.select(
-        *head, "gp", *[(near * F.col(f"c.{c}") + far * F.col(f"t.{c}")).alias(c) for c in cells]
+            (F.col(f"d{row + 1}{n}") - F.col(f"d0{n}")).alias(f"{prefix}{row}{col}")
+            for prefix, group in names.items()
+            for row in range(3)
+            for col, n in enumerate(group)
+        ],
     ).withColumn("det", _det(_matrix("j")))
 
 

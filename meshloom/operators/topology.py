@@ -38,13 +38,17 @@ def clique_edges(elements: DataFrame, width: int) -> DataFrame:
     ``width`` is the fixed element width (4 or 10), so an element never yields
     more than 45 pairs.
     """
-    pairs = F.array(
-        *[
-            F.struct(F.col("nodes")[i].alias("src"), F.col("nodes")[j].alias("dst"))
-            for i, j in combinations(range(width), 2)
-        ]
+    return elements.select("sample_id", "nodes", _choices(width, 2)).select(
+        "sample_id",
+        F.get("nodes", F.col("pick")[0]).alias("src"),
+        F.get("nodes", F.col("pick")[1]).alias("dst"),
     )
-    return elements.select("sample_id", F.explode(pairs).alias("e")).select("sample_id", "e.*")
+
+
+def _choices(width: int, size: int) -> Column:
+    """Explode the ways to pick ``size`` of ``width`` local positions, in order."""
+    picks = [F.array(*map(F.lit, c)) for c in combinations(range(width), size)]
+    return F.explode(F.array(*picks)).alias("pick")
 
 
 def undirected_edges(elements: DataFrame, width: int) -> DataFrame:
@@ -94,19 +98,18 @@ def build_graph(elements: DataFrame, nodes: DataFrame, mode: str = "tet4") -> Da
 
 def element_faces(elements: DataFrame) -> DataFrame:
     """The four triangles of each tetrahedron as sorted node triples."""
-    nodes = F.col("nodes")
-    triples = [
-        F.array_sort(F.array(*[nodes[i] for i in triple]))
-        for triple in combinations(range(CORNERS), 3)
-    ]
-    return elements.select("sample_id", F.explode(F.array(*triples)).alias("face"))
+    picked = elements.select("sample_id", "nodes", _choices(CORNERS, 3)).select(
+        "sample_id", *[F.get("nodes", F.col("pick")[i]).alias(f"p{i}") for i in range(3)]
+    )
+    ends = [F.least("p0", "p1", "p2"), F.greatest("p0", "p1", "p2")]
+    middle = F.col("p0") + F.col("p1") + F.col("p2") - ends[0] - ends[1]
+    return picked.select("sample_id", ends[0].alias("n0"), middle.alias("n1"), ends[1].alias("n2"))
 
 
 def boundary_faces(elements: DataFrame) -> DataFrame:
     """Triangles that belong to exactly one tetrahedron."""
     return (
         element_faces(elements)
-        .select("sample_id", *[F.col("face")[i].alias(f"n{i}") for i in range(3)])
         .groupBy("sample_id", "n0", "n1", "n2")
         .agg(F.count(F.lit(1)).alias("uses"))
         .where(F.col("uses") == 1)

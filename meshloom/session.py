@@ -13,6 +13,13 @@ RUNTIME_SETTINGS = {
     # A per-sample join followed by a per-sample aggregate shares one exchange;
     # this lets a skewed partition still be split there.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Size estimates miss the growth of exploded rows, so nothing is broadcast on an
+    # estimate: only measured shuffle sizes (or an explicit bounded hint) allow it.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32m",
+    # HotSpot never compiles a method above 8000 bytes; beyond that, split expressions
+    # outside whole-stage code run far faster than one interpreted giant.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.session.timeZone": "UTC",
 }
 
