@@ -19,6 +19,8 @@ from meshloom.sources import derived as d
 TOLERANCE = DEFAULTS.checks.coherence_tolerance
 # Volumes are near 1e-6 and strains near 1e-3, so they are compared in micro units.
 MICRO = 1e6
+# Averaged stresses are multiples of simple fractions in pascal; ksi keeps them off rounding ties.
+KSI = 6894757.293168
 
 
 def _strain_view(df, *keys, digits=5):
@@ -92,15 +94,15 @@ def voigt_tensor_roundtrip(spark, sf):
 
 
 @query("element_to_node_average", with_parts("nodes nodeavg", f"""
-SELECT n.sample_id, n.node_id, {sr('coalesce(s_xx, 0.0) / 1e6', 4, 's_xx')}, {sr('coalesce(s_yz, 0.0) / 1e6', 4, 's_yz')},
-       {sr('coalesce(von_mises, 0.0) / 1e6', 4, 'von_mises')}
+SELECT n.sample_id, n.node_id, {sr('coalesce(s_xx, 0.0) / 6894757.293168e0', 6, 's_xx')}, {sr('coalesce(s_yz, 0.0) / 6894757.293168e0', 6, 's_yz')},
+       {sr('coalesce(von_mises, 0.0) / 6894757.293168e0', 6, 'von_mises')}
 FROM nodes n LEFT JOIN nodeavg a ON a.sample_id = n.sample_id AND a.node_id = n.node_id"""))
 def element_to_node_average(spark, sf):
     """Vector and scalar averages; mid-edge nodes are touched by no linear element, so 0."""
     keys = d.mesh_nodes(spark, sf).select("sample_id", "node_id")
     got = element_to_node(d.solved_elements(spark, sf), keys, ["s_xx", "s_yz", "von_mises"])
     return got.select(
-        "sample_id", "node_id", *[r(F.col(c) / 1e6, 4, c) for c in ("s_xx", "s_yz", "von_mises")]
+        "sample_id", "node_id", *[r(F.col(c) / KSI, 6, c) for c in ("s_xx", "s_yz", "von_mises")]
     )
 
 

@@ -25,7 +25,7 @@ def assign_batches(
     """
     digest = shuffle_key(seed, "sample_id", f"epoch{epoch}")
     mixed = F.col("split") == shuffled
-    order = F.when(mixed, digest).otherwise(F.col("sample_id"))
+    order = F.when(mixed, digest).otherwise(F.col("sample_id").cast("string"))
     bins = F.when(mixed, F.substring("_order", 1, 3)).otherwise(F.substring("_order", 1, prefix))
     ranked = binned_rank(
         samples.withColumn("_order", order),

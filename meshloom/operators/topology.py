@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from meshloom.functions.encode import face_axis, face_side
 from meshloom.functions.stress import norm3
+from meshloom.operators.ranking import binned_rank
 
 CORNERS = 4
 FACE_TOLERANCE = 0.02
@@ -96,6 +97,27 @@ def build_graph(elements: DataFrame, nodes: DataFrame, mode: str = "tet4") -> Da
     return edge_features(undirected_edges(graph_nodes(elements, mode), width), nodes)
 
 
+def node_positions(nodes: DataFrame, width: int = 4096) -> DataFrame:
+    """0-based position of each node within its sample, by node id.
+
+    Ids are ranked in blocks of ``width`` consecutive ids, so a giant mesh is not
+    sorted in one task.
+    """
+    block = F.floor(F.col("node_id") / width)
+    ranked = binned_rank(
+        nodes.select("sample_id", "node_id"), ["sample_id"], [F.col("node_id")], block, "_rank"
+    )
+    return ranked.select("sample_id", "node_id", (F.col("_rank") - 1).alias("position"))
+
+
+def positional_edges(edges: DataFrame, positions: DataFrame) -> DataFrame:
+    """Edges with node ids replaced by positions."""
+    for end in ("src", "dst"):
+        lookup = positions.select("sample_id", F.col("node_id").alias(end), "position")
+        edges = edges.join(lookup, ["sample_id", end]).drop(end).withColumnRenamed("position", end)
+    return edges
+
+
 def element_faces(elements: DataFrame) -> DataFrame:
     """The four triangles of each tetrahedron as sorted node triples."""
     picked = elements.select("sample_id", "nodes", _choices(CORNERS, 3)).select(
