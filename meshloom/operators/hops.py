@@ -3,26 +3,30 @@
 All samples and all starts advance together, one join per hop. The mesh graph is
 undirected, so the neighbours of hop k lie on hops k-1, k or k+1: a new
 frontier is checked against the last two only, and each round costs the size of
-the frontier. Every frontier is written to the shared checkpoint folder, so losing
-executors repeats one hop at most.
+the frontier. Every frontier is a table in the shared folder, one partition per hop,
+so losing executors repeats one hop at most and the result is read back as a whole.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from meshloom.functions.uniform import shuffle_key
-from meshloom.session import cut_lineage
+from meshloom.session import cut_lineage, scratch_path
 
 KEY = ["sample_id", "start", "node_id"]
 
 
 def prepared_edges(edges: DataFrame) -> DataFrame:
-    """Directed edges, placed by (sample, src) once and reused by every hop."""
-    return cut_lineage(edges.select("sample_id", "src", "dst").repartition("sample_id", "src"))
+    """Directed edges, placed and sorted by (sample, src) once for all hops.
+
+    The checkpoint keeps placement and order, so a hop moves only its frontier.
+    """
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = edges.select("sample_id", "src", "dst").repartition(parts, "sample_id", "src")
+    return cut_lineage(placed.sortWithinPartitions("sample_id", "src"))
 
 
 def breadth_first(edges: DataFrame, sources: DataFrame) -> DataFrame:
@@ -31,22 +35,30 @@ def breadth_first(edges: DataFrame, sources: DataFrame) -> DataFrame:
     ``sources``: (sample_id, start, node_id); rows with the same ``start`` act as one
     set. ``edges`` should come from :func:`prepared_edges`.
     """
-    step = edges.select(F.col("sample_id"), F.col("src").alias("node_id"), F.col("dst"))
-    frontier = cut_lineage(sources.select(*KEY).distinct())
-    seen = frontier
-    levels = [frontier.withColumn("hops", F.lit(0))]
-    while True:
+    spark = edges.sparkSession
+    first = sources.select(*KEY).distinct()
+    path = scratch_path(spark, "hops")
+    step = edges.select("sample_id", F.col("src").alias("node_id"), "dst")
+
+    def stored(rows: DataFrame, hop: int) -> tuple[DataFrame, int]:
+        seen_rows = Observation()
+        folder = f"{path}/hops={hop}"
+        rows.observe(seen_rows, F.count(F.lit(1)).alias("n")).write.parquet(folder)
+        return spark.read.schema(first.schema).parquet(folder), seen_rows.get["n"]
+
+    frontier, found = stored(first, 0)
+    seen, hop = frontier, 0
+    while found:
+        hop += 1
         reached = (
             frontier.join(step, ["sample_id", "node_id"])
             .select("sample_id", "start", F.col("dst").alias("node_id"))
             .distinct()
         )
-        fresh = cut_lineage(reached.join(seen, KEY, "left_anti"))
-        if fresh.isEmpty():
-            return reduce(DataFrame.unionByName, levels)
-        levels.append(fresh.withColumn("hops", F.lit(len(levels))))
-        seen = frontier.unionByName(fresh)
-        frontier = fresh
+        fresh, found = stored(reached.join(seen, KEY, "left_anti"), hop)
+        seen, frontier = frontier.unionByName(fresh), fresh
+    levels = StructType([*first.schema.fields, StructField("hops", IntegerType())])
+    return spark.read.schema(levels).parquet(path)
 
 
 def node_universe(nodes: DataFrame, edges: DataFrame, universe: str) -> DataFrame:

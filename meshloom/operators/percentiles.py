@@ -70,26 +70,43 @@ def _by_selection(rows: DataFrame, keys: list[str], named: dict[str, float]) ->
     wanted = sketch.select(
         *keys, F.explode(F.array(*[bracket(i, p) for i, p in enumerate(probs)])).alias("_b")
     ).select(*keys, "_b.*")
-    # Everything under the bracket falls in one group (null) and combines map-side.
+    # Below and above the bracket a key keeps one row each, combined map-side; only the
+    # distinct values inside it are ordered.
+    side = F.when(F.col("_v") < F.col("lo"), -1).when(F.col("_v") > F.col("hi"), 1).otherwise(0)
     tallies = (
         rows.join(F.broadcast(wanted), keys)
-        .where(F.col("_v") <= F.col("hi"))
-        .groupBy(*keys, "i", "pos", F.when(F.col("_v") >= F.col("lo"), F.col("_v")).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
+        .withColumn("_side", side)
+        .groupBy(*keys, "i", "pos", "_side", F.when(F.col("_side") == 0, F.col("_v")).alias("_at"))
+        .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
     )
-    running = Window.partitionBy(*keys, "i").orderBy(F.col("_v").asc_nulls_first())
+    running = Window.partitionBy(*keys, "i").orderBy("_side", "_at")
     reached = tallies.withColumn("_cum", F.sum("_c").over(running))
     low_rank, high_rank = F.floor("pos"), F.ceil("pos")
+    inside = F.col("_side") == 0
+
+    def first_beyond(rank: Column) -> Column:
+        return F.min(F.when(inside & (F.col("_cum") > rank), F.col("_at")))
+
     found = reached.groupBy(*keys, "i", "pos").agg(
-        F.min(F.when(F.col("_cum") > low_rank, F.col("_v"))).alias("_lo"),
-        F.min(F.when(F.col("_cum") > high_rank, F.col("_v"))).alias("_hi"),
-        F.max(F.when(F.col("_v").isNull(), F.col("_cum"))).alias("_below"),
+        first_beyond(low_rank).alias("_lo"),
+        first_beyond(high_rank).alias("_hi"),
+        F.coalesce(F.max(F.when(F.col("_side") == -1, F.col("_c"))), F.lit(0)).alias("_below"),
+        F.max(F.when(F.col("_side") < 1, F.col("_cum"))).alias("_upto"),
+        F.max(F.when(F.col("_side") == -1, F.col("_max"))).alias("_under"),
+        F.min(F.when(F.col("_side") == 1, F.col("_min"))).alias("_over"),
     )
-    missed = F.col("_hi").isNull() | (F.coalesce("_below", F.lit(0)) > low_rank)
+
+    def value_at(rank: Column, beyond: str) -> Column:
+        """Inside the bracket, or its immediate neighbour; anything else is a failure."""
+        return (
+            F.when((rank >= F.col("_below")) & (rank < F.col("_upto")), F.col(beyond))
+            .when(rank == F.col("_below") - 1, F.col("_under"))
+            .when(rank == F.col("_upto"), F.col("_over"))
+            .otherwise(F.raise_error(F.lit("percentile bracket missed its rank")).cast("double"))
+        )
+
     weight = F.col("pos") - low_rank
-    exact = F.when(missed, F.raise_error(F.lit("percentile bracket missed its rank"))).otherwise(
-        F.col("_lo") * (F.lit(1.0) - weight) + F.col("_hi") * weight
-    )
+    exact = value_at(low_rank, "_lo") * (F.lit(1.0) - weight) + value_at(high_rank, "_hi") * weight
     return (
         found.select(*keys, "i", exact.cast("double").alias("_p"))
         .groupBy(*keys)
