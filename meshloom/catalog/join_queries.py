@@ -69,7 +69,7 @@ def bases_by_safety_factor(spark, sf):
 
 @query("split_mapped_to_variants", with_parts("splitmani", "SELECT sample_id, split FROM splitmani"))
 def split_mapped_to_variants(spark, sf):
-    return assign_splits(d.variants(spark, sf), DEFAULTS.splitting).select("sample_id", "split")
+    return assign_splits(d.stored_variants(spark, sf), DEFAULTS.splitting).select("sample_id", "split")
 
 
 _DONE_SQL = "'42|' || base_sample_id || '|done'"

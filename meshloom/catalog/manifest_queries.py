@@ -182,7 +182,7 @@ def coherence_filter(spark, sf):
 
 @query("split_filter", with_parts("splitmani", "SELECT sample_id FROM splitmani WHERE split = 'val'"))
 def split_filter(spark, sf):
-    manifest = assign_splits(d.variants(spark, sf), DEFAULTS.splitting)
+    manifest = assign_splits(d.stored_variants(spark, sf), DEFAULTS.splitting)
     return filters.in_split(manifest, "val").select("sample_id")
 
 

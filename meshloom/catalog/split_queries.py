@@ -15,7 +15,7 @@ RULES = DEFAULTS.splitting
 
 
 def split_manifest(spark, sf):
-    return splits.assign_splits(d.variants(spark, sf), RULES)
+    return splits.assign_splits(d.stored_variants(spark, sf), RULES)
 
 
 @query("assign_splits", with_parts("splitmani", """

@@ -143,9 +143,8 @@ _SOLVER_SQL = "von_mises * (1.0::DOUBLE + 0.1::DOUBLE * (CASE WHEN sample_id % 7
 WITH pairs AS (SELECT sample_id, von_mises AS vm, {_SOLVER_SQL} AS solver FROM solved) {_COHERENCE_TAIL}"""))
 def coherence_element_vm(spark, sf):
     """The solver's element von Mises is off by a tenth for every seventh sample."""
-    mine = _recomputed(spark, sf)
-    solver = mine.select("sample_id", "elem_id", (F.col("vm") * _off()).alias("solver_vm"))
-    return _coherence_view(coherence.by_element(mine, solver, TOLERANCE))
+    pairs = _recomputed(spark, sf).withColumn("solver_vm", F.col("vm") * _off())
+    return _coherence_view(coherence.by_element_pairs(pairs, TOLERANCE))
 
 
 @query("coherence_element_stress", with_parts("qstrain lpt", f"""

@@ -27,7 +27,8 @@ def percentiles_by(
 ) -> DataFrame:
     """One row per key with one column per entry of ``named`` (name -> probability).
 
-    Null values are ignored. With no keys the result is a single row.
+    Null values are ignored. With no keys the result is a single row. Group sizes are
+    counted first (a job over the key columns alone) to choose the path.
     """
     keys = list(keys)
     value = F.col(value) if isinstance(value, str) else value
@@ -36,15 +37,21 @@ def percentiles_by(
         return _by_selection(rows.withColumn("_all", F.lit(1)), ["_all"], named).drop("_all")
 
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.where(F.col("_n") > hot_rows).select(*keys)
+    if hot.isEmpty():
+        return _by_group(rows, keys, named)
     # At most (all rows / hot_rows) keys can be hot, which bounds this broadcast.
-    hot = F.broadcast(counts.where(F.col("_n") > hot_rows).select(*keys))
-    cold = (
-        rows.join(hot, keys, "left_anti")
-        .groupBy(*keys)
+    hot = F.broadcast(hot)
+    cold = _by_group(rows.join(hot, keys, "left_anti"), keys, named)
+    return cold.unionByName(_by_selection(rows.join(hot, keys, "left_semi"), keys, named))
+
+
+def _by_group(rows: DataFrame, keys: list[str], named: dict[str, float]) -> DataFrame:
+    return (
+        rows.groupBy(*keys)
         .agg(F.percentile("_v", F.array(*map(F.lit, named.values()))).alias("_p"))
         .select(*keys, *[F.col("_p")[i].alias(n) for i, n in enumerate(named)])
     )
-    return cold.unionByName(_by_selection(rows.join(hot, keys, "left_semi"), keys, named))
 
 
 def _by_selection(rows: DataFrame, keys: list[str], named: dict[str, float]) -> DataFrame:

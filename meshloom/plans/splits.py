@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from meshloom.config import Splitting
 from meshloom.functions.uniform import shuffle_key
 from meshloom.operators.ranking import shuffle_rank
+from meshloom.session import store_once
 
 
 class SplitLeakage(Exception):
@@ -77,8 +78,12 @@ def stratified(bases: DataFrame, rules: Splitting) -> DataFrame:
 
 
 def base_splits(manifest: DataFrame, rules: Splitting) -> DataFrame:
-    """One row per base with its split and what held it out."""
-    return stratified(ratio_holdout(large_holdout(one_row_per_base(manifest), rules), rules), rules)
+    """One row per base with its split and what held it out.
+
+    The base table is stored once: both ranking passes count it and then join it.
+    """
+    bases = store_once(one_row_per_base(manifest), "bases")
+    return stratified(ratio_holdout(large_holdout(bases, rules), rules), rules)
 
 
 def assign_splits(manifest: DataFrame, rules: Splitting) -> DataFrame:

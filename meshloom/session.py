@@ -64,3 +64,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def store_once(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` under the shared folder and read it back.
+
+    For an expensive table that several later steps read: it is computed once, later
+    reads prune columns, and its true size is known to the planner.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

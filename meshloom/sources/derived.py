@@ -20,6 +20,7 @@ from meshloom.operators.gather import element_to_node
 from meshloom.operators.scaling import field_summary, load_variants
 from meshloom.operators.strain import STRAINS, tet10_strains
 from meshloom.operators.topology import corners, lump_forces, mark_faces, mark_surface
+from meshloom.session import store_once
 
 # Order priority to geometry family.
 PRIORITY_FAMILY = {
@@ -106,6 +107,11 @@ def variants(spark: SparkSession, sf_dir: str, settings: Settings = DEFAULTS) ->
     )
 
 
+def stored_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The finished manifest as a stored table, for steps that read it several times."""
+    return store_once(variants(spark, sf_dir), "variants")
+
+
 # --- meshes --------------------------------------------------------------------------
 
 STRIDE = {0: 20000, 1: 200, 2: 2}
