@@ -11,6 +11,8 @@ from meshloom.catalog.sqltext import with_parts
 from meshloom.config import DEFAULTS
 from meshloom.operators import reports, topology
 from meshloom.operators.gather import element_to_node
+from meshloom.operators.scaling import load_variants, nonzero_fields, zero_fields
+from meshloom.session import store_once
 from meshloom.sources import derived as d
 
 
@@ -138,11 +140,20 @@ def diameter_report(spark, sf):
 
 @query("run_summary", with_parts("variants", """
 WITH b AS (SELECT base_sample_id, bool_or(has_multihot_nodes) AS m, count(*) AS v, count(*) FILTER (WHERE coherence_pass) AS c,
-                  count(*) FILTER (WHERE linearity_gate_pass) AS a FROM variants GROUP BY 1)
-SELECT count(*) AS success, sum(v)::BIGINT AS variants, sum(a)::BIGINT AS accepted, sum(c)::BIGINT AS coherence_pass,
+                  count(*) FILTER (WHERE linearity_gate_pass) AS a FROM variants WHERE ref_scale >= 20000 GROUP BY 1),
+z AS (SELECT count(*) AS n FROM basesum WHERE ref_scale < 20000)
+SELECT count(*) AS success, (SELECT count(*) FROM base) - count(*) - (SELECT n FROM z) AS failed, (SELECT n FROM z) AS zero_rejected, sum(v)::BIGINT AS variants, sum(a)::BIGINT AS accepted, sum(c)::BIGINT AS coherence_pass,
        count(*) FILTER (WHERE m) AS multihot, count(*) FILTER (WHERE m) < 50 AS multihot_warning FROM b"""))
 def run_summary(spark, sf):
-    return reports.run_summary(d.variants(spark, sf), DEFAULTS.checks.min_multihot_samples)
+    """Bases without fields failed; those below the raised zero-field limit were rejected."""
+    summaries = store_once(d.base_summaries(spark, sf), "summaries")
+    manifest = load_variants(
+        nonzero_fields(summaries, 20000.0), d.FIXTURE_LOADS, DEFAULTS.gate, DEFAULTS.material
+    )
+    return reports.run_summary(
+        manifest, d.bases(spark, sf), zero_fields(summaries, 20000.0),
+        DEFAULTS.checks.min_multihot_samples,
+    )
 
 
 def lumped_nodes(spark, sf):

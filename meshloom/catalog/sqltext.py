@@ -189,7 +189,7 @@ SELECT p_partkey AS sample_id, 1 + p_size % 3 AS a, 1 + p_partkey % 3 AS b, 1 +
 """)
 part("elems", ("mesh",), """
 SELECT sample_id, elem_id, [c0, c1, c2, c3, (c0+c1)//2, (c1+c2)//2, (c0+c2)//2, (c0+c3)//2, (c1+c3)//2, (c2+c3)//2] AS nodes
-FROM (SELECT sample_id, ((ci*10+cj)*10+ck)*6+t AS elem_id, c0, c0+d1 AS c1, c0+d2 AS c2, c0+20202 AS c3
+FROM (SELECT sample_id, (((ci*10+cj)*10+ck)*6+t)::BIGINT AS elem_id, c0, c0+d1 AS c1, c0+d2 AS c2, c0+20202 AS c3
       FROM (SELECT sample_id, ci, cj, ck, (20000*ci + 200*cj + 2*ck)::BIGINT AS c0
             FROM mesh, (VALUES (0),(1),(2)) i(ci), (VALUES (0),(1),(2)) j(cj), (VALUES (0),(1)) k(ck)
             WHERE ci < a AND cj < b AND ck < c),

@@ -156,8 +156,18 @@ def diameter_report(manifest: DataFrame, hops: int) -> DataFrame:
     )
 
 
-def run_summary(manifest: DataFrame, min_multihot: int) -> DataFrame:
-    """One row of run counters; sample-level flags are counted once per base."""
+def run_summary(
+    manifest: DataFrame, planned: DataFrame, zero_rejected: DataFrame, min_multihot: int
+) -> DataFrame:
+    """One row of run counters; sample-level flags are counted once per base.
+
+    A planned base that is neither in the manifest nor rejected for a zero field failed.
+    """
+    lost = planned.select("base_sample_id").join(
+        manifest.select("base_sample_id"), "base_sample_id", "left_anti"
+    )
+    dropped = zero_rejected.select(F.count(F.lit(1))).scalar()
+    missing = lost.select(F.count(F.lit(1))).scalar()
     bases = manifest.groupBy("base_sample_id").agg(
         F.bool_or("has_multihot_nodes").alias("multihot"),
         F.count(F.lit(1)).alias("variants"),
@@ -166,6 +176,8 @@ def run_summary(manifest: DataFrame, min_multihot: int) -> DataFrame:
     )
     return bases.agg(
         F.count(F.lit(1)).alias("success"),
+        (missing - dropped).alias("failed"),
+        dropped.alias("zero_rejected"),
         F.sum("variants").alias("variants"),
         F.sum("accepted").alias("accepted"),
         F.sum("coherent").alias("coherence_pass"),
