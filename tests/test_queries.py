@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 from tools.check import TABLES, rows_of
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = entry.load()
 
 
 @pytest.fixture(scope="module")
