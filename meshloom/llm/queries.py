@@ -1,16 +1,22 @@
 """The registered queries of this package, and SQL for those that SQL can express."""
 
+from meshloom.llm.langid import op7_ftrl_language
+from meshloom.llm.line_dedup import OP4_SQL, op4_site_lines
 from meshloom.llm.mixing import op9_sainte_lague
 from meshloom.llm.packing import op10_sum_of_squares
+from meshloom.llm.quality import op6_compression_quality
 from meshloom.llm.sharding import op8_external_shuffle
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op4_site_lines,
+        op6_compression_quality,
+        op7_ftrl_language,
         op8_external_shuffle,
         op9_sainte_lague,
         op10_sum_of_squares,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_site_lines": OP4_SQL}
