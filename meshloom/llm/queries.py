@@ -1,15 +1,19 @@
 """The registered queries of this package, and SQL for those that SQL can express."""
 
 from meshloom.llm.langid import op7_ftrl_language
+from meshloom.llm.license_scan import op2_license_blocks
 from meshloom.llm.line_dedup import OP4_SQL, op4_site_lines
 from meshloom.llm.mixing import op9_sainte_lague
 from meshloom.llm.packing import op10_sum_of_squares
 from meshloom.llm.quality import op6_compression_quality
 from meshloom.llm.sharding import op8_external_shuffle
+from meshloom.llm.topk_search import OP1_SQL, op1_norm_buckets
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_norm_buckets,
+        op2_license_blocks,
         op4_site_lines,
         op6_compression_quality,
         op7_ftrl_language,
@@ -19,4 +23,4 @@ QUERIES = {
     )
 }
 
-ORACLES = {"op4_site_lines": OP4_SQL}
+ORACLES = {"op1_norm_buckets": OP1_SQL, "op4_site_lines": OP4_SQL}
