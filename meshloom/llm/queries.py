@@ -1,5 +1,6 @@
 """The registered queries of this package, and SQL for those that SQL can express."""
 
+from meshloom.llm.fingerprint import op3_scaled_sketch
 from meshloom.llm.langid import op7_ftrl_language
 from meshloom.llm.license_scan import op2_license_blocks
 from meshloom.llm.line_dedup import OP4_SQL, op4_site_lines
@@ -14,6 +15,7 @@ QUERIES = {
     for f in (
         op1_norm_buckets,
         op2_license_blocks,
+        op3_scaled_sketch,
         op4_site_lines,
         op6_compression_quality,
         op7_ftrl_language,
