@@ -1,6 +1,7 @@
 """The registered queries of this package, and SQL for those that SQL can express."""
 
 from meshloom.llm.fingerprint import op3_scaled_sketch
+from meshloom.llm.jaccard_join import op5_adaptive_prefix
 from meshloom.llm.langid import op7_ftrl_language
 from meshloom.llm.license_scan import op2_license_blocks
 from meshloom.llm.line_dedup import OP4_SQL, op4_site_lines
@@ -17,6 +18,7 @@ QUERIES = {
         op2_license_blocks,
         op3_scaled_sketch,
         op4_site_lines,
+        op5_adaptive_prefix,
         op6_compression_quality,
         op7_ftrl_language,
         op8_external_shuffle,
