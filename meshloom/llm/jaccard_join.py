@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshloom.llm.common import table, text_of
+from meshloom.llm.common import free_name, table, text_of
 from meshloom.llm.components import components
 from meshloom.session import store_once
 
@@ -130,7 +130,7 @@ def signed(x: np.ndarray) -> pa.Array:
 
 
 def document_nodes(docs: DataFrame, join: Join) -> DataFrame:
-    """doc_id, ref, n_shingles and node (null for an empty set) of every row."""
+    """doc_id, ref, text_hash, n_shingles and node (null for an empty set) of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def make(batch: pa.RecordBatch, sets: list[np.ndarray]) -> pa.Table:
@@ -138,12 +138,13 @@ def document_nodes(docs: DataFrame, join: Join) -> DataFrame:
             {
                 "doc_id": batch["doc_id"],
                 "ref": batch["ref"],
+                "text_hash": batch["text_hash"],
                 "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                 "node": pa.array([set_key(s) if len(s) else None for s in sets], pa.int64()),
             }
         )
 
-    return over_sets(docs, join, make, f"doc_id {kind}, ref string, n_shingles long, node long")
+    return over_sets(docs, join, make, f"doc_id {kind}, ref string, text_hash long, n_shingles long, node long")
 
 
 def sieved(docs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
@@ -374,11 +375,17 @@ def listed_pairs(live: DataFrame, join: Join) -> DataFrame:
     )
 
 
-def near_duplicates(df: DataFrame, join: Join = Join()) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id of its group) of every row."""
+def referred(df: DataFrame) -> DataFrame:
+    """doc_id, ref, text_hash and text (a null being empty): ref and text_hash tell different rows apart."""
     # A row without an id is found again by its text.
-    ref = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.hex(F.xxhash64("text"))))
-    docs = df.select("doc_id", text_of().alias("text")).select("doc_id", ref.alias("ref"), "text")
+    ref = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.hex("text_hash")))
+    docs = df.select("doc_id", text_of().alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    return docs.select("doc_id", ref.alias("ref"), "text_hash", "text")
+
+
+def grouped(df: DataFrame, join: Join) -> DataFrame:
+    """doc_id, ref, text_hash, n_shingles, root (a node of its group; null without shingles) and component_id of every row."""
+    docs = referred(df)
     rows = store_once(document_nodes(docs, join), "nodes")
     nodes = store_once(
         rows.filter("node is not null")
@@ -390,16 +397,54 @@ def near_duplicates(df: DataFrame, join: Join = Join()) -> DataFrame:
     sets = sets_of(docs, survivors, join)
     entries = store_once(prefix_entries(sets, join), "entries")
     comp = near_components(entries, sets, join)
-    named = comp.join(nodes, "node")
+    named = nodes.select("node", "first_doc").join(comp, "node")
     first = named.groupBy("comp").agg(F.min("first_doc").alias("component"))
-    linked = named.join(first, "comp").select("node", "component")
-    groups = nodes.join(linked, "node", "left").select("node", F.coalesce("component", "first_doc").alias("component_id"))
+    linked = named.join(first, "comp").select("node", "comp", "component")
+    groups = nodes.select("node", "first_doc").join(linked, "node", "left").select(
+        "node", F.coalesce("comp", "node").alias("root"), F.coalesce("component", "first_doc").alias("component_id")
+    )
     return rows.join(groups, "node", "left").select(
         "doc_id",
+        "ref",
+        "text_hash",
         "n_shingles",
+        "root",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
 
 
+def near_duplicates(df: DataFrame, join: Join = Join()) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id of its group) of every row."""
+    return grouped(df, join).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each_group(df: DataFrame, join: Join = Join(words=5, num=4, den=5)) -> DataFrame:
+    """``df`` with one row of each group: that of the smallest id. Rows without shingles all stay."""
+    rows = store_once(grouped(df, join).filter("root is not null"), "groups")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "ref", "text_hash")
+    chosen = rows.groupBy("root").agg(F.min(row).alias("c")).select("root", "c.ref", "c.text_hash")
+    counts = rows.groupBy("root", "ref", "text_hash").agg(F.count(F.lit(1)).alias("repeats"))
+    kept = chosen.withColumn("kept", F.lit(True))
+    decided = store_once(counts.join(kept, ["root", "ref", "text_hash"], "left"), "decided")
+    gone = decided.filter("kept is null").select("ref", "text_hash").distinct()
+    again = decided.filter("kept and repeats > 1").select("ref", "text_hash")
+    ref, text_hash = (free_name(df, x) for x in ("_ref", "_text_hash"))
+    found = df.withColumn(text_hash, F.xxhash64(text_of())).withColumn(
+        ref, F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.hex(text_hash)))
+    )
+    keys = [ref, text_hash]
+    left = without(found, store_once(gone.toDF(*keys), "gone"), keys)
+    repeated = store_once(again.toDF(*keys), "repeated")
+    if not repeated.isEmpty():
+        once = left.join(repeated, keys, "left_semi").dropDuplicates(keys)
+        left = without(left, repeated, keys).unionByName(once)
+    return left.select(*[f"`{c}`" for c in df.columns])
+
+
+def without(df: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` without the stored ``ids``: broadcast if they are few, else shuffled."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, keys, "left_anti")
+
+
 def op5_adaptive_prefix(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
