@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,6 +33,32 @@ def free_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
+#: Id lists up to this many rows may be broadcast; longer ones are joined by shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def by_ids(df: DataFrame, ids: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
+    """``df`` joined with stored ``ids``: broadcast if they are few, else shuffled."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, on, how)
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let Python workers get batches of at most ``rows`` texts, so that a worker needs little memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
+def set_aside(df: DataFrame) -> tuple[DataFrame, Callable[[str], Column], list[Column]]:
+    """``df`` with its columns named c0, c1, …, so that an operator's own names can't clash with them.
+
+    Also gives the column of an original name, and all columns under their original names.
+    """
+    names = df.columns
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+    return plain, lambda name: F.col(f"c{names.index(name)}"), [F.col(f"c{i}").alias(n) for i, n in enumerate(names)]
+
+
 def prefix_sums(df: DataFrame, order: str, values: Sequence[str], block: int = 4096) -> DataFrame:
     """Add ``<value>_before``: the sum of ``value`` over rows of a smaller integer ``order``.
 

@@ -26,8 +26,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshloom.llm.common import table, text_of
+from meshloom.llm.common import by_ids, free_name, small_batches, table, text_of
 from meshloom.llm.quality import held_out
+from meshloom.session import store_once
 
 UNKNOWN = "und"
 
@@ -103,14 +104,16 @@ def softmax(logits: np.ndarray) -> np.ndarray:
 
 def training_sample(docs: DataFrame, settings: Settings, seed: int = 53) -> DataFrame:
     """Features of the sampled documents and their cuttings: lang, part (0: whole), fit, at, counts."""
-    known = docs.filter("lang is not null and text is not null").filter(~held_out())
-    known = known.select("doc_id", "lang", "text", F.xxhash64(F.lit(seed), "doc_id").alias("_h"))
+    known = docs.filter("lang is not null and text is not null and doc_id is not null").filter(~held_out())
+    known = known.select("doc_id", "lang", F.xxhash64(F.lit(seed), "doc_id").alias("_h"))
     # A first sieve by hash keeps little more than is wanted of each language, whatever its share.
     share = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
     wanted = 2.0 * settings.docs_per_language + 50
     sieved = known.join(share, "lang").filter(F.pmod("_h", F.lit(1_000_000)) < F.lit(wanted) / F.col("_n") * 1_000_000)
     first = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    chosen = sieved.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= settings.docs_per_language)
+    ranked = sieved.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= settings.docs_per_language)
+    # Texts are read for these rows alone.
+    chosen = store_once(ranked.select("doc_id", "lang", "_rank"), "language-sample")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams = Grams(settings)
@@ -128,7 +131,8 @@ def training_sample(docs: DataFrame, settings: Settings, seed: int = 53) -> Data
                         rows.append((lang, rank, k, rank % 5 != 0, at.tolist(), counts.tolist()))
             yield pd.DataFrame(rows, columns=["lang", "rank", "part", "fit", "at", "counts"])
 
-    return chosen.select("lang", "text", "_rank").mapInPandas(
+    texts = by_ids(docs.select("doc_id", text_of().alias("text")), chosen, "doc_id")
+    return texts.select("lang", "text", "_rank").mapInPandas(
         cut, "lang string, rank int, part int, fit boolean, at array<int>, counts array<int>"
     )
 
@@ -206,6 +210,7 @@ def fit_languages(docs: DataFrame, settings: Settings = Settings()) -> LanguageM
 def with_language(df: DataFrame, model: LanguageModel | None, text: str = "text") -> DataFrame:
     """Add ``lang_pred`` and its probability ``score``."""
     df = df.drop("lang_pred", "score")
+    small_batches(df.sparkSession)
     if model is None:
         return df.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
 
@@ -225,8 +230,9 @@ def with_language(df: DataFrame, model: LanguageModel | None, text: str = "text"
                 names.append(model.languages[k]), scores.append(float(p[k]))
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    return df.withColumn("_language", predict(text_of(f"`{text}`"))).select(
-        *[f"`{c}`" for c in df.columns], "_language.lang_pred", "_language.score"
+    name = free_name(df, "_language")
+    return df.withColumn(name, predict(text_of(f"`{text}`"))).select(
+        *[f"`{c}`" for c in df.columns], f"{name}.lang_pred", f"{name}.score"
     )
 
 

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshloom.llm.common import table
+from meshloom.llm.common import small_batches, table
 
 # Notices as their licences publish them.
 TEMPLATES = {
@@ -60,7 +60,7 @@ TEMPLATES = {
 }
 HINT = r"(?i)licen[cs]|copyright|rights\s+reserved|redistribut|hereby\s+granted|public\s+domain|warranty|creative\s+commons"
 
-SENTENCE = re.compile(r"[^\n]*?(?:[.!?;:](?=\s)|\n|$)", re.S)
+SENTENCE = re.compile(r"[^\n]*?(?:[.!?](?=\s)|\n|$)", re.S)
 WORDS = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
@@ -144,6 +144,7 @@ def scan_licenses(df: DataFrame, templates: dict[str, str] = TEMPLATES, limits:
             ids = batch["doc_id"].iloc[out["at"]].reset_index(drop=True)
             yield out.assign(doc_id=ids)[["doc_id", *columns[1:]]]
 
+    small_batches(df.sparkSession)
     hits = df.select("doc_id", "text").filter(F.col("text").rlike(HINT))
     return hits.mapInPandas(
         find,

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshloom.llm.common import free_name, table
+from meshloom.llm.common import set_aside, table
 
 MAX_RATIO, MIN_PAGES = 0.02, 5
 EDGE = " \t\r"
@@ -36,12 +36,10 @@ def line_keys(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), key)
 
 
-def boilerplate(df: DataFrame, host: str, text: str, max_ratio: float, min_pages: int) -> DataFrame:
+def boilerplate(df: DataFrame, host: Column, text: Column, max_ratio: float, min_pages: int) -> DataFrame:
     """``_host`` and the array ``_boilerplate`` of line keys to drop, for hosts that have any."""
-    pages = df.filter(F.col(f"`{text}`").isNotNull()).select(
-        F.col(f"`{host}`").alias("_host"),
-        F.xxhash64(F.col(f"`{text}`"), F.lit(2)).alias("_page"),
-        F.col(f"`{text}`").alias("_text"),
+    pages = df.filter(text.isNotNull()).select(
+        host.alias("_host"), F.xxhash64(text, F.lit(2)).alias("_page"), text.alias("_text")
     )
     totals = pages.select("_host", "_page").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
     counts = (
@@ -69,20 +67,20 @@ def drop_site_lines(
 ) -> DataFrame:
     """``df`` with boilerplate lines gone from ``text``, and the numbers of ``lines`` and ``dropped`` ones."""
     df = df.drop("lines", "dropped")
-    drops = boilerplate(df, host, text, max_ratio, min_pages)
-    joined = df.join(drops, F.col(f"`{host}`").eqNullSafe(F.col("_host")), "left")
-    body, name = F.col(f"`{text}`"), free_name(df, "_kept")
+    plain, column, original = set_aside(df)
+    body = column(text)
+    drops = boilerplate(plain, column(host), body, max_ratio, min_pages)
+    joined = plain.join(drops, column(host).eqNullSafe(F.col("_host")), "left")
     keyed = F.arrays_zip(F.split(body, "\n").alias("line"), line_keys(body).alias("key"))
     kept = F.filter(keyed, lambda x: x["key"].isNull() | ~F.array_contains(F.col("_boilerplate"), x["key"]))
-    lines = F.coalesce(F.size(F.split(body, "\n")), F.lit(0))
-    lines = F.when(body.isNull(), 0).otherwise(lines)
+    lines = F.when(body.isNull(), 0).otherwise(F.size(F.split(body, "\n")))
     any_ = F.col("_boilerplate").isNotNull() & body.isNotNull()
     return (
-        joined.withColumn(name, F.when(any_, F.transform(kept, lambda x: x["line"])))
+        joined.withColumn("_kept", F.when(any_, F.transform(kept, lambda x: x["line"])))
         .withColumn("lines", lines)
-        .withColumn("dropped", F.when(any_, F.col("lines") - F.size(name)).otherwise(0))
-        .withColumn(text, F.when(F.col("dropped") > 0, F.array_join(name, "\n")).otherwise(body))
-        .select(*[f"`{c}`" for c in df.columns], "lines", "dropped")
+        .withColumn("dropped", F.when(any_, F.col("lines") - F.size("_kept")).otherwise(0))
+        .withColumn("_text", F.when(F.col("dropped") > 0, F.array_join("_kept", "\n")).otherwise(body))
+        .select(*[F.col("_text").alias(text) if n == text else c for n, c in zip(df.columns, original, strict=True)], "lines", "dropped")
     )
 
 

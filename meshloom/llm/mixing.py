@@ -27,13 +27,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshloom.llm.common import WORD, row_hash, table, text_of
+from meshloom.llm.common import WORD, row_hash, set_aside, table
 
 ADDED = ("size", "source_size", "target", "taken", "shard_words")
 
 
-def words(column: str = "text") -> Column:
-    return F.regexp_count(text_of(column), F.lit(WORD)).cast("long")
+def words(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
 def with_targets(sizes: DataFrame, weights: tuple[int, ...], cap: float) -> DataFrame:
@@ -78,8 +78,9 @@ def quotas(targets: DataFrame, blocks: int, shards: int, cap: float) -> DataFram
         .withColumn("_divisor", F.col("total") / (F.col("_seats") + sources / 2))
         .withColumn(
             "_most",
+            # Where there are no words the divisor is 0; least() passes over the null, and 0 words allow 0 blocks.
             F.least(
-                F.floor(F.col("target") / F.col("_divisor") + 0.5) + 1,
+                F.floor(F.try_divide("target", "_divisor") + 0.5) + 1,
                 F.floor(F.col("source_size") * cap / F.col("block_words")),
             ).cast("long"),
         )
@@ -108,19 +109,23 @@ def mix(
     blocks: int = 1 << 18,
     shards: int = 16,
     seed: int = 23,
+    text: str = "text",
     source: str = "source",
-    size: Column | None = None,
+    size: str | None = None,
     bin_rows: int = 4096,
 ) -> DataFrame:
-    """Add to every document its words (``size``), its source's words and target, ``taken`` and ``shard_words``."""
+    """Add to every document its words (``size``), its source's words and target, ``taken`` and ``shard_words``.
+
+    ``size`` may name a column of sizes to take instead.
+    """
     df = df.drop(*ADDED)
-    keep = df.columns
-    rows = df.withColumns(
+    plain, column, original = set_aside(df)
+    rows = plain.withColumns(
         {
-            "size": words() if size is None else size,
-            "_null": F.col(f"`{source}`").isNull(),
-            "_source": F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("")),
-            "_hash": row_hash(df, seed),
+            "size": words(column(text)) if size is None else column(size),
+            "_null": column(source).isNull(),
+            "_source": F.coalesce(column(source).cast("string"), F.lit("")),
+            "_hash": row_hash(plain, seed),
         }
     )
     bins = max(1, math.ceil(df.count() / bin_rows))
@@ -149,18 +154,18 @@ def mix(
         placed.withColumn("_marks", F.array(*marks))
         .withColumn("taken", F.col("_marks")[shards - 1])
         .withColumn("shard_words", F.array(*[F.col("_marks")[s] - (F.col("_marks")[s - 1] if s else 0) for s in range(shards)]))
-        .select(*[f"`{c}`" for c in keep], *ADDED)
+        .select(*original, *ADDED)
     )
 
 
 def mixed_documents(df: DataFrame, **settings) -> DataFrame:
     """The mix as documents: each row repeated as often as ``taken`` holds its words, rounded."""
     copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    return (
-        mix(df, **settings)
-        .withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies)))
-        .select(*[f"`{c}`" for c in df.columns])
-    )
+    plain, _, original = set_aside(df)
+    names = dict(zip(df.columns, plain.columns, strict=True))
+    settings = {"text": names["text"], "source": names["source"]} | settings
+    mixed = mix(plain, **settings).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies)))
+    return mixed.select(*original)
 
 
 def op9_sainte_lague(spark, sf_dir):

@@ -2,7 +2,8 @@
 
 ``tokenise`` turns a text into ids and a closing id; what is longer than a sequence is cut
 into pieces, of which only the first may be shorter. ``pack`` deals the pieces into groups
-of bounded size by hash and places each group's pieces, longest first, where the sum of
+of bounded size by hash and places each group's pieces, longest first or in a seeded order
+(whichever needs fewer sequences), where the sum of
 the squared numbers of open sequences per gap becomes smallest: among the gaps that occur
 and a new sequence, the one with the smallest N(gap - piece) - N(gap). Groups are
 independent tasks; each leaves at most a few sequences part-filled.
@@ -27,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshloom.llm.common import row_hash, table, text_of
+from meshloom.llm.common import free_name, row_hash, small_batches, table, text_of
 from meshloom.session import store_once
 
 #: One vocabulary in two forms: for the tokenizers library, and as ranks for tiktoken.
@@ -105,6 +106,7 @@ def tokenise(
     docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, batch_chars: int = 8 << 20
 ) -> DataFrame:
     """Pieces of every document: doc_id, piece, start, length, ids_crc32 and, if asked for, ids."""
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
@@ -139,6 +141,16 @@ def tokenise(
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(cut, schema)
 
 
+def fewest(lengths: np.ndarray, capacity: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence and offset of pieces sorted longest first, placed in this order or a seeded random one: the better."""
+    mixed = np.random.default_rng(seed).permutation(len(lengths))
+    sequence, offset, used = place(lengths, capacity)
+    other, at, needed = place(lengths[mixed], capacity)
+    if needed < used:
+        sequence[mixed], offset[mixed] = other, at
+    return sequence, offset
+
+
 def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Sequence and offset of each piece in the order given, and the number of sequences."""
     open_ = np.zeros(capacity + 1, dtype=np.int64)  # sequences by gap; full ones don't count
@@ -171,18 +183,19 @@ def pack(pieces: DataFrame, capacity: int = 2048, group_rows: int = 50_000, seed
     """
     pieces = pieces.drop("sequence_id", "offset")
     groups = max(1, math.ceil(pieces.count() / group_rows))
+    name = free_name(pieces, "_group")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
 
     def placed(part: pd.DataFrame) -> pd.DataFrame:
-        group = int(part["_group"].iloc[0])
-        part = part.drop(columns="_group").sort_values(["length", *order], ascending=False, kind="stable")
-        sequence, offset, _ = place(part["length"].to_numpy(), capacity)
+        group = int(part[name].iloc[0])
+        part = part.drop(columns=name).sort_values(["length", *order], ascending=False, kind="stable")
+        sequence, offset = fewest(part["length"].to_numpy(), capacity, seed)
         return part.assign(sequence_id=sequence + (group << 32), offset=offset)
 
     order = [c for c in ("doc_id", "piece") if c in pieces.columns]
     return (
-        pieces.withColumn("_group", F.pmod(row_hash(pieces, seed), F.lit(groups)))
-        .groupBy("_group")
+        pieces.withColumn(name, F.pmod(row_hash(pieces, seed), F.lit(groups)))
+        .groupBy(name)
         .applyInPandas(placed, schema + ", sequence_id long, offset long")
     )
 

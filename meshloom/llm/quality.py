@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshloom.llm.common import free_name, table, text_of
+from meshloom.llm.common import free_name, small_batches, table, text_of
 from meshloom.session import store_once
 
 THRESHOLD = 0.7
@@ -188,6 +188,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, bounds: Bounds = Bounds()) -
 def with_quality(df: DataFrame, model: QualityModel, text: str = "text") -> DataFrame:
     """Add ``score``: the probability of label 1."""
     df = df.drop("score")
+    small_batches(df.sparkSession)
     if not model.good:
         return df.withColumn("score", F.lit(model.prior))
     name = free_name(df, "_difference")
