@@ -47,19 +47,38 @@ def manifest_scan_parquet(spark, sf):
 
 @query("manifest_scan_csv", with_parts("variants", MANIFEST_SQL))
 def manifest_scan_csv(spark, sf):
-    path = scratch_path(spark, "manifest-csv")
-    ms.append_manifest(d.variants(spark, sf), path, "csv")
+    """Files with columns in another order, and without those that are null throughout, read by name."""
+    path, variants = scratch_path(spark, "manifest-csv"), ms.conform(d.variants(spark, sf))
+    kept = variants.where(filters.is_accepted())
+    ms.append_manifest(variants.where(~filters.is_accepted()), path, "csv")
+    shuffled = kept.select(*sorted(c for c in kept.columns if c != "rejection_reason"))
+    shuffled.write.mode("append").csv(path, header=True)
     return _manifest_view(ms.read_manifest(spark, path, "csv"))
 
 
 @query("manifest_tolerant_scan", with_parts("variants", """
-SELECT sample_id, coalesce(rejection_reason, '') AS rejection_reason FROM variants"""))
+SELECT sample_id, coalesce(rejection_reason, '') AS rejection_reason FROM variants
+UNION ALL SELECT DISTINCT 'bad line', geometry_family || ',cut' FROM variants
+UNION ALL SELECT 'damaged file', ''"""))
 def manifest_tolerant_scan(spark, sf):
-    """A stored manifest together with one that was never written."""
-    path = scratch_path(spark, "manifest")
-    ms.append_manifest(d.variants(spark, sf), path)
-    both = ms.read_manifests(spark, [path, scratch_path(spark, "absent")])
-    return both.select("sample_id", F.coalesce("rejection_reason", F.lit("")).alias("rejection_reason"))
+    """A stored manifest with a file that isn't Parquet, one with broken lines, and one that was never written."""
+    path, broken = scratch_path(spark, "manifest"), scratch_path(spark, "manifest-csv")
+    variants = d.variants(spark, sf)
+    ms.append_manifest(variants, path)
+    families = variants.select("geometry_family").distinct()
+    families.coalesce(1).write.mode("append").text(path)
+    lines = F.sort_array(F.collect_list(F.concat("geometry_family", F.lit(",cut"))))
+    header = F.lit("sample_id,base_sample_id,geometry_family")
+    families.agg(F.concat_ws("\n", header, lines).alias("value")).write.text(broken)
+    absent = scratch_path(spark, "absent")
+    read = ms.read_manifests(spark, [path, absent]).unionByName(ms.read_manifest_or_empty(spark, broken, "csv"))
+    bad = ms.bad_rows(spark, broken).select(F.lit("bad line").alias("sample_id"), F.col("line").alias("rejection_reason"))
+    damaged = ms.damaged_files(spark, path).select(F.lit("damaged file").alias("sample_id"), F.lit("").alias("rejection_reason"))
+    return (
+        read.select("sample_id", F.coalesce("rejection_reason", F.lit("")).alias("rejection_reason"))
+        .unionByName(bad)
+        .unionByName(damaged)
+    )
 
 
 @query("manifest_append", with_parts("variants", """

@@ -23,10 +23,24 @@ def _deliver(spark, sf) -> str:
     return path
 
 
-def _ingested(spark, sf) -> str:
+def _deliver_late(spark, sf) -> str:
+    """The same deliveries, then rows dated long before all others, then old rows once more, 60 days on."""
+    path = scratch_path(spark, "incoming")
+    events = d.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    events = events.select("event_id", "user_id", "event_type", "ts", "value", "props")
+    late = F.col("event_id") % 50 == 7
+    events.where(~late).write.mode("append").parquet(path)
+    shifted = F.col("ts") - F.expr("INTERVAL 100 DAYS")
+    events.where(late).withColumn("ts", shifted).write.mode("append").parquet(path)
+    shifted = F.col("ts") + F.expr("INTERVAL 60 DAYS")
+    events.where(F.col("event_type").isin("error", "view")).withColumn("ts", shifted).write.mode("append").parquet(path)
+    return path
+
+
+def _ingested(spark, sf, incoming=None) -> str:
     table = scratch_path(spark, "manifest-table")
     stream.ingest_manifest(
-        spark, _deliver(spark, sf), SCHEMA, table, scratch_path(spark, "ingest-state"), key="event_id",
+        spark, incoming or _deliver(spark, sf), SCHEMA, table, scratch_path(spark, "ingest-state"), key="event_id",
         files_per_trigger=1,
     )
     return table
@@ -35,8 +49,8 @@ def _ingested(spark, sf) -> str:
 @query("manifest_ingest_stream", f"""
 SELECT event_id, user_id, event_type, {sr('value', 6, 'value')}, props FROM events""")
 def manifest_ingest_stream(spark, sf):
-    """Re-delivered rows are ignored: each event once."""
-    rows = spark.read.schema(SCHEMA).parquet(_ingested(spark, sf))
+    """Each event once, however late it comes or is delivered again."""
+    rows = stream.stored_rows(spark, _ingested(spark, sf, _deliver_late(spark, sf)), SCHEMA)
     return rows.select("event_id", "user_id", "event_type", r("value", 6), "props")
 
 
@@ -63,12 +77,13 @@ SELECT event_type, count(DISTINCT user_id) AS base_samples, greatest(250 - count
 FROM events GROUP BY event_type""")
 def stratum_fill_stream(spark, sf):
     """Distinct bases per stratum: deduplicated on the base first, then counted."""
-    rows = stream.stream_rows(spark, _ingested(spark, sf), SCHEMA).withColumn(
-        "stratum_base", F.concat_ws("|", "event_type", "user_id")
+    table = _ingested(spark, sf, _deliver_late(spark, sf))
+    rows = stream.stream_rows(spark, table, SCHEMA).select(
+        "event_type", "ts", F.concat_ws("|", "event_type", "user_id").alias("stratum_base")
     )
     bases, state = scratch_path(spark, "bases"), scratch_path(spark, "bases-state")
-    stream.run_available(stream.drop_redelivered(rows, "stratum_base", "ts", "40 days"), bases, state)
-    schema = f"{SCHEMA}, stratum_base string"
+    stream.store_new(rows, bases, state, "stratum_base", "ts")
+    schema = "event_type string, ts timestamp, stratum_base string"
     totals, fill_state = scratch_path(spark, "fill"), scratch_path(spark, "fill-state")
     stream.run_running_totals(
         stream.stratum_fill(stream.stream_rows(spark, bases, schema), ["event_type"], 250),

@@ -6,6 +6,7 @@ available and stops, so it can be rerun after any interruption.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,22 +22,48 @@ def stream_rows(
     return reader.parquet(path)
 
 
-def drop_redelivered(rows: DataFrame, key: str, event_time: str, delay: str) -> DataFrame:
-    """First delivery of each key. ``delay`` must cover the disorder of a replay.
+def stored_rows(spark: SparkSession, table: str, schema: StructType | str) -> DataFrame:
+    """The ingested table with its folders ``run``, ``batch`` and ``bin``; empty before the first batch."""
+    folders = StructType.fromDDL("run string, batch long, bin int")
+    plain = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    whole = StructType([*plain.fields, *folders.fields])
+    try:
+        return spark.read.schema(whole).parquet(table)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], whole)
 
-    State older than the watermark is dropped; what is re-delivered later than that
-    is caught by the anti-join on completed ids.
+
+def store_new(
+    rows: DataFrame, table: str, checkpoint: str, key: str, event_time: str, bins: int = 64
+) -> None:
+    """Append a stream to a parquet table, each key once: the first delivery, however late it comes.
+
+    Nothing is kept or dropped by a watermark. A batch is reduced to the earliest row of each
+    key, then anti-joined with the keys stored by other batches, of which only the bins that
+    occur in the batch are read. It overwrites its own folder, so a retried batch repeats itself.
+    Rows without a key can't be told apart and are all kept. ``run`` is the id of the stream:
+    a new checkpoint on an old table starts new folders.
     """
-    timed = rows.withColumn(event_time, F.col(event_time).cast("timestamp"))
-    return timed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
 
+    def store(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        run = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        keyed = batch.where(F.col(key).isNotNull())
+        order = F.struct(F.col(event_time).isNull(), F.col(event_time))
+        first = keyed.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*batch.columns), order).alias("_row"))
+        fresh = first.select("_row.*").withColumn("bin", F.pmod(F.xxhash64(key), F.lit(bins)).cast("int"))
+        fresh = fresh.unionByName(batch.where(F.col(key).isNull()).withColumn("bin", F.lit(0)))
+        touched = [r["bin"] for r in fresh.select("bin").distinct().collect()]  # at most ``bins``
+        known = stored_rows(spark, table, batch.schema).where(F.col("bin").isin(touched))
+        known = known.where((F.col("run") != run) | (F.col("batch") < batch_id)).select(key)
+        fresh.join(known, key, "left_anti").write.mode("overwrite").partitionBy("bin").parquet(
+            f"{table}/run={run}/batch={batch_id}"
+        )
 
-def run_available(rows: DataFrame, path: str, checkpoint: str) -> None:
-    """Append a stream to a parquet table until its input is used up."""
     query: StreamingQuery = (
-        rows.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", path)
+        rows.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -52,11 +79,10 @@ def ingest_manifest(
     checkpoint: str,
     key: str = "sample_id",
     event_time: str = "ts",
-    delay: str = "40 days",
     files_per_trigger: int | None = None,
 ) -> None:
     rows = stream_rows(spark, incoming, schema, files_per_trigger)
-    run_available(drop_redelivered(rows, key, event_time, delay), table, checkpoint)
+    store_new(rows, table, checkpoint, key, event_time)
 
 
 def run_running_totals(totals: DataFrame, path: str, checkpoint: str) -> None:

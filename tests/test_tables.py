@@ -320,10 +320,47 @@ def test_stream_rerun_adds_only_new_files(spark):
 
     def ingest():
         stream.ingest_manifest(spark, incoming, schema, table, state)
-        return sorted(r[0] for r in spark.read.schema(schema).parquet(table).select("sample_id").collect())
+        return sorted(r[0] for r in stream.stored_rows(spark, table, schema).select("sample_id").collect())
 
     deliver(["a", "b", "b"])
     assert ingest() == ["a", "b"]
     assert ingest() == ["a", "b"]
     deliver(["b", "c"])
     assert ingest() == ["a", "b", "c"]
+
+
+def test_stream_keeps_late_rows_and_ignores_later_repeats(spark):
+    incoming, table, state = (scratch_path(spark, n) for n in ("in", "table", "state"))
+    schema = "sample_id string, ts timestamp, ok boolean"
+    days = [("a", "2024-01-02"), ("b", "2024-06-01"), ("c", "2024-01-05"), ("d", "2024-06-20"), ("a", "2024-06-25"), (None, None)]
+    for key, day in days:
+        rows = spark.createDataFrame([(key, day, True)], "sample_id string, day string, ok boolean")
+        rows = rows.select("sample_id", F.col("day").cast("timestamp").alias("ts"), "ok")
+        rows.coalesce(1).write.mode("append").parquet(incoming)
+    stream.ingest_manifest(spark, incoming, schema, table, state, files_per_trigger=1)
+    stored = stream.stored_rows(spark, table, schema)
+    assert sorted((r["sample_id"] or "", str(r["ts"])[:10]) for r in stored.collect()) == [
+        ("", "None"), ("a", "2024-01-02"), ("b", "2024-06-01"), ("c", "2024-01-05"), ("d", "2024-06-20")
+    ]
+    # A lost checkpoint delivers everything again, in folders of its own, and adds nothing but the row without a key.
+    stream.ingest_manifest(spark, incoming, schema, table, scratch_path(spark, "state"))
+    assert stream.stored_rows(spark, table, schema).where("sample_id is not null").count() == 4
+
+
+def test_csv_manifest_is_read_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("sample_id,base_sample_id,rejection_reason,scale_factor\ns1,b1,cap,0.5\n")
+    (tmp_path / "b.csv").write_text("base_sample_id,sample_id\nb2,s2\nb3\n,\n")
+    (tmp_path / "c.csv").write_text("scale_factor,sample_id,other\nabc,s4,x\n2.5,s5,x\n")
+    rows = ms.read_manifest(spark, str(tmp_path), "csv").select("sample_id", "base_sample_id", "rejection_reason", "scale_factor")
+    assert sorted(map(tuple, rows.collect())) == [
+        ("s1", "b1", "cap", 0.5), ("s2", "b2", None, None), ("s5", None, None, 2.5)
+    ]
+    assert ms.bad_rows(spark, str(tmp_path)).count() == 3
+
+
+def test_damaged_parquet_files_are_named(spark, tmp_path):
+    path = f"{tmp_path}/manifest"
+    ms.append_manifest(spark.createDataFrame([("s1",)], "sample_id string"), path)
+    (tmp_path / "manifest" / "cut.parquet").write_text("not a parquet file")
+    assert [r["sample_id"] for r in ms.read_manifest_or_empty(spark, path).collect()] == ["s1"]
+    assert [r["path"].rsplit("/", 1)[1] for r in ms.damaged_files(spark, path).collect()] == ["cut.parquet"]
