@@ -82,7 +82,9 @@ def _csv_rows(spark: SparkSession, path: str) -> DataFrame:
             parts.append(lines.select(BAD, *[F.lit(None).cast(_TEXT).alias(n) for n in _COLUMNS]))
             continue
         schema = T.StructType([T.StructField(n, _TEXT) for n in [*names, BAD]])
-        read = spark.read.schema(schema).csv(files, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD)
+        # Without all columns the parser can't see that a line is short.
+        reader = spark.read.schema(schema).option("columnPruning", False)
+        read = reader.csv(files, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=BAD)
         parts.append(read.select(BAD, *[F.col(f"`{n}`") if n in names else F.lit(None).cast(_TEXT).alias(n) for n in _COLUMNS]))
     if not parts:
         return spark.createDataFrame([], T.StructType([T.StructField(n, _TEXT) for n in [BAD, *_COLUMNS]]))

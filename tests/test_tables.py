@@ -360,7 +360,7 @@ def test_csv_manifest_is_read_by_name(spark, tmp_path):
 
 def test_damaged_parquet_files_are_named(spark, tmp_path):
     path = f"{tmp_path}/manifest"
-    ms.append_manifest(spark.createDataFrame([("s1",)], "sample_id string"), path)
+    ms.append_manifest(spark.createDataFrame([("s1",)], "sample_id string").coalesce(1), path)
     (tmp_path / "manifest" / "cut.parquet").write_text("not a parquet file")
     assert [r["sample_id"] for r in ms.read_manifest_or_empty(spark, path).collect()] == ["s1"]
     assert [r["path"].rsplit("/", 1)[1] for r in ms.damaged_files(spark, path).collect()] == ["cut.parquet"]
