@@ -29,14 +29,13 @@ def one_row_per_base(manifest: DataFrame) -> DataFrame:
 
 
 def large_holdout(bases: DataFrame, rules: Splitting) -> DataFrame:
-    """Mark a seeded fraction (at least one) of the large-bucket bases."""
-    keyed = bases.withColumn("_large", F.coalesce(F.col("scale_bucket") == "large", F.lit(False)))
-    keyed = keyed.withColumn("_digest", shuffle_key(rules.seed, "base_sample_id", "large"))
-    ranked = shuffle_rank(keyed, ["_large"], "_digest", "base_sample_id", "_rank", "_n")
+    """Mark a seeded fraction (at least one) of the large-bucket bases. Only these are ranked."""
+    large = F.coalesce(F.col("scale_bucket") == "large", F.lit(False))
+    keyed = bases.where(large).withColumn("_digest", shuffle_key(rules.seed, "base_sample_id", "large"))
+    ranked = shuffle_rank(keyed.withColumn("_all", F.lit(True)), ["_all"], "_digest", "base_sample_id", "_rank", "_n")
     quota = F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(rules.large_holdout)))
-    return ranked.withColumn("held_large", F.col("_large") & (F.col("_rank") <= quota)).drop(
-        "_large", "_digest", "_rank", "_n"
-    )
+    marked = ranked.withColumn("held_large", F.col("_rank") <= quota).drop("_all", "_digest", "_rank", "_n")
+    return marked.unionByName(bases.where(~large).withColumn("held_large", F.lit(False)))
 
 
 def ratio_holdout(bases: DataFrame, rules: Splitting) -> DataFrame:
@@ -56,25 +55,14 @@ def stratified(bases: DataFrame, rules: Splitting) -> DataFrame:
     """
     held = F.col("held_large") | F.col("held_ratio")
     homeless = F.col("geometry_family").isNull() | F.col("scale_bucket").isNull()
-    group = (
-        F.when(held, "held")
-        .when(homeless, "homeless")
-        .otherwise(F.concat_ws("|", F.lit("in"), "geometry_family", "scale_bucket"))
-    )
-    keyed = bases.withColumn("_group", group).withColumn(
-        "_digest", shuffle_key(rules.seed, "base_sample_id", "stratum")
-    )
-    ranked = shuffle_rank(keyed, ["_group"], "_digest", "base_sample_id", "_rank", "_n")
+    # Only bases of a stratum need a rank.
+    settled = bases.where(held | homeless).withColumn("split", F.when(held, "test").otherwise("train"))
+    keyed = bases.where(~held & ~homeless).withColumn("_digest", shuffle_key(rules.seed, "base_sample_id", "stratum"))
+    ranked = shuffle_rank(keyed, ["geometry_family", "scale_bucket"], "_digest", "base_sample_id", "_rank", "_n")
     n_train = F.floor(F.col("_n") * F.lit(rules.ratios[0]))
     n_val = F.floor(F.col("_n") * F.lit(rules.ratios[1]))
-    split = (
-        F.when(F.col("_group") == "held", "test")
-        .when(F.col("_group") == "homeless", "train")
-        .when(F.col("_rank") <= n_train, "train")
-        .when(F.col("_rank") <= n_train + n_val, "val")
-        .otherwise("test")
-    )
-    return ranked.withColumn("split", split).drop("_group", "_digest", "_rank", "_n")
+    split = F.when(F.col("_rank") <= n_train, "train").when(F.col("_rank") <= n_train + n_val, "val").otherwise("test")
+    return ranked.withColumn("split", split).drop("_digest", "_rank", "_n").unionByName(settled)
 
 
 def base_splits(manifest: DataFrame, rules: Splitting) -> DataFrame:
@@ -86,10 +74,18 @@ def base_splits(manifest: DataFrame, rules: Splitting) -> DataFrame:
     return stratified(ratio_holdout(large_holdout(bases, rules), rules), rules)
 
 
-def assign_splits(manifest: DataFrame, rules: Splitting) -> DataFrame:
-    """The manifest with ``split``; every variant follows its base."""
+def assign_splits(manifest: DataFrame, rules: Splitting, min_multihot: int = 0) -> DataFrame:
+    """The manifest with ``split``; every variant follows its base.
+
+    The result is stored and checked: raises if a base leaks, or if fewer than ``min_multihot``
+    samples have nodes both fixed and loaded.
+    """
     chosen = base_splits(manifest, rules).select("base_sample_id", "split")
-    return manifest.drop("split").join(chosen, "base_sample_id", "left")
+    assigned = store_once(manifest.drop("split").join(chosen, "base_sample_id", "left"), "splits")
+    check_leakage(assigned)
+    if min_multihot:
+        check_multihot(assigned, min_multihot)
+    return assigned
 
 
 def leaked_bases(manifest: DataFrame) -> DataFrame:

@@ -241,6 +241,14 @@ def test_shape_parameters_stay_in_range(spark):
                     assert [hole[f"centre_{c}"] is None for c in "xyz"].index(True) == hole["axis"]
 
 
+def test_a_leak_in_the_composition_raises(spark, monkeypatch):
+    manifest = mock_manifest(spark, 6)
+    torn = manifest.select("base_sample_id").distinct().select("base_sample_id", F.explode(F.array(F.lit("train"), F.lit("test"))).alias("split"))
+    monkeypatch.setattr(splits, "base_splits", lambda *_: torn)
+    with pytest.raises(splits.SplitLeakage, match="base_"):
+        splits.assign_splits(manifest, DEFAULTS.splitting)
+
+
 def test_no_valid_face_is_an_error_and_a_lone_face_is_multihot(spark):
     def plan(faces):
         df = spark.createDataFrame([("base_000001", faces)], "base_sample_id string, faces array<string>")
