@@ -2,13 +2,16 @@
 
 All samples and all starts advance together, one join per hop. The mesh graph is
 undirected, so the neighbours of hop k lie on hops k-1, k or k+1: a new
-frontier is checked against the last two only, and each round costs the size of
-the frontier. Every frontier is a table in the shared folder, one partition per hop,
+frontier is checked against the last two only. Neighbour lists are a bucketed table,
+so a hop shuffles its frontier and reads, but never moves or sorts, the edges. Every frontier is a table in the shared folder, one partition per hop,
 so losing executors repeats one hop at most and the result is read back as a whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
@@ -19,26 +22,35 @@ from meshloom.session import cut_lineage, scratch_path
 KEY = ["sample_id", "start", "node_id"]
 
 
-def prepared_edges(edges: DataFrame) -> DataFrame:
-    """Directed edges, placed and sorted by (sample, src) once for all hops.
+@contextmanager
+def neighbour_lists(edges: DataFrame) -> Iterator[DataFrame]:
+    """(sample_id, node_id, dsts) as a table bucketed by (sample_id, node_id), for the time of the block.
 
-    The checkpoint keeps placement and order, so a hop moves only its frontier.
+    A list is bounded by the degree of a mesh node. The bucketing is what keeps edges in place from hop to
+    hop: a checkpoint would lose it.
     """
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = edges.select("sample_id", "src", "dst").repartition(parts, "sample_id", "src")
-    return cut_lineage(placed.sortWithinPartitions("sample_id", "src"))
-
-
-def breadth_first(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    spark = edges.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "edges")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    lists = edges.groupBy("sample_id", F.col("src").alias("node_id")).agg(F.collect_set("dst").alias("dsts"))
+    placed = lists.repartition(parts, "sample_id", "node_id").write.bucketBy(parts, "sample_id", "node_id")
+    placed.option("path", path).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+
+
+def breadth_first(lists: DataFrame, sources: DataFrame) -> DataFrame:
     """Distance of every reached node from the nearest source.
 
     ``sources``: (sample_id, start, node_id); rows with the same ``start`` act as one
-    set. ``edges`` should come from :func:`prepared_edges`.
+    set. ``lists`` comes from :func:`neighbour_lists`.
     """
-    spark = edges.sparkSession
+    spark = lists.sparkSession
     first = sources.select(*KEY).distinct()
     path = scratch_path(spark, "hops")
-    step = edges.select("sample_id", F.col("src").alias("node_id"), "dst")
 
     def stored(rows: DataFrame, hop: int) -> tuple[DataFrame, int]:
         seen_rows = Observation()
@@ -51,8 +63,7 @@ def breadth_first(edges: DataFrame, sources: DataFrame) -> DataFrame:
     while found:
         hop += 1
         reached = (
-            frontier.join(step, ["sample_id", "node_id"])
-            .select("sample_id", "start", F.col("dst").alias("node_id"))
+            next_nodes(frontier, lists)
             .distinct()
         )
         fresh, found = stored(reached.join(seen, KEY, "left_anti"), hop)
@@ -61,6 +72,12 @@ def breadth_first(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return spark.read.schema(levels).parquet(path)
 
 
+def next_nodes(frontier: DataFrame, lists: DataFrame) -> DataFrame:
+    """Neighbours of a frontier. It is hashed, so the lists need no sort either."""
+    met = frontier.hint("shuffle_hash").join(lists, ["sample_id", "node_id"])
+    return met.select("sample_id", "start", F.explode("dsts").alias("node_id"))
+
+
 def node_universe(nodes: DataFrame, edges: DataFrame, universe: str) -> DataFrame:
     """``all`` counts every node of the sample, ``used`` only those on an edge."""
     if universe == "all":
@@ -82,7 +99,8 @@ def hops_to_sources(
     sources = nodes.select(
         "sample_id", "node_id", F.explode(F.array_compact(tagged)).alias("start")
     )
-    found = breadth_first(prepared_edges(edges), sources)
+    with neighbour_lists(edges) as lists:
+        found = breadth_first(lists, sources)
     wide = found.groupBy("sample_id", "node_id").agg(
         *[F.max(F.when(F.col("start") == n, F.col("hops"))).alias(n) for n in flags]
     )
@@ -123,17 +141,18 @@ def graph_diameter(
     """Double-sweep diameter per sample: a lower bound that is exact on trees.
 
     Each start sweeps to its farthest node (ties: smallest id), then from there;
-    the largest eccentricity wins. A disconnected sample gives -1.
+    the largest eccentricity wins. A disconnected sample gives -1; a sample without
+    edges gives 0 if it has one node, else -1.
     """
     members = cut_lineage(node_universe(nodes, edges, universe))
-    ready = prepared_edges(edges)
-    first = breadth_first(ready, seeded_starts(members, starts, seed))
-    far = (
-        first.groupBy("sample_id", "start")
-        .agg(F.max(F.struct("hops", (-F.col("node_id")).alias("neg"))).alias("far"))
-        .select("sample_id", "start", (-F.col("far.neg")).alias("node_id"))
-    )
-    second = breadth_first(ready, far)
+    with neighbour_lists(edges) as lists:
+        first = breadth_first(lists, seeded_starts(members, starts, seed))
+        far = (
+            first.groupBy("sample_id", "start")
+            .agg(F.max(F.struct("hops", (-F.col("node_id")).alias("neg"))).alias("far"))
+            .select("sample_id", "start", (-F.col("far.neg")).alias("node_id"))
+        )
+        second = breadth_first(lists, far)
     sweeps = (
         second.groupBy("sample_id", "start")
         .agg(F.max("hops").alias("ecc"), F.count(F.lit(1)).alias("reached"))
@@ -141,9 +160,15 @@ def graph_diameter(
         .agg(F.max("ecc").alias("ecc"), F.min("reached").alias("reached"))
     )
     sizes = members.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.join(sweeps, "sample_id").select(
+    counts = nodes.groupBy("sample_id").agg(F.count(F.lit(1)).alias("nodes"))
+    found = counts.join(sizes.join(sweeps, "sample_id"), "sample_id", "left")
+    without_edges = F.when(F.col("nodes") == 1, 0).otherwise(-1)
+    return found.select(
         "sample_id",
-        F.when(F.col("reached") < F.col("n"), -1).otherwise(F.col("ecc")).alias("graph_diameter"),
+        F.when(F.col("n").isNull(), without_edges)
+        .when(F.col("reached") < F.col("n"), -1)
+        .otherwise(F.col("ecc"))
+        .alias("graph_diameter"),
     )
 
 
@@ -154,11 +179,9 @@ def connectivity(nodes: DataFrame, edges: DataFrame, universe: str = "all") -> D
         F.count(F.lit(1)).alias("n"), F.min("node_id").alias("node_id")
     )
     start = sizes.select("sample_id", F.lit(1).alias("start"), "node_id")
-    reached = (
-        breadth_first(prepared_edges(edges), start)
-        .groupBy("sample_id")
-        .agg(F.count(F.lit(1)).alias("reached"))
-    )
+    with neighbour_lists(edges) as lists:
+        found = breadth_first(lists, start)
+    reached = found.groupBy("sample_id").agg(F.count(F.lit(1)).alias("reached"))
     return sizes.join(reached, "sample_id").select(
         "sample_id", (F.col("reached") == F.col("n")).alias("is_connected")
     )

@@ -220,3 +220,20 @@ def test_single_node_has_diameter_zero(spark):
     nodes = spark.createDataFrame([(1, 0)], "sample_id long, node_id long")
     edges = spark.createDataFrame([], "sample_id long, src long, dst long")
     assert hops.graph_diameter(nodes, edges, universe="all").first()["graph_diameter"] == 0
+
+
+def test_a_hop_shuffles_its_frontier_only(spark, tmp_path):
+    edges = spark.createDataFrame([(1, i, j) for i in range(30) for j in (i - 1, i + 1) if 0 <= j < 30], "sample_id long, src long, dst long")
+    spark.createDataFrame([(1, 1, 0)], "sample_id long, start int, node_id long").write.parquet(f"{tmp_path}/frontier")
+    with hops.neighbour_lists(edges) as lists:
+        reached = hops.next_nodes(spark.read.parquet(f"{tmp_path}/frontier"), lists)
+        plan = reached._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Sort " not in plan
+        assert [tuple(r) for r in reached.collect()] == [(1, 1, 1)]
+
+
+def test_diameter_of_samples_without_edges(spark):
+    nodes = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 0), (3, 1)], "sample_id long, node_id long")
+    edges = spark.createDataFrame([(1, 0, 1), (1, 1, 0)], "sample_id long, src long, dst long")
+    out = {r["sample_id"]: r["graph_diameter"] for r in hops.graph_diameter(nodes, edges).collect()}
+    assert out == {1: 1, 2: 0, 3: -1}
