@@ -123,9 +123,8 @@ WALKS = [(STRIDE[p[0]], STRIDE[p[0]] + STRIDE[p[1]]) for p in permutations(range
 def mesh_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, size = F.col("p_partkey"), F.col("p_size")
     # A row grows to hundreds of nodes and elements: spread the rows while they are small.
-    part = table(spark, sf_dir, "part").repartition(
-        spark.sparkContext.defaultParallelism, "p_partkey"
-    )
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part = table(spark, sf_dir, "part").repartition(parts, "p_partkey")
     return part.select(
         key.alias("sample_id"),
         (1 + size % 3).cast("int").alias("a"),
@@ -245,4 +244,6 @@ def mesh_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
         elements, lump_forces(masked_nodes(spark, sf_dir), loads),
         [*[f"s_{v}" for v in VOIGT], "von_mises"],
     )
-    return mark_surface(stressed, elements)
+    # The surface follows from connectivity alone: no need to solve the elements again.
+    plain = mesh_elements(spark, sf_dir).select("sample_id", "elem_id", corners("nodes").alias("nodes"))
+    return mark_surface(stressed, plain)
