@@ -103,7 +103,7 @@ def pieces_of(ids: np.ndarray, capacity: int) -> list[tuple[int, int]]:
 
 
 def tokenise(
-    docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, batch_chars: int = 8 << 20
+    docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False, batch_chars: int = 4 << 20
 ) -> DataFrame:
     """Pieces of every document: doc_id, piece, start, length, ids_crc32 and, if asked for, ids."""
     small_batches(docs.sparkSession)
