@@ -10,8 +10,9 @@ their first |s| - ceil(t|s|) + l share at least l: the longer the prefix, the mo
    cost: the lists that its prefix reads, and a verification for each candidate these can yield with l matches.
 4. Nodes sharing a shingle of their prefixes are candidates. Where many nodes share much (a family of
    near copies), pairs are not listed: in each round a node is compared with one pivot of its lists, and
-   linked nodes become one component. Pairs within a component need no comparing. When the pairs
-   between components are few per list entry, they are listed, and those with min(l, l') matches or more are verified.
+   linked nodes become one component. Pairs within a component need no comparing, so the next round orders
+   shingles anew: those of one component alone come first and match nothing. When a round links few
+   nodes, the pairs left between components are listed, and those with min(l, l') matches or more are verified.
 
 All links between different texts count, so components are exact, up to equal 64-bit hashes. Null and
 empty texts have no shingles and link with nothing; a text with fewer words than a shingle is one
@@ -29,17 +30,15 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshloom.llm.common import free_name, table, text_of
+from meshloom.llm.common import by_ids, free_name, small_batches, table, text_of
 from meshloom.llm.components import components
 from meshloom.session import store_once
 
 #: Texts are shingled in batches of about this many characters.
-BATCH_CHARS = 8 << 20
-#: Id lists up to this many rows may be broadcast; longer ones are joined by shuffle.
-BROADCAST_ROWS = 500_000
+BATCH_CHARS = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -54,9 +53,9 @@ class Join:
     longest: int = 16
     #: Estimated cost of a verification, in list entries read.
     verification: float = 20.0
-    #: Pairs are listed when there are at most so many for each list entry.
-    pairs_per_entry: float = 2.0
-    rounds: int = 16
+    #: Rounds go on while at least this share of the nodes in them finds its pivot similar.
+    yielding: float = 0.05
+    rounds: int = 12
 
     def prefix(self, n: int, matches: int) -> int:
         return min(n, n + (-self.num * n) // self.den + matches)
@@ -176,13 +175,14 @@ def sieved(docs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
         )
 
     sent = store_once(over_sets(docs.select("text"), join, make, "h long, node long, here long"), "prefixes")
-    held = sent.filter("h is not null")
-    shared = held.groupBy("h").agg(
-        (F.coalesce(F.min("node") < F.max("node"), F.lit(False)) | (F.count("node") < F.count(F.lit(1)))).alias("shared")
-    )
-    found = held.filter("node is not null").join(shared.filter("shared").select("h"), "h").groupBy("node").agg(
-        F.count(F.lit(1)).alias("here")
+    # A batch sends a shingle once, so combining before the shuffle would save nothing, and a shingle that a third of
+    # all documents hold has a row a batch here, not a row a document: one window is enough.
+    among = Window.partitionBy("h")
+    several = (F.min("node").over(among) < F.max("node").over(among)) | (
+        F.count("node").over(among) < F.count(F.lit(1)).over(among)
     )
+    held = sent.filter("h is not null").select("h", "node").withColumn("shared", several)
+    found = held.filter("shared and node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("here"))
     # Batches that hold copies of a node may count a shingle twice, which keeps a node too many at worst.
     local = sent.filter("h is null").groupBy("node").agg(F.sum("here").alias("here"))
     total = found.unionByName(local).groupBy("node").agg(F.sum("here").alias("shared"))
@@ -191,11 +191,6 @@ def sieved(docs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
     return nodes.join(total, "node").filter(F.col("shared") >= 1 + F.floor(smallest * join.sieve))
 
 
-def by_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
-    """``df`` for the given stored ``ids``: broadcast if they are few, else shuffled."""
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, on)
-
-
 def sets_of(docs: DataFrame, survivors: DataFrame, join: Join) -> DataFrame:
     """node, n and the shingles (bytes) of the surviving nodes, from one document of each."""
 
@@ -217,8 +212,8 @@ def sets_of(docs: DataFrame, survivors: DataFrame, join: Join) -> DataFrame:
     return sets if sets.count() <= wanted.count() else store_once(sets.dropDuplicates(["node"]), "sets")
 
 
-def prefix_entries(sets: DataFrame, join: Join) -> DataFrame:
-    """h, node, n and matches: the shared shingles of each node's chosen prefix, rarest first."""
+def prefix_entries(sets: DataFrame, comp: DataFrame | None, join: Join) -> DataFrame:
+    """h, node, n, matches and single (shingles that no other component has): the rest of each node's chosen prefix."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,20 +221,27 @@ def prefix_entries(sets: DataFrame, join: Join) -> DataFrame:
                 part = batch.slice(at, 200)
                 sizes = part["n"].to_numpy()
                 h = np.concatenate([np.frombuffer(d.as_buffer(), dtype=np.int64) for d in part["shingles"]])
-                node, n = np.repeat(part["node"].to_numpy(), sizes), np.repeat(sizes, sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(node), pa.array(n)], names=["h", "node", "n"])
-
-    listed = sets.mapInArrow(tokens, "h long, node long, n long")
-    frequency = listed.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+                ids = [pa.array(np.repeat(part[c].to_numpy(), sizes)) for c in ("node", "comp")]
+                yield pa.RecordBatch.from_arrays([pa.array(h), *ids, pa.array(np.repeat(sizes, sizes))], names=["h", "node", "comp", "n"])
+
+    placed = with_components(sets, comp).select("node", "comp", "n", "shingles")
+    listed = placed.mapInArrow(tokens, "h long, node long, comp long, n long")
+    frequency = (
+        listed.groupBy("h")
+        .agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("a"), F.max("comp").alias("b"))
+        .filter("a < b")
+        .select("h", "df")
+    )
     known = (
-        listed.join(frequency, "h")
+        listed.select("h", "node", "n")
+        .join(frequency, "h")
         .groupBy("node", "n")
         .agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("shared"))
     )
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
             lists = batch["shared"]
             ends, fields = lists.offsets.to_numpy(), lists.values
             df_all, h_all = fields.field("df").to_numpy(), fields.field("h").to_numpy()
@@ -253,14 +255,14 @@ def prefix_entries(sets: DataFrame, join: Join) -> DataFrame:
                 size, k = int(sizes[best]), int(matches[best])
                 if size < k:  # too few shared shingles for this many matches
                     continue
-                for column, x in zip(out, (h[:size], np.full(size, node), np.full(size, n), np.full(size, k)), strict=True):
+                for column, x in zip(out, (h[:size], *(np.full(size, v) for v in (node, n, k, single))), strict=True):
                     column.append(x)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([*c, np.zeros(0, np.int64)]).astype(np.int64)) for c in out],
-                names=["h", "node", "n", "matches"],
+                names=["h", "node", "n", "matches", "single"],
             )
 
-    return known.mapInArrow(choose, "h long, node long, n long, matches long")
+    return known.mapInArrow(choose, "h long, node long, n long, matches long, single long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
@@ -282,37 +284,49 @@ def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     return left.join(right, "v").select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
 
 
-def near_components(entries: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
+def with_components(df: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """Add the component of each node, itself if it is in none."""
+    if comp is None:
+        return df.withColumn("comp", F.col("node"))
+    return df.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def near_components(sets: DataFrame, join: Join) -> DataFrame:
     """node and comp (the least node of its component) of all nodes that link with another."""
-    comp = None
+    comp, open_sets, listing = None, sets, False
     for turn in range(join.rounds + 1):
-        if comp is None:
-            placed = entries.withColumn("comp", F.col("node"))
-        else:
-            placed = entries.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        counts = placed.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("m"))
-        lists = (
-            counts.groupBy("h")
-            .agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"), F.count(F.lit(1)).alias("comps"))
-            .filter("comps > 1")
-        )
-        live = store_once(placed.join(lists, "h"), "live")
-        work = live.agg(F.count(F.lit(1)), F.sum((F.col("m") - F.col("own") / F.col("m")) / 2)).first()
-        if not work[0]:
+        entries = store_once(prefix_entries(open_sets, comp, join), "entries")
+        placed = with_components(entries, comp)
+        shared = placed.groupBy("h").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b")
+        live = store_once(placed.join(shared.select("h"), "h"), "live")
+        # A node outside these lists has no link to another component.
+        nodes = store_once(live.select("node").distinct(), "open")
+        left = nodes.count()
+        if not left:
             break
-        last = work[1] <= join.pairs_per_entry * work[0] or turn == join.rounds
-        pairs = store_once(listed_pairs(live, join) if last else pivot_pairs(live, join, turn), "pairs")
-        links = store_once(verified(pairs, sets, join), "linked")
-        if links.isEmpty():
-            if last:
-                break
-            continue
-        edges = links if comp is None else joined_components(links, comp)
-        roots = components(edges)
-        comp = store_once(moved(comp, roots), "components")
-        if last:
-            break
-    return comp if comp is not None else entries.sparkSession.createDataFrame([], "node long, comp long")
+        if not listing and turn < join.rounds:
+            links = linked(pivot_pairs(live, join, turn), sets, join)
+            found = links.count()
+            listing = found < join.yielding * left
+            if found:
+                comp = merged(comp, links)
+                open_sets = by_ids(sets, nodes, "node")
+                continue
+        links = linked(listed_pairs(live, join), sets, join)
+        if not links.isEmpty():
+            comp = merged(comp, links)
+        break
+    return comp if comp is not None else sets.select("node", F.col("node").alias("comp")).limit(0)
+
+
+def linked(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
+    return store_once(verified(store_once(pairs, "pairs"), sets, join), "linked")
+
+
+def merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after more links between nodes."""
+    edges = links if comp is None else joined_components(links, comp)
+    return store_once(moved(comp, components(edges)), "components")
 
 
 def joined_components(links: DataFrame, comp: DataFrame) -> DataFrame:
@@ -339,21 +353,28 @@ def moved(comp: DataFrame | None, roots: DataFrame) -> DataFrame:
     )
 
 
-def sizes_fit(join: Join, n: str, m: str):
-    return F.least(F.col(n), F.col(m)) * join.den >= F.greatest(F.col(n), F.col(m)) * join.num
+def may_link(join: Join, n: str, m: str, single_n: str, single_m: str) -> Column:
+    """Whether sets of n and m, of which so many shingles occur in no other component, can be similar enough."""
+    most = F.least(F.col(n) - F.col(single_n), F.col(m) - F.col(single_m))
+    return most * (join.num + join.den) >= (F.col(n) + F.col(m)) * join.num
 
 
 def pivot_pairs(live: DataFrame, join: Join, turn: int) -> DataFrame:
-    """Each node with the one pivot of its lists that shares most of them, if it is of another component."""
-    member = F.struct(F.xxhash64(F.lit(turn), "node").alias("draw"), "node", "comp", "n", "matches")
+    """Each node with the one pivot of its lists that shares most of them, if it is of another component.
+
+    The pivot of a list is its node with the smallest share of single shingles. Near copies differ from one another by
+    the changes of both, so the least changed one links with most of them.
+    """
+    changed = (F.col("single") / F.col("n")).alias("changed")
+    member = F.struct(changed, F.xxhash64(F.lit(turn), "node").alias("draw"), "node", "comp", "n", "matches", "single")
     pivots = live.groupBy("h").agg(F.min(member).alias("p"))
     met = live.join(pivots, "h").select(
-        "node", "n", "matches", F.col("comp"), F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"),
-        F.col("p.comp").alias("pcomp"), F.least("matches", "p.matches").alias("asked"),
+        "node", "n", "single", "comp", F.least("matches", "p.matches").alias("asked"), F.col("p.node").alias("pivot"),
+        F.col("p.n").alias("pn"), F.col("p.single").alias("psingle"), F.col("p.comp").alias("pcomp"),
     )
     shared = (
         met.filter("comp <> pcomp")
-        .filter(sizes_fit(join, "n", "pn"))
+        .filter(may_link(join, "n", "pn", "single", "psingle"))
         .groupBy("node", "pivot", "asked")
         .agg(F.count(F.lit(1)).alias("shared"))
         .filter("shared >= asked")
@@ -364,11 +385,19 @@ def pivot_pairs(live: DataFrame, join: Join, turn: int) -> DataFrame:
 
 def listed_pairs(live: DataFrame, join: Join) -> DataFrame:
     """All pairs of different components with enough matches in their prefixes."""
-    a = live.select("h", F.col("node").alias("u"), F.col("comp").alias("cu"), F.col("n").alias("nu"), F.col("matches").alias("mu"))
-    b = live.select(F.col("h").alias("hv"), F.col("node").alias("v"), F.col("comp").alias("cv"), F.col("n").alias("nv"), F.col("matches").alias("mv"))
+    sides = [
+        live.select(*[F.col(c).alias(f"{side}_{c}") for c in ("h", "node", "comp", "n", "matches", "single")]) for side in "uv"
+    ]
+    met = (
+        (F.col("u_h") == F.col("v_h"))
+        & (F.col("u_node") < F.col("v_node"))
+        & (F.col("u_comp") != F.col("v_comp"))
+        & may_link(join, "u_n", "v_n", "u_single", "v_single")
+    )
     return (
-        a.join(b, (F.col("h") == F.col("hv")) & (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv")) & sizes_fit(join, "nu", "nv"))
-        .groupBy("u", "v", F.least("mu", "mv").alias("asked"))
+        sides[0]
+        .join(sides[1], met)
+        .groupBy(F.col("u_node").alias("u"), F.col("v_node").alias("v"), F.least("u_matches", "v_matches").alias("asked"))
         .agg(F.count(F.lit(1)).alias("shared"))
         .filter("shared >= asked")
         .select("u", "v")
@@ -385,6 +414,7 @@ def referred(df: DataFrame) -> DataFrame:
 
 def grouped(df: DataFrame, join: Join) -> DataFrame:
     """doc_id, ref, text_hash, n_shingles, root (a node of its group; null without shingles) and component_id of every row."""
+    small_batches(df.sparkSession)
     docs = referred(df)
     rows = store_once(document_nodes(docs, join), "nodes")
     nodes = store_once(
@@ -395,8 +425,7 @@ def grouped(df: DataFrame, join: Join) -> DataFrame:
     )
     survivors = sieved(docs, nodes, join)
     sets = sets_of(docs, survivors, join)
-    entries = store_once(prefix_entries(sets, join), "entries")
-    comp = near_components(entries, sets, join)
+    comp = near_components(sets, join)
     named = nodes.select("node", "first_doc").join(comp, "node")
     first = named.groupBy("comp").agg(F.min("first_doc").alias("component"))
     linked = named.join(first, "comp").select("node", "comp", "component")
@@ -433,18 +462,13 @@ def one_of_each_group(df: DataFrame, join: Join = Join(words=5, num=4, den=5)) -
         ref, F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.hex(text_hash)))
     )
     keys = [ref, text_hash]
-    left = without(found, store_once(gone.toDF(*keys), "gone"), keys)
+    left = by_ids(found, store_once(gone.toDF(*keys), "gone"), keys, "left_anti")
     repeated = store_once(again.toDF(*keys), "repeated")
     if not repeated.isEmpty():
         once = left.join(repeated, keys, "left_semi").dropDuplicates(keys)
-        left = without(left, repeated, keys).unionByName(once)
+        left = by_ids(left, repeated, keys, "left_anti").unionByName(once)
     return left.select(*[f"`{c}`" for c in df.columns])
 
 
-def without(df: DataFrame, ids: DataFrame, keys: list[str]) -> DataFrame:
-    """``df`` without the stored ``ids``: broadcast if they are few, else shuffled."""
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, keys, "left_anti")
-
-
 def op5_adaptive_prefix(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))

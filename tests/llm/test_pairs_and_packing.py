@@ -80,7 +80,7 @@ def families(rng, groups, copies):
     [
         Join(),
         Join(words=5, num=4, den=5),
-        Join(pairs_per_entry=0.0, rounds=3),
+        Join(yielding=0.0, rounds=3),
         Join(words=2, num=1, den=2, sieve=0.2, longest=4),
     ],
 )
