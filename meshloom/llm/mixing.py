@@ -1,6 +1,7 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
-The mix is ``blocks`` blocks of equally many words. Each goes to the source with the
+The mix is blocks of equally many words: a hundredth of the smallest target each, but a word
+at least and a 2^18th of all words at most, or as many as ``blocks`` says. Each goes to the source with the
 highest quotient target / (2k + 1), k being the blocks it has so far; shard after shard
 takes an equal run of that sequence, which gives integer quotas per shard. A source's
 documents lie in a seeded order as one stream of words, which starts over when it ends;
@@ -16,8 +17,9 @@ Nulls: a null text has no words; a null source is a source. Documents without wo
 returned with ``taken`` 0. Repeated rows are separate documents. An empty table, or one
 without words, takes nothing. Added columns replace columns of the same names.
 
-The order is cut in bins by hash, so a source of any size spreads over all tasks. What is
-sorted in one task has a row a source or a block of the mix, never a row a document.
+The order is cut in bins by hash, so a source of any size spreads over all tasks. The divisor of
+each shard's end is bracketed by sums over sources and only blocks within the bracket are ranked, so what is
+sorted in one task has a few rows a source, never a row a document or a block of the mix.
 """
 
 from __future__ import annotations
@@ -28,8 +30,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshloom.llm.common import WORD, row_hash, set_aside, table
+from meshloom.session import store_once
 
 ADDED = ("size", "source_size", "target", "taken", "shard_words")
+#: Blocks of a mix at least, and of the smallest target; a block is never less than a word.
+BLOCKS, BLOCKS_A_TARGET = 1 << 18, 100
 
 
 def words(text: Column) -> Column:
@@ -65,38 +70,59 @@ def with_targets(sizes: DataFrame, weights: tuple[int, ...], cap: float) -> Data
     )
 
 
-def quotas(targets: DataFrame, blocks: int, shards: int, cap: float) -> DataFrame:
+def quotas(targets: DataFrame, blocks: int | None, shards: int, cap: float) -> DataFrame:
     """Blocks of each source by shard: ``block_words`` and ``bounds``, the running number after each shard.
 
-    A source whose target is below half a quotient gets none. Ties go by code point.
+    Without ``blocks`` a block is a small share of the smallest target. Ties go by code point; a target of 0 gets none.
     """
-    sources = F.count(F.lit(1)).over(Window.partitionBy())
-    sized = (
-        targets.withColumn("block_words", F.greatest(F.ceil(F.col("total") / blocks), F.lit(1)).cast("long"))
-        .withColumn("_seats", F.round(F.col("total") / F.col("block_words")).cast("long"))
-        # No source passes target / divisor + 1/2 blocks, nor does the divisor fall below this.
-        .withColumn("_divisor", F.col("total") / (F.col("_seats") + sources / 2))
-        .withColumn(
+    coarse = F.greatest(F.ceil(F.col("total") / (blocks or BLOCKS)), F.lit(1))
+    smallest = F.min(F.when(F.col("target") > 0, F.col("target"))).over(Window.partitionBy())
+    fine = F.greatest(F.floor(smallest / BLOCKS_A_TARGET), F.lit(1))
+    sized = store_once(
+        targets.withColumn("block_words", (coarse if blocks else F.least(coarse, fine)).cast("long")).withColumn(
             "_most",
-            # Where there are no words the divisor is 0; least() passes over the null, and 0 words allow 0 blocks.
-            F.least(
-                F.floor(F.try_divide("target", "_divisor") + 0.5) + 1,
-                F.floor(F.col("source_size") * cap / F.col("block_words")),
-            ).cast("long"),
-        )
+            F.when(F.col("target") > 0, F.floor(F.col("source_size") * cap / F.col("block_words"))).otherwise(0).cast("long"),
+        ),
+        "mix-sources",
     )
-    claims = sized.filter("_most > 0").select(
-        "_null", "_source", "target", "_seats", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_most") - 1)).alias("_k")
+    n, words_, wanted, most, block = sized.agg(
+        F.count(F.lit(1)), F.first("total"), F.sum("target"), F.sum("_most"), F.first("block_words")
+    ).first()
+    seats = math.floor(words_ / block + 0.5) if wanted else 0
+    ends = [min(-(-(s + 1) * seats // shards), most or 0) for s in range(shards)]
+
+    def held(rate: float) -> Column:
+        """Blocks of a source whose quotients reach a divisor, the divisor being 1 / ``rate``."""
+        return F.least(F.col("_most"), F.floor(F.col("target") * rate + 0.5)).cast("long")
+
+    # A source's blocks are within a half of target * rate, so some n blocks to either side of an end decide it.
+    # Sources that are full leave their blocks to others, for which the rate rises until all blocks are given.
+    low = [max(0.0, end - n - 1) / wanted if wanted else 0.0 for end in ends]
+    slack = [n + 1] * shards
+    while True:
+        high = [(end + more) / wanted if wanted else 0.0 for end, more in zip(ends, slack, strict=True)]
+        given = [x or 0 for x in sized.agg(*[F.sum(held(rate)) for rate in (*low, *high)]).first()]
+        short = [s for s in range(shards) if given[shards + s] < ends[s]]
+        if not short:
+            break
+        slack = [more * 2 if s in short else more for s, more in enumerate(slack)]
+    margin = F.array(
+        *[F.struct(F.lit(s).alias("_shard"), held(low[s]).alias("_from"), held(high[s]).alias("_to")) for s in range(shards)]
     )
-    order = Window.orderBy(F.desc(F.col("target") / (2 * F.col("_k") + 1)), "_null", "_source", "_k")
+    claims = (
+        sized.select("_null", "_source", "target", F.inline(margin))
+        .filter("_to > _from")
+        .select("_null", "_source", "target", "_shard", F.explode(F.expr("sequence(_from, _to - 1)")).alias("_k"))
+    )
+    order = Window.partitionBy("_shard").orderBy(F.desc(F.col("target") / (2 * F.col("_k") + 1)), "_null", "_source", "_k")
+    left = F.array(*[F.lit(ends[s] - given[s]).cast("long") for s in range(shards)])
     won = (
         claims.withColumn("_rank", F.row_number().over(order))
-        .filter("_rank <= _seats")
-        .withColumn("_shard", F.expr(f"((_rank - 1) * {shards}) div _seats"))
+        .filter(F.col("_rank") <= F.get(left, F.col("_shard")))
         .groupBy("_null", "_source")
-        .agg(*[F.count(F.when(F.col("_shard") <= s, 1)).alias(f"_q{s}") for s in range(shards)])
+        .agg(*[F.count(F.when(F.col("_shard") == s, 1)).alias(f"_q{s}") for s in range(shards)])
     )
-    bounds = F.array(*[F.coalesce(F.col(f"_q{s}"), F.lit(0).cast("long")) for s in range(shards)])
+    bounds = F.array(*[held(low[s]) + F.coalesce(F.col(f"_q{s}"), F.lit(0).cast("long")) for s in range(shards)])
     return sized.join(won, ["_null", "_source"], "left").select(
         "_null", "_source", "source_size", "target", "block_words", bounds.alias("bounds")
     )
@@ -106,7 +132,7 @@ def mix(
     df: DataFrame,
     weights: tuple[int, ...] = (5, 2, 1),
     cap: float = 3.0,
-    blocks: int = 1 << 18,
+    blocks: int | None = None,
     shards: int = 16,
     seed: int = 23,
     text: str = "text",

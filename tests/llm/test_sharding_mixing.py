@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -94,6 +95,34 @@ def test_quotas_are_sainte_lague(spark):
     assert {s: r["k"] for s, r in found.items()} == {s: seats[s] * block for s in found}
 
 
+def test_small_sources_meet_their_targets_in_a_large_mix(spark):
+    rows = [("large", 1 << 20)] * 4096 + [(f"s{i}", n) for i, n in enumerate([1, 90, 1_500, 5_999, 10_500, 40_000])]
+    out = mix(spark.createDataFrame(rows, "source string, n long"), size="n").groupBy("source").agg(
+        F.max("target").alias("target"), F.sum("taken").alias("taken"), F.sum("size").alias("size")
+    )
+    found = {r["source"]: r for r in out.collect()}
+    targets = water_filling({s: r["size"] for s, r in found.items()}, (5, 2, 1), 3)
+    assert all(abs(r["taken"] - targets[s]) <= max(1, 0.01 * targets["s0"]) for s, r in found.items())
+
+
+def test_full_sources_leave_their_blocks_to_others(spark):
+    rng = random.Random(8)
+    for blocks, shards in ((9, 4), (60, 16), (500, 3)):
+        rows = [(f"s{i:02}", rng.choice([3, 40, 41, 500, 9000])) for i in range(25)]
+        out = mix(spark.createDataFrame(rows, "source string, n long"), cap=1.2, blocks=blocks, shards=shards, size="n")
+        found = {r["source"]: r for r in out.collect()}
+        block = math.ceil(sum(n for _, n in rows) / blocks)
+        total, seats = math.floor(sum(n for _, n in rows) / block + 0.5), Counter()
+        want = defaultdict(lambda: [0] * shards)
+        for k in range(total):
+            free = [s for s in sorted(found) if (seats[s] + 1) * block <= 1.2 * found[s]["source_size"]]
+            if free:
+                s = max(free, key=lambda s: found[s]["target"] / (2 * seats[s] + 1))
+                seats[s] += 1
+                want[s][k * shards // total] += block
+        assert {s: r["shard_words"] for s, r in found.items()} == {s: want[s] for s in found}
+
+
 def test_mix_takes_words_near_targets(spark):
     df = documents(spark)
     out = mix(df).collect()
