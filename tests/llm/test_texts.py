@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import duckdb
 import pytest
@@ -170,6 +171,31 @@ def test_altered_notices_and_clean_prose():
     assert list(scanner.scan("")) == []
 
 
+@pytest.mark.parametrize("name", ["MIT-text", "CC0-1.0", "Apache-2.0-header", "GPL-3.0-header", "Reserved"])
+@pytest.mark.parametrize("width", [15, 40, 50, 72])
+@pytest.mark.parametrize("prefix", ["", " * "])
+def test_wrapped_notices_are_found_whole(name, width, prefix):
+    rng = random.Random(4)
+    body = textwrap.fill(TEMPLATES[name], width, initial_indent=prefix, subsequent_indent=prefix, break_on_hyphens=False, break_long_words=False)
+    text = f"{prose(rng, 200)}.\n{body}\n{prose(rng, 200)}."
+    assert [f[2:3] + f[4:] for f in Scanner(TEMPLATES, Limits()).scan(text)] == [(name, 0, 0)]
+
+
+def test_adjacent_notices_are_all_found():
+    scanner = Scanner(TEMPLATES, Limits())
+    names = ["CC-BY-4.0", "MIT", "MIT", "Apache-2.0-header", "Reserved", "GPL-3.0", "MIT-text", "CC-BY-SA-4.0"]
+    for joint in (" ", "\n"):
+        text = joint.join(TEMPLATES[n] for n in names)
+        found = list(scanner.scan(text))
+        assert [f[2:3] + f[4:] for f in found] == [(n, 0, 0) for n in names]
+        assert [text[f[0] : f[1]] for f in found] == [TEMPLATES[n] for n in names]
+
+
+def test_a_notice_among_many_foreign_words_is_found():
+    text = "Released under the famous and really quite good and new MIT License. All rights reserved."
+    assert [f[2:3] + f[4:] for f in Scanner(TEMPLATES, Limits()).scan(text)] == [("MIT", 0, 7), ("Reserved", 0, 0)]
+
+
 def test_license_scan_of_odd_rows(spark):
     rows = odd_rows() + [(5000, "Released under the MIT License.\n" + "filler words here. " * 20 + "All rights reserved.", "en", "s", 1)]
     out = scan_licenses(documents(spark, rows)).collect()
