@@ -12,13 +12,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshloom.llm.jaccard_join import Join, one_of_each_group
+from meshloom.llm.jaccard_join import Join, one_of_each_group, with_group
 from meshloom.llm.line_dedup import drop_site_lines
 from meshloom.llm.mixing import mixed_documents
 from meshloom.llm.packing import pack_documents, vocabulary_path
 from meshloom.llm.quality import THRESHOLD, fit_quality, with_quality
 from meshloom.session import store_once
 
+#: What the pipeline takes for near copies.
+NEAR = Join(words=5, num=4, den=5)
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose compression score reaches the threshold; the labels are those of the corpus."""
@@ -27,14 +30,18 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their source's boilerplate lines; n_chars follows the text where lines went."""
+    """Documents without their source's boilerplate lines; n_chars follows the text where lines went.
+
+    Texts that the join would group count as one page, so that near copies don't turn their own text into boilerplate.
+    """
     n_chars = F.when(F.col("dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")
-    return drop_site_lines(docs).withColumn("n_chars", n_chars).select(*docs.columns)
+    pages = with_group(docs, "near_page", NEAR)
+    return drop_site_lines(pages, page="near_page").withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five words a shingle, similarity 0.8 or more."""
-    return one_of_each_group(docs, Join(words=5, num=4, den=5))
+    return one_of_each_group(docs, NEAR)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

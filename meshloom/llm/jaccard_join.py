@@ -447,6 +447,21 @@ def near_duplicates(df: DataFrame, join: Join = Join()) -> DataFrame:
     return grouped(df, join).select("doc_id", "n_shingles", "component_id")
 
 
+def with_group(df: DataFrame, name: str, join: Join) -> DataFrame:
+    """``df`` with a column ``name``, equal for texts of one group; texts without shingles are groups by their hash."""
+    ref, text_hash = (free_name(df, x) for x in ("_ref", "_text_hash"))
+    keys = [ref, text_hash]
+    roots = store_once(
+        grouped(df, join).filter("root is not null").select("ref", "text_hash", "root").distinct().toDF(*keys, name), "roots"
+    )
+    found = df.withColumn(text_hash, F.xxhash64(text_of())).withColumn(
+        ref, F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.hex(text_hash)))
+    )
+    return found.join(roots, keys, "left").select(
+        *[f"`{c}`" for c in df.columns], F.coalesce(name, F.col(text_hash)).alias(name)
+    )
+
+
 def one_of_each_group(df: DataFrame, join: Join = Join(words=5, num=4, den=5)) -> DataFrame:
     """``df`` with one row of each group: that of the smallest id. Rows without shingles all stay."""
     rows = store_once(grouped(df, join).filter("root is not null"), "groups")

@@ -3,7 +3,8 @@
 Pages are grouped by host. A line's ratio is the number of the host's pages that contain
 it over the number of its pages; above ``max_ratio`` and on at least ``min_pages`` pages it
 is boilerplate and goes from every page of that host. A page is a distinct text: exact
-copies count once, so mirrored pages don't turn their own text into boilerplate. Lines are
+copies count once, so mirrored pages don't turn their own text into boilerplate. A caller that knows
+near copies names a column ``page``, equal for texts that count as one page of a host. Lines are
 compared without spaces, tabs and carriage returns around them; blank lines stay.
 
 A null text has no lines and stays null; a null host is a host of its own. A line repeated within a page
@@ -36,10 +37,10 @@ def line_keys(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), key)
 
 
-def boilerplate(df: DataFrame, host: Column, text: Column, max_ratio: float, min_pages: int) -> DataFrame:
+def boilerplate(df: DataFrame, host: Column, text: Column, page: Column, max_ratio: float, min_pages: int) -> DataFrame:
     """``_host`` and the array ``_boilerplate`` of line keys to drop, for hosts that have any."""
     pages = df.filter(text.isNotNull()).select(
-        host.alias("_host"), F.xxhash64(text, F.lit(2)).alias("_page"), text.alias("_text")
+        host.alias("_host"), page.alias("_page"), text.alias("_text")
     )
     totals = pages.select("_host", "_page").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
     counts = (
@@ -64,12 +65,14 @@ def drop_site_lines(
     text: str = "text",
     max_ratio: float = MAX_RATIO,
     min_pages: int = MIN_PAGES,
+    page: str | None = None,
 ) -> DataFrame:
     """``df`` with boilerplate lines gone from ``text``, and the numbers of ``lines`` and ``dropped`` ones."""
     df = df.drop("lines", "dropped")
     plain, column, original = set_aside(df)
     body = column(text)
-    drops = boilerplate(plain, column(host), body, max_ratio, min_pages)
+    alike = F.xxhash64(body, F.lit(2)) if page is None else column(page)
+    drops = boilerplate(plain, column(host), body, alike, max_ratio, min_pages)
     joined = plain.join(drops, column(host).eqNullSafe(F.col("_host")), "left")
     keyed = F.arrays_zip(F.split(body, "\n").alias("line"), line_keys(body).alias("key"))
     kept = F.filter(keyed, lambda x: x["key"].isNull() | ~F.array_contains(F.col("_boilerplate"), x["key"]))

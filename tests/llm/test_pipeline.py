@@ -1,8 +1,9 @@
+import random
 from collections import Counter
 
 import corpus_pipeline
 import pytest
-from fixtures import DOCUMENTS, documents, odd_rows, plain
+from fixtures import DOCUMENTS, documents, odd_rows, plain, prose
 from test_pairs_and_packing import brute_groups
 
 from meshloom.llm.quality import fit_quality, with_quality
@@ -46,6 +47,23 @@ def test_line_stage_keeps_rows_and_counts_characters(kept):
         assert Counter(r["text"].split("\n")) <= Counter(texts[r["doc_id"]].split("\n"))
 
 
+@pytest.mark.parametrize("copies", [6, 60])
+def test_near_copies_keep_the_lines_they_share(spark, copies):
+    rng = random.Random(6)
+    page = [prose(rng, 12) for _ in range(10)]
+    menu = "Home | About | Contact"
+    rows = [(i, f"{menu}\n{prose(rng, 60)}\n{prose(rng, 60)}", "en", "s", 1) for i in range(100)]
+    rows.append((1000, "\n".join(page), "en", "s", 1))
+    for i in range(copies):
+        near = page.copy()
+        near[i % 10] += f" edit{i}"
+        rows.append((1001 + i, "\n".join(near), "en", "s", 1))
+    out = corpus_pipeline.line_dedup(spark, documents(spark, rows, extra=False), SF).collect()
+    texts = {r[0]: r[1] for r in rows}
+    assert len(out) == len(rows)
+    assert all(r["text"] == texts[r["doc_id"]].removeprefix(f"{menu}\n") for r in out)
+
+
 def test_join_stage_keeps_the_first_of_each_group(kept):
     _, before, after = kept[2]
     rows = [(r["doc_id"], r["text"]) for r in before.collect()]
