@@ -54,7 +54,7 @@ def field_percentiles_giant_groups(spark, sf):
     """The selection path for groups too large for one task (forced by a low limit)."""
     rows = d.node_fields(spark, sf).join(d.bases(spark, sf).select("base_id", "geometry_family"), "base_id")
     named = {"p5": 0.05, "p50": 0.5, "p95": 0.95, "p100": 1.0}
-    out = percentiles_by(rows, ["geometry_family"], "von_mises", named, hot_rows=1000)
+    out = percentiles_by(rows, ["geometry_family"], "von_mises", named, rest=1000)
     return out.select("geometry_family", *[r(n, 3) for n in named])
 
 

@@ -19,7 +19,7 @@ from meshloom.operators.percentiles import percentiles_by
 
 
 def field_summary(
-    fields: DataFrame, key: str, percentile: float, vm: str = "von_mises", hot_rows: int | None = None
+    fields: DataFrame, key: str, percentile: float, vm: str = "von_mises"
 ) -> DataFrame:
     """Per base: peak and P95 von Mises, the scaling percentile, largest displacement."""
     extremes = fields.groupBy(key).agg(
@@ -27,8 +27,7 @@ def field_summary(
         F.max(norm3(F.col("ux"), F.col("uy"), F.col("uz"))).alias("ref_max_disp"),
         F.count(F.lit(1)).alias("node_count"),
     )
-    options = {} if hot_rows is None else {"hot_rows": hot_rows}
-    tails = percentiles_by(fields, [key], vm, {"ref_p95": 0.95, "ref_scale": percentile}, **options)
+    tails = percentiles_by(fields, [key], vm, {"ref_p95": 0.95, "ref_scale": percentile})
     return extremes.join(tails, key)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from meshloom.config import DEFAULTS, LinearityGate, LoadScaling, Material, Scale, Splitting
 from meshloom.functions import encode
 from meshloom.functions.uniform import between, normalised, uniform
-from meshloom.operators import batching, filters, linearity, normalize, reports, resume, scaling
+from meshloom.operators import batching, filters, linearity, normalize, percentiles, reports, resume, scaling
 from meshloom.operators.percentiles import percentiles_by
 from meshloom.operators.ranking import shuffle_rank
 from meshloom.plans import sample_plan, splits
@@ -31,10 +31,10 @@ NAMED = {"p5": 0.05, "p50": 0.5, "p95": 0.95, "p0": 0.0, "p100": 1.0}
         st.one_of(st.floats(-1e6, 1e6), st.sampled_from([0.0, 1.0, -1.0])), min_size=1, max_size=300
     )
 )
-def test_percentiles_match_numpy_on_both_paths(spark, values):
+def test_percentiles_match_numpy(spark, values):
     df = spark.createDataFrame([(1, float(v)) for v in values] + [(2, 7.5)], "k int, v double")
-    for limit in (0, 10_000):
-        rows = {r["k"]: r for r in percentiles_by(df, ["k"], "v", NAMED, hot_rows=limit).collect()}
+    for rest in (1, 10_000):
+        rows = {r["k"]: r for r in percentiles_by(df, ["k"], "v", NAMED, rest=rest).collect()}
         assert set(rows) == {1, 2} and rows[2]["p50"] == 7.5
         for name, p in NAMED.items():
             assert math.isclose(rows[1][name], np.percentile(values, 100 * p), rel_tol=1e-9, abs_tol=1e-9)
@@ -46,7 +46,7 @@ def test_large_group_selection_is_exact(spark):
     ).union(spark.range(200_000).select(F.lit(1), F.lit(3.25)))
     stored = df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.cache()
     values = np.array([r["v"] for r in stored.collect()])
-    row = percentiles_by(stored, ["k"], "v", NAMED, hot_rows=1000).first()
+    row = percentiles_by(stored, ["k"], "v", NAMED, rest=1000).first()
     whole = percentiles_by(stored, [], "v", NAMED).first()
     for name, p in NAMED.items():
         want = np.percentile(values, 100 * p)
@@ -54,6 +54,38 @@ def test_large_group_selection_is_exact(spark):
         assert math.isclose(whole[name], want, rel_tol=1e-12)
 
 
+def test_percentiles_of_odd_values_and_keys(spark):
+    inf, nan = math.inf, math.nan
+    rows = [(None, 1.0), (None, 3.0), (1, -0.0), (1, 0.0), (1, None), (2, None), (3, -inf), (3, 1e-320), (3, inf), (4, nan), (4, -1.7e308), (4, 1.7e308)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    got = {r["k"]: (r["p0"], r["p50"], r["p100"]) for r in percentiles_by(df, ["k"], "v", NAMED, rest=1).collect()}
+    assert got[None] == (1.0, 2.0, 3.0) and got[1] == (0.0, 0.0, 0.0) and got[3] == (-inf, 1e-320, inf)
+    assert got[4][:2] == (-1.7e308, 1.7e308) and math.isnan(got[4][2]) and set(got) == {None, 1, 3, 4}
+    none = percentiles_by(df.where("k = 2"), [], "v", NAMED).collect()
+    assert [tuple(r) for r in none] == [(None,) * len(NAMED)]
+    assert percentiles_by(df.where("k = 2"), ["k"], "v", NAMED).isEmpty()
+
+
+def test_value_ranges_never_fall(spark):
+    steps = [math.ldexp(1 + j / 64, e) for e in range(-1074, 1024, 7) for j in range(64)]
+    values = sorted({*steps, *[-v for v in steps], 0.0, math.inf, -math.inf})
+    ordered = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", percentiles.octave(F.col("v")).alias("o"))
+    parts = [r["o"] for r in ordered.orderBy("i").collect()]
+    assert parts == sorted(parts) and max(parts) - min(parts) < percentiles.RANGES
+
+
+def test_a_single_key_is_dealt_over_all_tasks(spark):
+    """Rows of the one range that holds the median of one key stay in as many tasks as they came from."""
+    df = spark.range(40_000).select((1 + F.rand(5) / 100).alias("v"))
+    rows = df.select(F.lit(1).alias("_k"), F.col("v").alias("_v"), F.lit(0.0).alias("_in"))
+    part = percentiles.octave(F.col("_v"))
+    wanted = percentiles._narrowed(rows, part, None, [0.5])
+    assert wanted.count() == 2
+    kept = percentiles._rows_within(rows, part, wanted, 2).withColumn("task", F.spark_partition_id())
+    sizes = [r["count"] for r in kept.groupBy("task").count().collect()]
+    assert sum(sizes) == 40_000 and len(sizes) >= 6 and max(sizes) < 15_000
+
+
 def test_binned_rank_equals_a_plain_window(spark):
     df = spark.range(5000).select(
         "id", (F.col("id") % 3).alias("g"), F.md5(F.col("id").cast("string")).alias("h")
