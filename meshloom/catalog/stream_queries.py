@@ -65,7 +65,7 @@ def progress_stream(spark, sf):
     stream.run_running_totals(
         stream.progress(rows, "ts", "1 day", F.col("event_type") != "error"), totals, state
     )
-    last = stream.latest_totals(spark, totals)
+    last = stream.latest_totals(spark, totals, ["window_start"])
     return last.select(
         F.date_format("window_start", "yyyy-MM-dd").alias("day"), "done", "passed", "rejected",
         r("per_second", 9),
@@ -89,4 +89,4 @@ def stratum_fill_stream(spark, sf):
         stream.stratum_fill(stream.stream_rows(spark, bases, schema), ["event_type"], 250),
         totals, fill_state,
     )
-    return stream.latest_totals(spark, totals).select("event_type", "base_samples", "shortfall")
+    return stream.latest_totals(spark, totals, ["event_type"]).select("event_type", "base_samples", "shortfall")

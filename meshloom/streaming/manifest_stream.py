@@ -6,7 +6,11 @@ available and stops, so it can be rerun after any interruption.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,51 +27,100 @@ def stream_rows(
 
 
 def stored_rows(spark: SparkSession, table: str, schema: StructType | str) -> DataFrame:
-    """The ingested table with its folders ``run``, ``batch`` and ``bin``; empty before the first batch."""
-    folders = StructType.fromDDL("run string, batch long, bin int")
+    """The ingested table with its folders ``run`` and ``batch``; empty before the first batch."""
     plain = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    whole = StructType([*plain.fields, *folders.fields])
+    whole = StructType([*plain.fields, *StructType.fromDDL("run string, batch long").fields])
+    return spark.read.schema(whole).parquet(table) if run_ids(spark, table) else spark.createDataFrame([], whole)
+
+
+def run_ids(spark: SparkSession, table: str) -> list[str]:
+    """The runs (one a checkpoint) that have stored rows in a table."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(path)]
+    return [n.removeprefix("run=") for n in names if n.startswith("run=")]
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """State of streams started within the block lies in RocksDB, of which a batch uploads what it changed."""
+    store = "spark.sql.streaming.stateStore"
+    wanted = {
+        f"{store}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        f"{store}.rocksdb.changelogCheckpointing.enabled": "true",
+    }
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
-        return spark.read.schema(whole).parquet(table)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], whole)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
-def store_new(
-    rows: DataFrame, table: str, checkpoint: str, key: str, event_time: str, bins: int = 64
-) -> None:
+def earliest_of_batch(rows: DataFrame, key: str, event_time: str) -> DataFrame:
+    """Of each key the row of the earliest time (null last) in a batch; rows without a key all stay.
+
+    Keys of a task are reduced before and after the shuffle, so a key delivered very often is one row a task there.
+    """
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            own = pa.Table.from_batches([batch])
+            none = pc.is_null(own[key])
+            yield from own.filter(none).to_batches()
+            own = own.filter(pc.invert(none))
+            kept = first_rows(own if kept is None else pa.concat_tables([kept, own]))
+        if kept is not None:
+            yield from kept.to_batches()
+
+    def first_rows(table: pa.Table) -> pa.Table:
+        order = pc.sort_indices(table, [(key, "ascending"), (event_time, "ascending")], null_placement="at_end")
+        table = table.take(order)
+        if len(table) < 2:
+            return table
+        keys = table[key].combine_chunks()
+        new = pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1))
+        return table.filter(pa.concat_arrays([pa.array([True]), new]))
+
+    once = rows.mapInArrow(reduce, rows.schema)
+    return once.repartition(F.col(key)).mapInArrow(reduce, rows.schema)
+
+
+def store_new(rows: DataFrame, table: str, checkpoint: str, key: str, event_time: str) -> None:
     """Append a stream to a parquet table, each key once: the first delivery, however late it comes.
 
-    Nothing is kept or dropped by a watermark. A batch is reduced to the earliest row of each
-    key, then anti-joined with the keys stored by other batches, of which only the bins that
-    occur in the batch are read. It overwrites its own folder, so a retried batch repeats itself.
-    Rows without a key can't be told apart and are all kept. ``run`` is the id of the stream:
-    a new checkpoint on an old table starts new folders.
+    A key is remembered in the state of the stream, without watermark, for good; a batch reads its own rows and the state of
+    their keys, nothing that was stored before, and within it the earliest row counts. A batch
+    overwrites its own folder, so a retried one repeats itself. Rows without a key can't be told apart and are all kept. ``run``
+    is the id of the stream: a new checkpoint on an old table starts a new run with an empty state, whose batches
+    leave out the keys of the runs before.
     """
+    spark = rows.sparkSession
+    first = earliest_of_batch(rows, key, event_time)
+    # A row without a key gets one of its own, so that the state can't take it for a repeat.
+    named = first.withColumn("_none", F.when(F.col(key).isNull(), F.uuid()))
+    fresh = named.dropDuplicates([key, "_none"]).drop("_none")
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        run = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
-        keyed = batch.where(F.col(key).isNotNull())
-        order = F.struct(F.col(event_time).isNull(), F.col(event_time))
-        first = keyed.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*batch.columns), order).alias("_row"))
-        fresh = first.select("_row.*").withColumn("bin", F.pmod(F.xxhash64(key), F.lit(bins)).cast("int"))
-        fresh = fresh.unionByName(batch.where(F.col(key).isNull()).withColumn("bin", F.lit(0)))
-        touched = [r["bin"] for r in fresh.select("bin").distinct().collect()]  # at most ``bins``
-        known = stored_rows(spark, table, batch.schema).where(F.col("bin").isin(touched))
-        known = known.where((F.col("run") != run) | (F.col("batch") < batch_id)).select(key)
-        fresh.join(known, key, "left_anti").write.mode("overwrite").partitionBy("bin").parquet(
-            f"{table}/run={run}/batch={batch_id}"
+        session = batch.sparkSession
+        run = session.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if [r for r in run_ids(session, table) if r != run]:
+            known = stored_rows(session, table, batch.schema).where(F.col("run") != run)
+            batch = batch.join(known.select(key), key, "left_anti")
+        batch.write.mode("overwrite").parquet(f"{table}/run={run}/batch={batch_id}")
+
+    with keyed_state(spark):
+        query: StreamingQuery = (
+            fresh.writeStream.foreachBatch(store)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
         )
-
-    query: StreamingQuery = (
-        rows.writeStream.foreachBatch(store)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
     query.awaitTermination()
 
 
@@ -86,7 +139,7 @@ def ingest_manifest(
 
 
 def run_running_totals(totals: DataFrame, path: str, checkpoint: str) -> None:
-    """Write the complete state of a running aggregate after every batch.
+    """Write the groups of a running aggregate that a batch changed.
 
     Each batch goes to its own folder, so a repeated batch overwrites itself.
     """
@@ -94,21 +147,22 @@ def run_running_totals(totals: DataFrame, path: str, checkpoint: str) -> None:
     def store(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    query = (
-        totals.writeStream.outputMode("complete")
-        .foreachBatch(store)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    with keyed_state(totals.sparkSession):
+        query = (
+            totals.writeStream.outputMode("update")
+            .foreachBatch(store)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
     query.awaitTermination()
 
 
-def latest_totals(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of the last batch."""
+def latest_totals(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Of each group the row of the last batch that changed it."""
     stored = spark.read.parquet(path)
-    newest = stored.select(F.max("batch")).scalar()
-    return stored.where(F.col("batch") == newest).drop("batch")
+    row = F.struct(*[c for c in stored.columns if c != "batch"])
+    return stored.groupBy(*keys).agg(F.max_by(row, "batch").alias("_row")).select("_row.*")
 
 
 def progress(rows: DataFrame, event_time: str, width: str, passed: Column) -> DataFrame:

@@ -387,6 +387,41 @@ def test_stream_keeps_late_rows_and_ignores_later_repeats(spark):
     assert stream.stored_rows(spark, table, schema).where("sample_id is not null").count() == 4
 
 
+def test_ingest_batches_read_no_stored_rows(spark, monkeypatch):
+    """Twenty batches of new, late and repeated keys; the table isn't read, and a restart adds nothing."""
+    incoming, table, state = (scratch_path(spark, n) for n in ("in", "table", "state"))
+    schema = "sample_id string, ts timestamp, ok boolean"
+
+    def deliver(n):
+        rows = [(f"s{n}", f"2024-03-{n + 1:02d}"), (f"s{n}", f"2024-02-{n + 1:02d}"), (f"s{n // 2}", "2023-01-01"), (None, None)]
+        df = spark.createDataFrame(rows, "sample_id string, day string").repartition(2)
+        df = df.select("sample_id", F.col("day").cast("timestamp").alias("ts"), F.lit(True).alias("ok"))
+        df.coalesce(1).write.mode("append").parquet(incoming)
+
+    for n in range(20):
+        deliver(n)
+    stored_rows = stream.stored_rows
+    monkeypatch.setattr(stream, "stored_rows", lambda *a: pytest.fail("a batch read the table"))
+    for _ in range(2):
+        stream.ingest_manifest(spark, incoming, schema, table, state, files_per_trigger=1)
+    monkeypatch.undo()
+    got = sorted((r["sample_id"] or "", str(r["ts"])[:10]) for r in stored_rows(spark, table, schema).collect())
+    # The first batch holds its key three times, the earliest of 2023.
+    want = [("s0", "2023-01-01")] + [(f"s{n}", f"2024-02-{n + 1:02d}") for n in range(1, 20)]
+    assert got == sorted([("", "None")] * 20 + want)
+
+
+def test_running_totals_store_what_changed(spark):
+    incoming, totals, state = (scratch_path(spark, n) for n in ("in", "totals", "state"))
+    for part in (["a", "b"], ["b", "b"], ["c"]):
+        spark.createDataFrame([(x,) for x in part], "event_type string").coalesce(1).write.mode("append").parquet(incoming)
+    rows = stream.stream_rows(spark, incoming, "event_type string", 1)
+    stream.run_running_totals(stream.stratum_fill(rows, ["event_type"], 4), totals, state)
+    assert spark.read.parquet(totals).count() == 4
+    last = stream.latest_totals(spark, totals, ["event_type"])
+    assert sorted(map(tuple, last.collect())) == [("a", 1, 3), ("b", 3, 1), ("c", 1, 3)]
+
+
 def test_csv_manifest_is_read_by_name(spark, tmp_path):
     (tmp_path / "a.csv").write_text("sample_id,base_sample_id,rejection_reason,scale_factor\ns1,b1,cap,0.5\n")
     (tmp_path / "b.csv").write_text("base_sample_id,sample_id\nb2,s2\nb3\n,\n")
