@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from meshloom.catalog.registry import query, r
 from meshloom.catalog.sqltext import r as sr
 from meshloom.catalog.sqltext import with_parts
-from meshloom.operators import hops, topology
+from meshloom.operators import contraction, hops, topology
 from meshloom.sources import derived as d
 
 
@@ -140,6 +140,21 @@ def connectivity_all_nodes(spark, sf):
     return hops.connectivity(d.mesh_nodes(spark, sf), edges)
 
 
+@query("component_sizes", with_parts("nodes edges10 mesh", """
+WITH RECURSIVE live AS (SELECT e.sample_id, src, dst FROM edges10 e
+    WHERE NOT (e.sample_id % 5 = 0 AND (src = 0 OR dst = 0)) AND NOT (e.sample_id % 3 = 0 AND (src < 20) <> (dst < 20))),
+least(sample_id, node_id, component) USING KEY (sample_id, node_id) AS (SELECT sample_id, node_id, node_id FROM nodes
+    UNION SELECT l.sample_id, l.dst, min(w.component) FROM least w JOIN live l ON l.sample_id = w.sample_id AND l.src = w.node_id
+    JOIN recurring.least r ON r.sample_id = l.sample_id AND r.node_id = l.dst WHERE w.component < r.component GROUP BY 1, 2)
+SELECT sample_id, component, count(*) AS nodes FROM least GROUP BY 1, 2"""))
+def component_sizes(spark, sf):
+    """Quadratic edges, of which some samples lack those at node 0 and some those between nodes below 20 and the others."""
+    cut = (F.col("sample_id") % 5 == 0) & ((F.col("src") == 0) | (F.col("dst") == 0))
+    halves = (F.col("sample_id") % 3 == 0) & ((F.col("src") < 20) != (F.col("dst") < 20))
+    edges = _edges(spark, sf, "tet10").where(~cut & ~halves)
+    return contraction.component_sizes(contraction.components(d.mesh_nodes(spark, sf), edges))
+
+
 _HOPS_SQL = """
 WITH RECURSIVE seed AS (SELECT sample_id, 'f' AS s, node_id FROM masked WHERE is_fixed UNION ALL
                         SELECT sample_id, 'l', node_id FROM masked WHERE is_loaded),
@@ -196,3 +211,15 @@ def graph_diameter_all_nodes(spark, sf):
     """With mid-edge nodes counted but linear edges only, every sample is disconnected."""
     found = hops.graph_diameter(d.mesh_nodes(spark, sf), _edges(spark, sf), universe="all")
     return found.select("sample_id", F.col("graph_diameter").cast("bigint").alias("graph_diameter"))
+
+
+@query("exact_diameter", with_parts("edges4 mesh", """
+WITH RECURSIVE walk(sample_id, s, v, d) USING KEY (sample_id, s, v) AS (
+    SELECT DISTINCT sample_id, src, src, 0 FROM edges4
+    UNION SELECT w.sample_id, w.s, e.dst, min(w.d + 1) FROM walk w JOIN edges4 e ON e.sample_id = w.sample_id AND e.src = w.v
+    LEFT JOIN recurring.walk r ON r.sample_id = w.sample_id AND r.s = w.s AND r.v = e.dst WHERE r.d IS NULL GROUP BY 1, 2, 3)
+SELECT sample_id, max(d)::BIGINT AS diameter, true AS exact FROM walk GROUP BY sample_id"""))
+def exact_diameter(spark, sf):
+    """The true diameter over the nodes that carry edges, against all pairs."""
+    found = hops.exact_diameter(d.mesh_nodes(spark, sf), _edges(spark, sf))
+    return found.select("sample_id", F.col("diameter").cast("bigint").alias("diameter"), "exact")

@@ -1,10 +1,11 @@
-"""Hop distances, diameter and connectivity by frontier joins.
+"""Hop distances, eccentricities and diameters by bit-parallel frontier joins.
 
-All samples and all starts advance together, one join per hop. The mesh graph is
-undirected, so the neighbours of hop k lie on hops k-1, k or k+1: a new
-frontier is checked against the last two only. Neighbour lists are a bucketed table,
-so a hop shuffles its frontier and reads, but never moves or sorts, the edges. Every frontier is a table in the shared folder, one partition per hop,
-so losing executors repeats one hop at most and the result is read back as a whole.
+All samples and all starts advance together, one join per hop; up to 64 starts of a sample share a row of
+a node, one bit of a long each, and meet in ``bit_or``, which combines map-side. The mesh graph is undirected, so the
+neighbours of hop k lie on hops k-1, k or k+1: a new frontier is checked against the last two only. Neighbour lists
+are a bucketed table: a hop shuffles its frontier and reads, but never moves or sorts, the edges; every few hops
+lists of samples that have no frontier left are dropped, in the same buckets. Every frontier is a table in the shared folder,
+one partition per hop, so losing executors repeats one hop at most and the result is read back as a whole.
 """
 
 from __future__ import annotations
@@ -12,44 +13,82 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from meshloom.functions.uniform import shuffle_key
-from meshloom.session import cut_lineage, scratch_path
+from meshloom.operators.contraction import components
+from meshloom.session import cut_lineage, scratch_path, store_once
 
-KEY = ["sample_id", "start", "node_id"]
+#: Starts of a sample that advance together: the bits of a long.
+WORD = 64
+#: Hops between two looks at which samples are unfinished.
+COMPACT_EVERY = 4
+#: Sample ids that may be broadcast to drop lists (16 bytes each); more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 
 
-@contextmanager
-def neighbour_lists(edges: DataFrame) -> Iterator[DataFrame]:
-    """(sample_id, node_id, dsts) as a table bucketed by (sample_id, node_id), for the time of the block.
+class Lists:
+    """Neighbour lists (sample_id, node_id, dsts) bucketed by (sample_id, node_id).
 
     A list is bounded by the degree of a mesh node. The bucketing is what keeps edges in place from hop to
     hop: a checkpoint would lose it.
     """
-    spark = edges.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = scratch_path(spark, "edges")
-    name = path.rsplit("/", 1)[1].replace("-", "_")
-    lists = edges.groupBy("sample_id", F.col("src").alias("node_id")).agg(F.collect_set("dst").alias("dsts"))
-    placed = lists.repartition(parts, "sample_id", "node_id").write.bucketBy(parts, "sample_id", "node_id")
-    placed.option("path", path).saveAsTable(name)
+
+    def __init__(self, edges: DataFrame):
+        self.spark = edges.sparkSession
+        self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.names: list[str] = []
+        lists = edges.groupBy("sample_id", F.col("src").alias("node_id")).agg(F.collect_set("dst").alias("dsts"))
+        self.whole = self._stored(lists.repartition(self.parts, "sample_id", "node_id"))
+        self.all_samples = self.whole.select("sample_id").distinct().count()
+        self.reset()
+
+    def reset(self) -> None:
+        self.now, self.samples = self.whole, self.all_samples
+
+    def _stored(self, lists: DataFrame) -> DataFrame:
+        path = scratch_path(self.spark, "edges")
+        name = path.rsplit("/", 1)[1].replace("-", "_")
+        lists.write.bucketBy(self.parts, "sample_id", "node_id").option("path", path).saveAsTable(name)
+        self.names.append(name)
+        return self.spark.table(name)
+
+    def keep(self, unfinished: DataFrame) -> None:
+        """Drop the lists of other samples once half of the samples have finished."""
+        left = unfinished.count()
+        if 2 * left > self.samples:
+            return
+        if left <= BROADCAST_IDS:  # a scan of buckets, filtered in place, writes the same buckets
+            kept = self.now.join(F.broadcast(unfinished), "sample_id", "left_semi")
+        else:
+            kept = self.now.join(unfinished, "sample_id", "left_semi").repartition(self.parts, "sample_id", "node_id")
+        self.now, self.samples = self._stored(kept.select("sample_id", "node_id", "dsts")), left
+
+    def close(self) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE {name}")
+
+
+@contextmanager
+def neighbour_lists(edges: DataFrame) -> Iterator[Lists]:
+    """The lists of ``edges``, for the time of the block."""
+    lists = Lists(edges)
     try:
-        yield spark.table(name)
+        yield lists
     finally:
-        spark.sql(f"DROP TABLE {name}")
+        lists.close()
 
 
-def breadth_first(lists: DataFrame, sources: DataFrame) -> DataFrame:
-    """Distance of every reached node from the nearest source.
+def breadth_first(lists: Lists, sources: DataFrame) -> DataFrame:
+    """(sample_id, node_id, bits, hops): which starts reach a node in so many hops, and in no fewer.
 
-    ``sources``: (sample_id, start, node_id); rows with the same ``start`` act as one
-    set. ``lists`` comes from :func:`neighbour_lists`.
+    ``sources``: (sample_id, node_id, bits); nodes with the same bit act as one set.
     """
-    spark = lists.sparkSession
-    first = sources.select(*KEY).distinct()
+    spark = lists.spark
+    lists.reset()
+    first = sources.groupBy("sample_id", "node_id").agg(F.bit_or("bits").alias("bits"))
     path = scratch_path(spark, "hops")
 
     def stored(rows: DataFrame, hop: int) -> tuple[DataFrame, int]:
@@ -62,11 +101,14 @@ def breadth_first(lists: DataFrame, sources: DataFrame) -> DataFrame:
     seen, hop = frontier, 0
     while found:
         hop += 1
-        reached = (
-            next_nodes(frontier, lists)
-            .distinct()
-        )
-        fresh, found = stored(reached.join(seen, KEY, "left_anti"), hop)
+        if hop % COMPACT_EVERY == 0:
+            lists.keep(frontier.select("sample_id").distinct())
+        none = F.lit(0).cast("long")
+        met = next_nodes(frontier, lists.now).select("sample_id", "node_id", "bits", none.alias("old"))
+        met = met.unionByName(seen.select("sample_id", "node_id", none.alias("bits"), F.col("bits").alias("old")))
+        reached = met.groupBy("sample_id", "node_id").agg(F.bit_or("bits").alias("bits"), F.bit_or("old").alias("old"))
+        new = reached.select("sample_id", "node_id", F.expr("bits & ~old").alias("bits")).where("bits <> 0")
+        fresh, found = stored(new, hop)
         seen, frontier = frontier.unionByName(fresh), fresh
     levels = StructType([*first.schema.fields, StructField("hops", IntegerType())])
     return spark.read.schema(levels).parquet(path)
@@ -75,7 +117,7 @@ def breadth_first(lists: DataFrame, sources: DataFrame) -> DataFrame:
 def next_nodes(frontier: DataFrame, lists: DataFrame) -> DataFrame:
     """Neighbours of a frontier. It is hashed, so the lists need no sort either."""
     met = frontier.hint("shuffle_hash").join(lists, ["sample_id", "node_id"])
-    return met.select("sample_id", "start", F.explode("dsts").alias("node_id"))
+    return met.select("sample_id", "bits", F.explode("dsts").alias("node_id"))
 
 
 def node_universe(nodes: DataFrame, edges: DataFrame, universe: str) -> DataFrame:
@@ -85,6 +127,14 @@ def node_universe(nodes: DataFrame, edges: DataFrame, universe: str) -> DataFram
     return edges.select("sample_id", F.col("src").alias("node_id")).distinct()
 
 
+def bit(i: int) -> Column:
+    return F.shiftleft(F.lit(1).cast("long"), i)
+
+
+def holds(i: int) -> Column:
+    return F.col("bits").bitwiseAND(bit(i)) != 0
+
+
 def hops_to_sources(
     nodes: DataFrame, edges: DataFrame, flags: dict[str, str]
 ) -> DataFrame:
@@ -93,16 +143,12 @@ def hops_to_sources(
     ``flags`` maps an output column to a boolean column of ``nodes``. Unreached
     nodes get the sample's node count.
     """
-    tagged = F.array(
-        *[F.when(F.col(flag), F.lit(name)) for name, flag in flags.items()]
-    )
-    sources = nodes.select(
-        "sample_id", "node_id", F.explode(F.array_compact(tagged)).alias("start")
-    )
+    tagged = sum((F.when(F.col(flag), bit(i)).otherwise(0) for i, flag in enumerate(flags.values())), F.lit(0).cast("long"))
+    sources = nodes.select("sample_id", "node_id", tagged.alias("bits")).where("bits <> 0")
     with neighbour_lists(edges) as lists:
         found = breadth_first(lists, sources)
     wide = found.groupBy("sample_id", "node_id").agg(
-        *[F.max(F.when(F.col("start") == n, F.col("hops"))).alias(n) for n in flags]
+        *[F.min(F.when(holds(i), F.col("hops"))).alias(n) for i, n in enumerate(flags)]
     )
     sizes = nodes.groupBy("sample_id").agg(F.count(F.lit(1)).alias("_n"))
     return (
@@ -117,18 +163,17 @@ def hops_to_sources(
     )
 
 
+def numbered(rows: DataFrame, order: list[Column], count: int) -> DataFrame:
+    """The first ``count`` rows of each sample (``count`` a task, before the shuffle), each with its own bit."""
+    place = Window.partitionBy("sample_id").orderBy(*order)
+    first = rows.withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= count)
+    return first.select("sample_id", "node_id", F.expr("shiftleft(1L, _place - 1)").alias("bits"))
+
+
 def seeded_starts(universe: DataFrame, count: int, seed: int) -> DataFrame:
     """Up to ``count`` starts per sample, the smallest digests."""
     digest = shuffle_key(seed, F.concat_ws("|", "sample_id", "node_id"), "start")
-    # min-k by repeated struct minima would need ``count`` passes; the row_number
-    # filter is planned as a group limit, so a task keeps ``count`` rows per sample.
-    order = Window.partitionBy("sample_id").orderBy("_digest", "node_id")
-    return (
-        universe.withColumn("_digest", digest)
-        .withColumn("start", F.row_number().over(order))
-        .where(F.col("start") <= count)
-        .drop("_digest")
-    )
+    return numbered(universe.withColumn("_digest", digest), [F.col("_digest"), F.col("node_id")], count)
 
 
 def graph_diameter(
@@ -140,48 +185,128 @@ def graph_diameter(
 ) -> DataFrame:
     """Double-sweep diameter per sample: a lower bound that is exact on trees.
 
-    Each start sweeps to its farthest node (ties: smallest id), then from there;
+    Each start (64 at most) sweeps to its farthest node (ties: smallest id), then from there;
     the largest eccentricity wins. A disconnected sample gives -1; a sample without
     edges gives 0 if it has one node, else -1.
     """
     members = cut_lineage(node_universe(nodes, edges, universe))
     with neighbour_lists(edges) as lists:
         first = breadth_first(lists, seeded_starts(members, starts, seed))
-        far = (
-            first.groupBy("sample_id", "start")
-            .agg(F.max(F.struct("hops", (-F.col("node_id")).alias("neg"))).alias("far"))
-            .select("sample_id", "start", (-F.col("far.neg")).alias("node_id"))
-        )
+        spot = F.struct("hops", (-F.col("node_id")).alias("neg"))
+        ends = first.groupBy("sample_id").agg(*[F.max(F.when(holds(i), spot)).alias(f"_{i}") for i in range(starts)])
+        each = F.array(*[F.struct((-F.col(f"_{i}.neg")).alias("node_id"), bit(i).alias("bits")) for i in range(starts)])
+        far = ends.select("sample_id", F.explode(each).alias("s")).select("sample_id", "s.*").where("node_id is not null")
         second = breadth_first(lists, far)
-    sweeps = (
-        second.groupBy("sample_id", "start")
-        .agg(F.max("hops").alias("ecc"), F.count(F.lit(1)).alias("reached"))
-        .groupBy("sample_id")
-        .agg(F.max("ecc").alias("ecc"), F.min("reached").alias("reached"))
-    )
+    reached = F.least(*[F.nullif(F.count_if(holds(i)), F.lit(0)) for i in range(starts)], F.count(F.lit(1)))
+    sweeps = second.groupBy("sample_id").agg(F.max("hops").alias("ecc"), reached.alias("reached"))
     sizes = members.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
     counts = nodes.groupBy("sample_id").agg(F.count(F.lit(1)).alias("nodes"))
     found = counts.join(sizes.join(sweeps, "sample_id"), "sample_id", "left")
-    without_edges = F.when(F.col("nodes") == 1, 0).otherwise(-1)
     return found.select(
         "sample_id",
-        F.when(F.col("n").isNull(), without_edges)
+        F.when(F.col("n").isNull(), without_edges())
         .when(F.col("reached") < F.col("n"), -1)
         .otherwise(F.col("ecc"))
         .alias("graph_diameter"),
     )
 
 
-def connectivity(nodes: DataFrame, edges: DataFrame, universe: str = "all") -> DataFrame:
-    """Whether every node of a sample is reached from its smallest one."""
-    members = node_universe(nodes, edges, universe)
-    sizes = members.groupBy("sample_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min("node_id").alias("node_id")
-    )
-    start = sizes.select("sample_id", F.lit(1).alias("start"), "node_id")
+def without_edges() -> Column:
+    return F.when(F.col("nodes") == 1, 0).otherwise(-1)
+
+
+def exact_diameter(
+    nodes: DataFrame, edges: DataFrame, universe: str = "used", most_starts: int = 4096, seed: int = 42
+) -> DataFrame:
+    """Diameter per sample, and whether it is ``exact``: always so for samples of up to ``most_starts`` nodes.
+
+    Starts are swept 64 at a time. A start with eccentricity e at distance d from a node bounds that node's
+    eccentricity by e + d, so only nodes whose bound is above the largest eccentricity found are candidates for the next
+    starts, the highest bounds first. A sample without candidates is exact and leaves; above ``most_starts`` starts what is found is a
+    lower bound, flagged as not exact. Disconnected samples and those without edges as in :func:`graph_diameter`.
+    """
+    members = store_once(node_universe(nodes, edges, universe), "members")
+    bounds = members.withColumn("bound", F.lit(None).cast("int"))
+    sources = store_once(seeded_starts(members, WORD, seed), "starts")
+    sizes = members.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
+    done, lower, swept = None, None, 0
     with neighbour_lists(edges) as lists:
-        found = breadth_first(lists, start)
-    reached = found.groupBy("sample_id").agg(F.count(F.lit(1)).alias("reached"))
-    return sizes.join(reached, "sample_id").select(
-        "sample_id", (F.col("reached") == F.col("n")).alias("is_connected")
+        while True:
+            levels = breadth_first(lists, sources)
+            ecc = eccentricities(levels)
+            swept += WORD
+            best = ecc.select("sample_id", F.array_max("classes.ecc").alias("lower"))
+            if lower is None:
+                spread = store_once(reached_by_all(levels).join(sizes, "sample_id"), "reached")
+                done = spread.select("sample_id", (F.col("common") & (F.col("reached") == F.col("n"))).alias("connected"))
+                best = best.join(done.where("connected"), "sample_id", "left_semi")
+            else:
+                best = lower.join(best.withColumnRenamed("lower", "_now"), "sample_id", "left").select(
+                    "sample_id", F.greatest("lower", "_now").alias("lower")
+                )
+            lower = store_once(best, "lower")
+            bounds = store_once(bounded(bounds, levels, ecc, sources, lower), "bounds")
+            if bounds.isEmpty() or swept >= most_starts:
+                break
+            sources = store_once(numbered(bounds, [F.col("bound").desc(), F.col("node_id")], WORD), "starts")
+    open_ = bounds.select("sample_id").distinct().withColumn("_open", F.lit(True))
+    counts = nodes.groupBy("sample_id").agg(F.count(F.lit(1)).alias("nodes"))
+    found = counts.join(done, "sample_id", "left").join(lower, "sample_id", "left").join(open_, "sample_id", "left")
+    return found.select(
+        "sample_id",
+        F.when(F.col("connected").isNull(), without_edges())
+        .when(~F.col("connected"), -1)
+        .otherwise(F.col("lower"))
+        .alias("diameter"),
+        F.col("_open").isNull().alias("exact"),
     )
+
+
+def eccentricities(levels: DataFrame) -> DataFrame:
+    """sample_id and ``classes``: of each eccentricity among its starts, the bits of the starts that have it."""
+    alive = levels.groupBy("sample_id", "hops").agg(F.bit_or("bits").alias("bits"))
+    # A start alive at a hop was alive at every hop before: it ends where the next hop lacks it.
+    ordered = alive.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("hops", "bits"))).alias("a"))
+    ended = F.transform(
+        "a", lambda x, i: F.struct(
+            x["hops"].alias("ecc"),
+            x["bits"].bitwiseAND(F.bitwise_not(F.coalesce(F.get(F.col("a"), i + 1)["bits"], F.lit(0).cast("long")))).alias("bits"),
+        ),
+    )
+    return ordered.select("sample_id", F.filter(ended, lambda x: x["bits"] != 0).alias("classes"))
+
+
+def reached_by_all(levels: DataFrame) -> DataFrame:
+    """How many nodes are reached at all, and whether every start of the sample reaches each of them."""
+    nodes = levels.groupBy("sample_id", "node_id").agg(F.bit_or("bits").alias("bits"))
+    return nodes.groupBy("sample_id").agg(
+        F.count(F.lit(1)).alias("reached"), (F.bit_and("bits") == F.bit_or("bits")).alias("common")
+    )
+
+
+def bounded(bounds: DataFrame, levels: DataFrame, ecc: DataFrame, sources: DataFrame, lower: DataFrame) -> DataFrame:
+    """The nodes that may still have a larger eccentricity than the largest found in their sample, with their bounds."""
+    least = F.array_min(F.transform(
+        F.filter("classes", lambda c: c["bits"].bitwiseAND(F.col("bits")) != 0), lambda c: c["ecc"]
+    ))
+    none, no = F.lit(None).cast("int").alias("bound"), F.lit(False)
+    told = levels.join(ecc, "sample_id").select(
+        "sample_id", "node_id", (F.col("hops") + least).alias("bound"), no.alias("open"), no.alias("swept")
+    )
+    merged = (
+        bounds.select("sample_id", "node_id", "bound", F.lit(True).alias("open"), no.alias("swept"))
+        .unionByName(told)
+        .unionByName(sources.select("sample_id", "node_id", none, no.alias("open"), F.lit(True).alias("swept")))
+    )
+    nodes = merged.groupBy("sample_id", "node_id").agg(
+        F.min("bound").alias("bound"), F.bool_or("open").alias("open"), F.bool_or("swept").alias("swept")
+    )
+    left = nodes.where("open and not swept").join(lower, "sample_id")
+    return left.where("bound > lower").select("sample_id", "node_id", "bound")
+
+
+def connectivity(nodes: DataFrame, edges: DataFrame, universe: str = "all") -> DataFrame:
+    """Whether all nodes of a sample are one component."""
+    found = components(node_universe(nodes, edges, universe), edges)
+    one = F.min("component") == F.max("component")
+    return found.groupBy("sample_id").agg(one.alias("is_connected"))

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from meshloom.config import Material
 from meshloom.functions.stress import VOIGT
-from meshloom.operators import coherence, gather, hops, strain, topology
+from meshloom.operators import coherence, contraction, gather, hops, strain, topology
 
 CORNERS = [(0.0, 0.0, 0.0), (1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)]
 EDGES = [(0, 1), (1, 2), (0, 2), (0, 3), (1, 3), (2, 3)]
@@ -224,9 +225,9 @@ def test_single_node_has_diameter_zero(spark):
 
 def test_a_hop_shuffles_its_frontier_only(spark, tmp_path):
     edges = spark.createDataFrame([(1, i, j) for i in range(30) for j in (i - 1, i + 1) if 0 <= j < 30], "sample_id long, src long, dst long")
-    spark.createDataFrame([(1, 1, 0)], "sample_id long, start int, node_id long").write.parquet(f"{tmp_path}/frontier")
+    spark.createDataFrame([(1, 1, 0)], "sample_id long, bits long, node_id long").write.parquet(f"{tmp_path}/frontier")
     with hops.neighbour_lists(edges) as lists:
-        reached = hops.next_nodes(spark.read.parquet(f"{tmp_path}/frontier"), lists)
+        reached = hops.next_nodes(spark.read.parquet(f"{tmp_path}/frontier"), lists.now)
         plan = reached._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 1 and "Sort " not in plan
         assert [tuple(r) for r in reached.collect()] == [(1, 1, 1)]
@@ -237,3 +238,60 @@ def test_diameter_of_samples_without_edges(spark):
     edges = spark.createDataFrame([(1, 0, 1), (1, 1, 0)], "sample_id long, src long, dst long")
     out = {r["sample_id"]: r["graph_diameter"] for r in hops.graph_diameter(nodes, edges).collect()}
     assert out == {1: 1, 2: 0, 3: -1}
+
+
+def test_lists_of_finished_samples_are_dropped_in_place(spark):
+    """One long chain among forty short ones: later hops read its lists alone, still without moving them."""
+    graphs = {i: grid_edges((4,)) for i in range(40)} | {99: grid_edges((13,))}
+    nodes, edges = graph_frames(spark, graphs)
+    with hops.neighbour_lists(edges) as lists:
+        found = hops.breadth_first(lists, nodes.where("node_id = 0").selectExpr("sample_id", "node_id", "1L AS bits"))
+        assert found.where("sample_id = 99").count() == 13 and found.count() == 173
+        assert lists.samples == 1 and lists.now.count() == 13 and lists.whole.count() == 173
+        frontier = found.select("sample_id", "node_id", "bits")
+        plan = hops.next_nodes(frontier, lists.now)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Sort " not in plan
+
+
+def random_graph(rng, n, extra):
+    pairs = [(i, rng.randrange(max(0, i - 6), i)) for i in range(1, n)] + [(rng.randrange(n), rng.randrange(n)) for _ in range(extra)]
+    return n, [p for a, b in pairs if a != b for p in ((a, b), (b, a))]
+
+
+def test_exact_diameter_equals_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(hops, "WORD", 4)  # several rounds of starts on small graphs
+    rng = random.Random(4)
+    ring = [p for i in range(7) for p in ((i, (i + 1) % 7), ((i + 1) % 7, i))]
+    graphs = {1: grid_edges((5,)), 2: grid_edges((2, 3)), 3: (7, ring), 4: (5, [(0, 1), (1, 0), (2, 3), (3, 2)]), 5: (1, []), 6: (2, [])}
+    graphs |= {10 + i: random_graph(rng, n, i) for i, n in enumerate((2, 4, 5, 8))}
+    nodes, edges = graph_frames(spark, graphs)
+    most = {s: distances(n, pairs).max() for s, (n, pairs) in graphs.items()}
+    want = {s: -1 if np.isinf(d) else int(d) for s, d in most.items()}
+    got = {r["sample_id"]: (r["diameter"], r["exact"]) for r in hops.exact_diameter(nodes, edges, universe="all").collect()}
+    assert got == {s: (d, True) for s, d in want.items()}
+    few = {r["sample_id"]: (r["diameter"], r["exact"]) for r in hops.exact_diameter(nodes, edges, universe="all", most_starts=4).collect()}
+    # No sweep of a ring bounds another node by its diameter: four starts leave it open, and say so.
+    assert few[3] == (3, False) and all(few[s][0] <= want[s] for s in few)
+    assert all(few[s][0] == want[s] for s in few if few[s][1])
+
+
+@pytest.mark.parametrize("mixed", [False, True])
+def test_contraction_of_a_long_chain_takes_few_rounds(spark, mixed):
+    n, ids = 10_000, list(range(10_000))
+    if mixed:
+        random.Random(1).shuffle(ids)
+    edges = spark.createDataFrame([(1, ids[i], ids[i + 1]) for i in range(n - 1) if i != 6999], "sample_id long, src long, dst long")
+    assert len(contraction.rounds(edges, 42)) <= 2 * math.log2(n)
+    nodes = spark.createDataFrame([(1, i) for i in range(n)], "sample_id long, node_id long")
+    found = contraction.components(nodes, edges)
+    got = {tuple(r) for r in contraction.component_sizes(found).collect()}
+    assert got == {(1, min(ids[:7000]), 7000), (1, min(ids[7000:]), 3000)}
+
+
+def test_components_of_odd_graphs(spark):
+    edges = spark.createDataFrame([(1, 0, 0), (1, 2, 1), (1, 2, 1), (1, 9, 4), (1, 9, 5)], "sample_id long, src long, dst long")
+    nodes = spark.createDataFrame([(1, i) for i in range(7)] + [(2, 3)], "sample_id long, node_id long")
+    got = {(r[0], r[1]): r[2] for r in contraction.components(nodes, edges).collect()}
+    assert got == {(1, 0): 0, (1, 1): 1, (1, 2): 1, (1, 3): 3, (1, 4): 4, (1, 5): 4, (1, 6): 6, (2, 3): 3}
+    none = contraction.components(nodes, edges.limit(0))
+    assert none.where("component = node_id").count() == 8
