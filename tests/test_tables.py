@@ -301,6 +301,20 @@ def test_null_strata_are_left_out_of_reports(spark):
     assert table["All"] == 45 and None not in table
 
 
+def test_merged_moments_equal_those_of_scaled_rows(spark):
+    rng = random.Random(2)
+    rows = [(i % 4, 1e9 + i % 7, None if i % 5 == 0 else rng.gauss(3, 2), *[rng.gauss(0, 1) for _ in range(8)]) for i in range(200)]
+    fields = spark.createDataFrame(rows, "base long, " + ", ".join(f"{t} double" for t in normalize.TARGETS))
+    factors = spark.createDataFrame([(0, 1.0), (0, 0.5), (1, 0.0), (2, 3.0), (9, 2.0), (3, None)], "base long, scale_factor double")
+    got = normalize.variant_stats(fields, factors, "base").first()
+    scaled = fields.join(factors, "base").select(*[(F.col(t) * F.col("scale_factor")).alias(t) for t in normalize.TARGETS])
+    want = normalize.target_stats(scaled).first()
+    assert got["n_nodes"] == want["n_nodes"] == 250
+    assert all(math.isclose(got[c], want[c], rel_tol=1e-9, abs_tol=1e-12) for c in want.asDict())
+    with pytest.raises(Exception, match="no rows to compute"):
+        normalize.variant_stats(fields, factors.where("base = 9"), "base").collect()
+
+
 def test_linearity_report_blocks_only_above_the_rate(spark):
     rows = [("a", i != 0, 0.01, 0.02) for i in range(20)] + [("b", i > 1, 0.03, 0.04) for i in range(20)]
     results = spark.createDataFrame(
