@@ -25,32 +25,49 @@ def verification_sample(manifest: DataFrame, rate: float, seed: int) -> DataFram
 
 
 def pair_fields(scaled: DataFrame, resolved: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Line up both solves node by node: scaled_* and resolved_* columns."""
+    """Line up both solves node by node: scaled_* and resolved_* columns, null where a solve lacks the node."""
     values = ("ux", "uy", "uz", "von_mises")
     left = scaled.select(*keys, *[F.col(v).alias(f"scaled_{v}") for v in values])
     right = resolved.select(*keys, *[F.col(v).alias(f"resolved_{v}") for v in values])
-    return left.join(right, list(keys))
+    return left.join(right, list(keys), "full")
 
 
-def compare(pairs: DataFrame, keys: Sequence[str], tolerance: float) -> DataFrame:
-    """Largest relative error of ‖u‖ and of von Mises per ``keys``."""
+def compare(pairs: DataFrame, keys: Sequence[str], tolerance: float, node: str = "node_id") -> DataFrame:
+    """Largest relative error of ‖u‖ and of von Mises per ``keys``, the worst node of each and the nodes that lack a value.
+
+    A node that one of the solves lacks, or has without a value, is a failure. The worst of equals is the
+    smallest ``node``.
+    """
     mine, theirs = (
         norm3(*[F.col(f"{side}_{c}") for c in ("ux", "uy", "uz")]) for side in ("scaled", "resolved")
     )
     vm, ref = F.col("scaled_von_mises"), F.col("resolved_von_mises")
-    return (
-        pairs.groupBy(*keys)
-        .agg(
-            F.max(F.abs(mine - theirs) / F.greatest(theirs, F.lit(FLOOR))).alias(
-                "max_displacement_error"
-            ),
-            F.max(F.abs(vm - ref) / F.greatest(ref, F.lit(FLOOR))).alias("max_von_mises_error"),
-        )
-        .withColumn(
-            "passed",
+    by_displacement = F.abs(mine - theirs) / F.greatest(theirs, F.lit(FLOOR))
+    by_stress = F.abs(vm - ref) / F.greatest(ref, F.lit(FLOOR))
+
+    def worst(error):
+        return F.max(F.when(error.isNotNull(), F.struct(error.alias("error"), (-F.col(node)).alias("node"))))
+
+    found = pairs.groupBy(*keys).agg(
+        worst(by_displacement).alias("_u"),
+        worst(by_stress).alias("_s"),
+        F.count_if(by_displacement.isNull() | by_stress.isNull()).alias("missing_nodes"),
+    )
+    return found.select(
+        *keys,
+        F.col("_u.error").alias("max_displacement_error"),
+        F.col("_s.error").alias("max_von_mises_error"),
+        (-F.col("_u.node")).alias("worst_displacement_node"),
+        (-F.col("_s.node")).alias("worst_von_mises_node"),
+        "missing_nodes",
+    ).withColumn(
+        "passed",
+        F.coalesce(
             (F.col("max_displacement_error") <= tolerance)
-            & (F.col("max_von_mises_error") <= tolerance),
-        )
+            & (F.col("max_von_mises_error") <= tolerance)
+            & (F.col("missing_nodes") == 0),
+            F.lit(False),
+        ),
     )
 
 
@@ -98,7 +115,7 @@ def flag_bases(bases: DataFrame, results: DataFrame) -> DataFrame:
 
 def cross_reference(results: DataFrame, variants: DataFrame) -> DataFrame:
     """Bases that failed the spot-check, a gate, or both."""
-    spot = results.where(~F.col("passed")).select("base_sample_id", F.lit(True).alias("spot"))
+    spot = results.where(~F.col("passed")).select("base_sample_id", F.lit(True).alias("spot")).distinct()
     gates = variants.where(~F.col("linearity_gate_pass")).groupBy("base_sample_id").agg(
         F.count(F.lit(1)).alias("gate_failures")
     )

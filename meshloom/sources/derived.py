@@ -78,8 +78,8 @@ def bases(spark: SparkSession, sf_dir: str, settings: Settings = DEFAULTS) -> Da
     )
 
 
-def node_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stress, displacement and von Mises rows per base; no node key."""
+def node_fields(spark: SparkSession, sf_dir: str, node: str | None = None) -> DataFrame:
+    """Stress, displacement and von Mises rows per base; a node key only if ``node`` names it."""
     q, d, t = F.col("l_quantity"), F.col("l_discount") + 0.0, F.col("l_tax") + 0.0
     stress = [
         F.col("l_extendedprice"), F.lit(1000.0) * q, F.lit(1e5) * d, F.lit(1e5) * t,
@@ -87,6 +87,7 @@ def node_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     rows = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("base_id"),
+        *([F.col("l_linenumber").alias(node)] if node else []),
         *[s.alias(f"s_{v}") for s, v in zip(stress, VOIGT)],
         (F.lit(1e-5) * d).alias("ux"),
         (F.lit(1e-5) * t).alias("uy"),

@@ -301,6 +301,17 @@ def test_null_strata_are_left_out_of_reports(spark):
     assert table["All"] == 45 and None not in table
 
 
+def test_a_node_that_one_solve_lacks_is_a_failure(spark):
+    columns = "sample_id long, node_id long, ux double, uy double, uz double, von_mises double"
+    a = spark.createDataFrame([(1, 0, 3.0, 4.0, 0.0, 8.0), (1, 1, 1.0, 0.0, 0.0, 5.0), (2, 0, 1.0, 0.0, 0.0, 4.0), (2, 7, 1.0, 0.0, 0.0, 4.0)], columns)
+    b = spark.createDataFrame([(1, 0, 3.0, 4.0, 0.0, 8.0), (2, 0, 1.0, 0.0, 0.0, 5.0), (2, 7, 1.0, 0.0, 0.0, 5.0), (3, 2, None, None, None, 1.0)], columns)
+    pairs = linearity.pair_fields(a, b, ["sample_id", "node_id"])
+    got = {r["sample_id"]: r for r in linearity.compare(pairs, ["sample_id"], 0.01).collect()}
+    assert (got[1]["missing_nodes"], got[1]["max_von_mises_error"], got[1]["passed"]) == (1, 0.0, False)
+    assert (got[2]["missing_nodes"], got[2]["worst_von_mises_node"], got[2]["passed"]) == (0, 0, False)
+    assert (got[3]["missing_nodes"], got[3]["max_displacement_error"], got[3]["passed"]) == (1, None, False)
+
+
 def test_merged_moments_equal_those_of_scaled_rows(spark):
     rng = random.Random(2)
     rows = [(i % 4, 1e9 + i % 7, None if i % 5 == 0 else rng.gauss(3, 2), *[rng.gauss(0, 1) for _ in range(8)]) for i in range(200)]
