@@ -54,11 +54,11 @@ def percentiles_by(
         most, many = open_.select(F.max("_c"), F.count(F.lit(1))).first()
         if most is None:
             break
-        kept = _rows_within(rows, part, open_, many)
+        kept = store_once(_rows_within(rows, part, open_, many), "values")
         if most <= rest:
             found = found.unionByName(_picked(kept, open_))
             break
-        rows, wanted = store_once(kept, "values"), open_
+        rows, wanted = kept, open_
         share = (F.col("_v") - F.col("_in")) / (F.col("_hi") - F.col("_in"))
         part = F.least(F.floor(share * RANGES), F.lit(RANGES - 1)).cast("long")
     result = _interpolated(found, named)
