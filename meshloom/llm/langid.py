@@ -16,6 +16,7 @@ Repeated rows get equal results; an empty table gives no rows. Columns ``lang_pr
 
 from __future__ import annotations
 
+import functools
 import math
 import zlib
 from collections.abc import Iterator
@@ -57,18 +58,23 @@ class LanguageModel:
     settings: Settings
 
 
+@functools.cache
+def letter_table() -> np.ndarray:
+    """Whether each code point is a letter; made once a worker process."""
+    return np.fromiter(map(str.isalpha, map(chr, range(0x110000))), bool, 0x110000)
+
+
 class Grams:
     """Hashed n-gram features of a text."""
 
     def __init__(self, settings: Settings):
         self.settings = settings
-        self.letter = np.fromiter((chr(c).isalpha() for c in range(1 << 16)), bool, 1 << 16)
+        self.letter = letter_table()
         self.shift = np.uint32(32 - int(math.log2(settings.buckets)))
 
     def letters(self, text: str) -> np.ndarray:
         codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
-        known = self.letter[np.minimum(codes, 0xFFFF)] | (codes > 0xFFFF)
-        codes = np.where(known, codes, np.uint32(32))
+        codes = np.where(self.letter[codes], codes, np.uint32(32))
         space = codes == 32
         codes = codes[~(space & np.append(True, space[:-1]))]
         return codes if len(codes) and (codes != 32).any() else codes[:0]
@@ -103,15 +109,20 @@ def softmax(logits: np.ndarray) -> np.ndarray:
 
 
 def training_sample(docs: DataFrame, settings: Settings, seed: int = 53) -> DataFrame:
-    """Features of the sampled documents and their cuttings: lang, part (0: whole), fit, at, counts."""
+    """Features of the sampled documents and their cuttings: lang, part (0: whole), fit, at, counts.
+
+    An id counts once, however many rows repeat it: with the smallest language that the sieve
+    leaves it and the smallest text of that language.
+    """
     known = docs.filter("lang is not null and text is not null and doc_id is not null").filter(~held_out())
     known = known.select("doc_id", "lang", F.xxhash64(F.lit(seed), "doc_id").alias("_h"))
     # A first sieve by hash keeps little more than is wanted of each language, whatever its share.
-    share = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    share = known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("_n"))
     wanted = 2.0 * settings.docs_per_language + 50
     sieved = known.join(share, "lang").filter(F.pmod("_h", F.lit(1_000_000)) < F.lit(wanted) / F.col("_n") * 1_000_000)
+    once = sieved.groupBy("doc_id", "_h").agg(F.min("lang").alias("lang"))
     first = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    ranked = sieved.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= settings.docs_per_language)
+    ranked = once.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= settings.docs_per_language)
     # Texts are read for these rows alone.
     chosen = store_once(ranked.select("doc_id", "lang", "_rank"), "language-sample")
 
@@ -131,7 +142,8 @@ def training_sample(docs: DataFrame, settings: Settings, seed: int = 53) -> Data
                         rows.append((lang, rank, k, rank % 5 != 0, at.tolist(), counts.tolist()))
             yield pd.DataFrame(rows, columns=["lang", "rank", "part", "fit", "at", "counts"])
 
-    texts = by_ids(docs.select("doc_id", text_of().alias("text")), chosen, "doc_id")
+    read = by_ids(docs.filter("text is not null").select("doc_id", "lang", "text"), chosen, ["doc_id", "lang"])
+    texts = read.groupBy("lang", "_rank").agg(F.min("text").alias("text"))
     return texts.select("lang", "text", "_rank").mapInPandas(
         cut, "lang string, rank int, part int, fit boolean, at array<int>, counts array<int>"
     )

@@ -93,7 +93,10 @@ def held_out(column: str = "doc_id") -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, bounds: Bounds, seed: int = 41) -> DataFrame:
-    """text, quality and use (dictionary or calibration) of the labelled rows of smallest hash."""
+    """text, quality and use (dictionary or calibration) of the labelled ids of smallest hash.
+
+    An id counts once, with its smallest text, however many rows repeat it.
+    """
     known = (
         labels.filter("quality in (0, 1) and doc_id is not null")
         .groupBy("doc_id")
@@ -109,7 +112,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bounds: Bounds, seed: in
     ]
     chosen = parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3]).select("doc_id", "quality", "calibrate")
     # At most 2 * (dictionary_docs + calibration_docs) rows of a few bytes.
-    return docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
+    read = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")
+    return read.groupBy("doc_id", "quality", "calibrate").agg(F.min("text").alias("text"))
 
 
 def pieces_of(sample: DataFrame, bounds: Bounds, seed: int = 43) -> DataFrame:

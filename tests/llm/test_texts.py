@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import textwrap
+from collections import Counter
 
 import duckdb
 import pytest
@@ -16,10 +17,10 @@ from meshloom.llm.fingerprint import (
     op3_scaled_sketch,
     with_sketch,
 )
-from meshloom.llm.langid import Settings, fit_languages, op7_ftrl_language, with_language
+from meshloom.llm.langid import Settings, fit_languages, op7_ftrl_language, training_sample, with_language
 from meshloom.llm.license_scan import TEMPLATES, Limits, Scanner, op2_license_blocks, scan_licenses
 from meshloom.llm.line_dedup import OP4_SQL, drop_site_lines
-from meshloom.llm.quality import Bounds, fit_quality, op6_compression_quality, with_quality
+from meshloom.llm.quality import Bounds, fit_quality, labelled_sample, op6_compression_quality, with_quality
 
 SF = "/root/testdata/sf0.01"
 
@@ -119,6 +120,28 @@ def test_quality_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
 
 
+def test_repeated_ids_count_once_in_samples(spark):
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 20), "en" if i % 2 else "de", "s0", 1) for i in range(200)]
+    rows += [(1, f"copy {i % 7} of one id", "en" if i % 3 else "fr", "s0", 1) for i in range(150)]
+    docs = documents(spark, rows)
+    labels = spark.range(200).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    bounds = Bounds(dictionary_docs=15, calibration_docs=5)
+    sample = labelled_sample(docs, labels, bounds).collect()
+    assert len(sample) == 40
+    settings = Settings(docs_per_language=30)
+    parts = training_sample(docs, settings).collect()
+    whole = Counter(r["lang"] for r in parts if r["part"] == 0)
+    assert whole == {"en": 30, "de": 30} and len(parts) <= 60 * (1 + settings.cuttings)
+
+
+def test_symbols_beyond_the_first_plane_are_no_letters(spark):
+    docs = documents(spark, [(1, "\U0001F600 \U0001F680", "en", "s0", 3), (2, "\U00010400\U00010401", "en", "s0", 2)], extra=False)
+    out = with_language(docs, fit_languages(documents(spark), Settings(docs_per_language=20)))
+    assert dict(out.select("doc_id", "lang_pred").collect())[1] == "und"
+    assert dict(out.select("doc_id", "lang_pred").collect())[2] != "und"
+
+
 def test_quality_of_odd_rows(spark):
     docs = documents(spark)
     labels = spark.createDataFrame(
