@@ -33,6 +33,17 @@ def free_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
+def numbered_copies(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with its rows numbered from 0 among rows equal in every column.
+
+    Copies are counted before they move, so a row that makes up a third of the table is
+    one row a task in the shuffle; a hash of row and number then spreads them.
+    """
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias(name))
+    return counted.withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"`{name}`") - 1)))
+
+
 #: Id lists up to this many rows may be broadcast; longer ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
 

@@ -3,13 +3,15 @@
 ``tokenise`` turns a text into ids and a closing id; what is longer than a sequence is cut
 into pieces, of which only the first may be shorter. ``pack`` deals the pieces into groups
 of bounded size by hash and places each group's pieces, longest first or in a seeded order
-(whichever needs fewer sequences), where the sum of
-the squared numbers of open sequences per gap becomes smallest: among the gaps that occur
-and a new sequence, the one with the smallest N(gap - piece) - N(gap). Groups are
+(whichever needs fewer sequences, with and without a preference for open sequences), where the sum of
+the squared numbers N of open sequences per gap becomes smallest: a gap that occurs changes it
+by 2 (N(gap - piece) - N(gap)) + 2, or 1 - 2 N(gap) where the piece fills it, and a new sequence by
+2 N(capacity - piece) + 1, or 0 where the piece is as long as a sequence. Groups are
 independent tasks; each leaves at most a few sequences part-filled.
 
-A null or empty text is the closing id alone. Repeated rows are packed one by one; null
-ids are kept. Very long texts give many pieces. Equal costs go to the fuller sequence. An
+A null or empty text is the closing id alone. Repeated rows are packed one by one, and rows equal in
+every column are dealt to groups singly; null
+ids are kept. Very long texts give many pieces. Equal sums go to the fuller sequence, an open one before a new one. An
 empty table gives no rows.
 """
 
@@ -28,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshloom.llm.common import free_name, row_hash, small_batches, table, text_of
+from meshloom.llm.common import free_name, numbered_copies, row_hash, small_batches, table, text_of
 from meshloom.session import store_once
 
 #: One vocabulary in two forms: for the tokenizers library, and as ranks for tiktoken.
@@ -142,26 +144,33 @@ def tokenise(
 
 
 def fewest(lengths: np.ndarray, capacity: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence and offset of pieces sorted longest first, placed in this order or a seeded random one: the better."""
+    """Sequence and offset of pieces sorted longest first: the best of both orders and both rules on near ties."""
     mixed = np.random.default_rng(seed).permutation(len(lengths))
-    sequence, offset, used = place(lengths, capacity)
-    other, at, needed = place(lengths[mixed], capacity)
-    if needed < used:
-        sequence[mixed], offset[mixed] = other, at
-    return sequence, offset
+    best = None
+    for order in (np.arange(len(lengths)), mixed):
+        for prefer_open in (False, True):
+            sequence, offset, used = place(lengths[order], capacity, prefer_open)
+            if best is None or used < best[0]:
+                back = np.argsort(order)
+                best = used, sequence[back], offset[back]
+    return best[1], best[2]
 
 
-def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sequence and offset of each piece in the order given, and the number of sequences."""
+def place(lengths: np.ndarray, capacity: int, prefer_open: bool = True) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sequence and offset of each piece in the order given, and the number of sequences.
+
+    With ``prefer_open`` a new sequence must make the sum smaller by two at least.
+    """
     open_ = np.zeros(capacity + 1, dtype=np.int64)  # sequences by gap; full ones don't count
     stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
     sequence, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     used = 0
     for i, n in enumerate(lengths.tolist()):
         gaps = open_[n:]
-        cost = np.where(gaps > 0, open_[: capacity + 1 - n] - gaps, np.iinfo(np.int64).max)
-        left = int(cost.argmin())
-        if cost[left] <= open_[capacity - n] and gaps[left]:
+        change = np.where(gaps > 0, 2 * (open_[: capacity + 1 - n] - gaps) + 2, np.iinfo(np.int64).max)
+        change[0] -= gaps[0] > 0  # a full sequence is no longer counted
+        left = int(change.argmin())
+        if change[left] <= (2 * open_[capacity - n] + 1 if n < capacity else 0) + prefer_open:
             gap = left + n
             open_[gap] -= 1
             number = stacks[gap].pop()
@@ -178,12 +187,12 @@ def place(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, i
 def pack(pieces: DataFrame, capacity: int = 2048, group_rows: int = 50_000, seed: int = 31) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to a table of pieces with a ``length`` of at most ``capacity``.
 
-    ``pieces`` is read twice (counted, then placed): pass a stored table. Sequence numbers
-    are group * 2^32 + number in the group.
+    ``pieces`` is read twice (counted, then placed): pass a stored table, without map columns, as
+    equal rows are counted and numbered. Sequence numbers are group * 2^32 + number in the group.
     """
     pieces = pieces.drop("sequence_id", "offset")
     groups = max(1, math.ceil(pieces.count() / group_rows))
-    name = free_name(pieces, "_group")
+    name, copy = free_name(pieces, "_group"), free_name(pieces, "_copy")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
 
     def placed(part: pd.DataFrame) -> pd.DataFrame:
@@ -194,7 +203,9 @@ def pack(pieces: DataFrame, capacity: int = 2048, group_rows: int = 50_000, seed
 
     order = [c for c in ("doc_id", "piece") if c in pieces.columns]
     return (
-        pieces.withColumn(name, F.pmod(row_hash(pieces, seed), F.lit(groups)))
+        numbered_copies(pieces, copy)
+        .withColumn(name, F.pmod(row_hash(pieces, seed, [*pieces.columns, copy]), F.lit(groups)))
+        .drop(copy)
         .groupBy(name)
         .applyInPandas(placed, schema + ", sequence_id long, offset long")
     )

@@ -1,7 +1,7 @@
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -143,6 +143,39 @@ def test_sum_of_squares_choice():
     assert fill.max() <= 2048
 
 
+def least_squares(lengths, capacity):
+    """Gaps after each placement, by trying every choice."""
+    gaps = []
+    for n in lengths:
+        choices = []
+        for gap in [*sorted({g for g in gaps if g >= n}), None]:
+            after = gaps.copy()
+            if gap is not None:
+                after.remove(gap)
+            after.append((capacity if gap is None else gap) - n)
+            squares = sum(c * c for g, c in Counter(after).items() if g)
+            choices.append((squares, gap is None, after[-1], after))
+        gaps = min(choices)[-1]
+    return sorted(gaps)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_places_equal_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    lengths = rng.integers(1, 21, 60)
+    sequence, _, used = place(lengths, 20, prefer_open=False)
+    fill = np.bincount(sequence, lengths, used)
+    assert sorted((20 - fill).astype(int).tolist()) == least_squares(lengths.tolist(), 20)
+
+
+def test_equal_rows_are_dealt_to_all_groups(spark):
+    pieces = spark.range(300).selectExpr("if(id < 200, 7, id) as doc_id", "cast(0 as int) as piece", "5L as length")
+    out = pack(store_once(pieces, "equal"), 10, group_rows=30)
+    assert out.count() == 300
+    hot = out.filter("doc_id = 7").groupBy(F.expr("shiftright(sequence_id, 32)")).count().collect()
+    assert len(hot) == 10 and max(r["count"] for r in hot) < 60
+
+
 def test_packing_of_odd_rows(spark):
     docs = documents(spark)
     out = pack_documents(docs, vocabulary_path(), 64).collect()
