@@ -8,13 +8,14 @@ from meshloom.catalog.registry import query, r
 from meshloom.catalog.sqltext import bucket, digest, with_parts
 from meshloom.catalog.sqltext import r as sr
 from meshloom.catalog.sqltext import u as su
-from meshloom.config import DEFAULTS
+from meshloom.config import BUCKETS, DEFAULTS, FAMILIES
 from meshloom.functions.encode import mesh_size, scale_bucket
 from meshloom.functions.uniform import unit_direction
 from meshloom.operators.linearity import verification_sample
 from meshloom.operators.reports import base_counts
 from meshloom.plans import sample_plan as sp
 from meshloom.sources import derived as d
+from meshloom.sources.fields import with_fields_only
 
 SEED = DEFAULTS.sampling.seed
 
@@ -64,15 +65,22 @@ def bucket_lengths(spark, sf):
     )
 
 
-@query("stratum_plan", with_parts("base", f"""
-WITH done AS (SELECT geometry_family, scale_bucket, count(DISTINCT base_sample_id) AS n FROM base GROUP BY ALL),
-last AS (SELECT max(base_id) AS last, count(*) AS rows FROM base),
-want AS (SELECT geometry_family, scale_bucket, (SELECT max(n) FROM done) - n AS n FROM done
-         UNION ALL SELECT '~free', '~free', rows // 10 FROM last),
-slots AS (SELECT geometry_family, scale_bucket, unnest(range(n)) AS slot,
-                 start FROM (SELECT *, coalesce(sum(n) OVER (ORDER BY geometry_family, scale_bucket
-                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM want)),
-ids AS (SELECT *, printf('base_%06d', (SELECT last FROM last) + 1 + start + slot) AS base_sample_id FROM slots),
+_GRID = " UNION ALL ".join(
+    f"SELECT {i} AS stream, '{f}' AS geometry_family, '{b}' AS scale_bucket"
+    for i, (f, b) in enumerate((f, b) for f in FAMILIES for b in BUCKETS)
+)
+
+
+@query("stratum_plan", with_parts("base nf", f"""
+WITH done AS (SELECT * FROM base WHERE base_id IN (SELECT base_id FROM nf)),
+counted AS (SELECT stream, geometry_family, scale_bucket, count(DISTINCT base_sample_id) AS n
+            FROM ({_GRID}) LEFT JOIN done USING (geometry_family, scale_bucket) GROUP BY ALL),
+want AS (SELECT stream, geometry_family, scale_bucket, (SELECT max(n) FROM counted) - n AS n FROM counted
+         UNION ALL SELECT 15, '~free', '~free', (SELECT count(*) // 10 FROM done)),
+numbers AS (SELECT *, unnest(range(n + (SELECT count(*) FROM done))) AS slot FROM want),
+unused AS (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY slot) AS nth FROM numbers
+           WHERE slot * 16 + stream NOT IN (SELECT base_id FROM done)),
+ids AS (SELECT geometry_family, scale_bucket, printf('base_%06d', slot * 16 + stream) AS base_sample_id FROM unused WHERE nth <= n),
 drawn AS (SELECT i.*, {su42('family')} AS uf,
                  CASE WHEN i.geometry_family = '~free' THEN {_FREE}
                       ELSE exp(ln(lo) + {su42('length')} * (ln(hi) - ln(lo))) END AS len
@@ -83,8 +91,11 @@ SELECT base_sample_id, {sr('len', 9, 'characteristic_length')}, {sr('0.05::DOUBL
        CASE WHEN geometry_family <> '~free' THEN scale_bucket ELSE {bucket('len')} END AS scale_bucket
 FROM drawn"""))
 def stratum_plan(spark, sf):
-    """Fill every stratum up to the fullest one, then a tenth more by free draws."""
-    manifest = d.bases(spark, sf)
+    """Fill every stratum up to the fullest one, then a tenth more by free draws.
+
+    Completed are the bases with stored fields; ids of the others are gaps, planned first.
+    """
+    manifest = with_fields_only(d.bases(spark, sf), d.node_fields(spark, sf), "base_id")
     fullest = base_counts(manifest).select(F.max("base_samples")).scalar()
     tenth = manifest.select(F.floor(F.count(F.lit(1)) / 10)).scalar()
     plan = sp.stratum_plan(manifest, DEFAULTS.sampling, DEFAULTS.scale, fullest, tenth)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshloom.config import (
@@ -21,7 +21,7 @@ from meshloom.config import (
     Scale,
     Settings,
 )
-from meshloom.config import FAMILIES
+from meshloom.config import BUCKETS, FAMILIES
 from meshloom.functions import geometry as geo
 from meshloom.functions.encode import base_id, mesh_size, scale_bucket, valid_faces
 from meshloom.functions.uniform import (
@@ -33,8 +33,11 @@ from meshloom.functions.uniform import (
     unit_direction,
 )
 from meshloom.operators.reports import stratum_shortfalls
+from meshloom.operators.slots import free_slots
 
-BLOCK = 10_000
+FREE = "~free"
+#: Streams of ids: one a stratum and one for free draws.
+STREAMS = len(FAMILIES) * len(BUCKETS) + 1
 
 
 def free_length(seed: int, key: str, scale: Scale) -> Column:
@@ -65,18 +68,18 @@ def weighted_family(u: Column, weights: tuple[float, ...]) -> Column:
     return pick.otherwise(FAMILIES[-1])
 
 
-def _numbered(strata: DataFrame, count: str) -> DataFrame:
-    """``count`` rows per stratum row, numbered 0,1,… within it.
+def stream_number(family: Column, bucket: Column) -> Column:
+    """The fixed number of a stratum's stream of ids; free draws have the number after the last."""
+    names = [F.lit(f"{f}/{b}") for f in FAMILIES for b in BUCKETS] + [F.lit(f"{FREE}/{FREE}")]
+    return (F.array_position(F.array(*names), F.concat_ws("/", family, bucket)) - 1).cast("bigint")
 
-    Expanded in blocks that are spread out before the second step, so no task
-    builds more than a block from one row.
-    """
-    blocks = strata.where(F.col(count) > 0).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.floor((F.col(count) - 1) / BLOCK)))
-    ).repartition("geometry_family", "scale_bucket", "_block")
-    first = F.col("_block") * BLOCK
-    last = F.least(first + BLOCK, F.col(count)) - 1
-    return blocks.withColumn("slot", F.explode(F.sequence(first, last))).drop("_block")
+
+def used_slots(manifest: DataFrame) -> DataFrame:
+    """(stream, slot) of the completed ids. Ids that end in no number take no slot."""
+    number = F.substring_index("base_sample_id", "_", -1).try_cast("bigint")
+    return manifest.select(number.alias("_number")).where("_number is not null").select(
+        F.pmod("_number", F.lit(STREAMS)).alias("stream"), F.floor(F.col("_number") / STREAMS).alias("slot")
+    )
 
 
 def stratum_plan(
@@ -84,31 +87,27 @@ def stratum_plan(
 ) -> DataFrame:
     """New bases: every stratum is filled up to ``floor``, then ``extra`` free draws.
 
-    Ids continue after the largest completed number. ``floor`` and ``extra`` may be
-    scalar subqueries over the manifest.
+    Base number = slot * ``STREAMS`` + stream, so an id belongs to one stratum for good. A
+    stratum gets its first slots that no completed id holds: failed or skipped ids below the
+    largest are planned again, under the same id and so with the same draws. ``floor`` and ``extra``
+    may be scalar subqueries over the manifest.
     """
-    done = manifest.agg(
-        F.coalesce(
-            F.max(F.substring_index("base_sample_id", "_", -1).cast("bigint")), F.lit(-1)
-        ).alias("last")
-    ).select("last").scalar()
+    stream = stream_number(F.col("geometry_family"), F.col("scale_bucket"))
     short = stratum_shortfalls(manifest, floor).select(
         "geometry_family", "scale_bucket", F.col("shortfall").cast("bigint").alias("n")
     )
     free = manifest.sparkSession.range(1).select(
-        F.lit("~free").alias("geometry_family"),
-        F.lit("~free").alias("scale_bucket"),
+        F.lit(FREE).alias("geometry_family"),
+        F.lit(FREE).alias("scale_bucket"),
         (extra if isinstance(extra, Column) else F.lit(extra)).cast("bigint").alias("n"),
     )
-    # One row per stratum plus one: the running sum is over a fixed handful of rows.
-    order = Window.orderBy("geometry_family", "scale_bucket")
-    strata = short.unionByName(free).withColumn(
-        "_start", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    )
-    rows = _numbered(strata, "n").withColumn(
-        "base_sample_id", base_id(done + 1 + F.col("_start") + F.col("slot"))
+    strata = short.unionByName(free).withColumn("stream", stream)
+    slots = free_slots(used_slots(manifest), strata.select("stream", "n"), "stream", "n")
+    named = strata.drop("n")  # a row a stratum
+    rows = slots.join(F.broadcast(named), "stream").withColumn(
+        "base_sample_id", base_id(F.col("slot") * STREAMS + F.col("stream"))
     )
-    is_free = F.col("geometry_family") == "~free"
+    is_free = F.col("geometry_family") == FREE
     u = uniform(sampling.seed, "base_sample_id", "family")
     length = F.when(is_free, free_length(sampling.seed, "base_sample_id", scale)).otherwise(
         bucket_length(sampling.seed, "base_sample_id", scale, "scale_bucket")

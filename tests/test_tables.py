@@ -16,6 +16,7 @@ from meshloom.functions.uniform import between, normalised, uniform
 from meshloom.operators import batching, filters, linearity, normalize, percentiles, reports, resume, scaling
 from meshloom.operators.percentiles import percentiles_by
 from meshloom.operators.ranking import shuffle_rank
+from meshloom.operators.slots import free_slots
 from meshloom.plans import sample_plan, splits
 from meshloom.session import scratch_path
 from meshloom.sources import manifest as ms
@@ -238,6 +239,33 @@ def test_batches_are_contiguous_and_offsets_accumulate(spark):
 # --- plan ------------------------------------------------------------------------------
 
 
+def test_free_slots_fill_gaps_first(spark):
+    rng = random.Random(4)
+    used = {0: {s for s in range(300) if rng.random() < 0.8}, 1: set(range(64)), 2: set(), 3: {5, 900}}
+    wanted = {0: 100, 1: 3, 2: 130, 3: 0, 4: 1}
+    rows = [(k, s) for k, held in used.items() for s in held for _ in range(2)] + [(9, 1), (1, -4)]
+    out = free_slots(
+        spark.createDataFrame(rows, "stream long, slot long"),
+        spark.createDataFrame(list(wanted.items()), "stream long, n long"),
+        "stream", "n", block=16,
+    )
+    want = [(k, s) for k, n in wanted.items() for s in [s for s in range(2000) if s not in used.get(k, ())][:n]]
+    assert sorted(map(tuple, out.collect())) == want
+
+
+def test_failed_ids_are_planned_again_with_their_draws(spark):
+    nothing = mock_manifest(spark, 1).limit(0)
+    first = sample_plan.stratum_plan(nothing, DEFAULTS.sampling, DEFAULTS.scale, 20, 30).toPandas()
+    assert len(first) == 330
+    failed = set(first.sort_values("base_sample_id")["base_sample_id"].iloc[5:300:9])
+    done = spark.createDataFrame(first[~first["base_sample_id"].isin(failed)])
+    again = sample_plan.stratum_plan(done, DEFAULTS.sampling, DEFAULTS.scale, 20, 0).toPandas()
+    merged = again.merge(first, on="base_sample_id", suffixes=("", "_first"))
+    assert len(merged) == len(again) > 0 and set(again["base_sample_id"]) <= failed
+    for name in ("geometry_family", "scale_bucket", "characteristic_length", "mesh_size"):
+        assert (merged[name] == merged[f"{name}_first"]).all()
+
+
 def test_plan_fills_deficits_and_resumes_without_collisions(spark):
     manifest = mock_manifest(spark, 60)
     plan = sample_plan.stratum_plan(manifest, DEFAULTS.sampling, DEFAULTS.scale, 10, 25)
