@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshloom.functions.uniform import shuffle_key
-from meshloom.operators.ranking import binned_rank
+from meshloom.operators.ranking import ranged_rank
 
 
 def assign_batches(
@@ -15,24 +15,23 @@ def assign_batches(
     epoch: int = 0,
     seed: int = 42,
     shuffled: str = "train",
-    prefix: int = 9,
+    rows_a_range: int = 100_000,
 ) -> DataFrame:
     """Add position, batch_id and node_offset within each split.
 
     ``samples``: (split, sample_id, node_count). The ``shuffled`` split follows
-    a digest of (seed, epoch, id); the others keep id order. ``prefix`` leading
-    characters of that order form the bins that are ranked independently.
+    a digest of (seed, epoch, id); the others keep id order. Rows are ranked in
+    ranges of about ``rows_a_range`` rows, so ids may look like anything.
     """
     digest = shuffle_key(seed, "sample_id", f"epoch{epoch}")
     mixed = F.col("split") == shuffled
     order = F.when(mixed, digest).otherwise(F.col("sample_id").cast("string"))
-    bins = F.when(mixed, F.substring("_order", 1, 3)).otherwise(F.substring("_order", 1, prefix))
-    ranked = binned_rank(
+    ranked = ranged_rank(
         samples.withColumn("_order", order),
         ["split"],
-        [F.col("_order"), F.col("sample_id")],
-        bins,
+        ["_order", "sample_id"],
         rank="position",
+        rows_a_range=rows_a_range,
     )
     batched = ranked.withColumn(
         "batch_id", F.floor((F.col("position") - 1) / F.lit(batch_size)).cast("bigint")

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meshloom.session import store_once
+
 
 def binned_rank(
     df: DataFrame,
@@ -70,6 +72,40 @@ def shuffle_rank(
     )
 
 
+def cut_in_ranges(
+    df: DataFrame, order: Sequence[str], rows_a_range: int = 100_000, most: int = 4096, name: str = "_range"
+) -> DataFrame:
+    """``df`` stored with the number of its range along ``order``: ranges ascend and hold about equally many rows.
+
+    The bounds come from Spark's sample of the order's values, so ranges follow counts whatever the
+    values look like; with at most ``most`` ranges the sample on the driver stays small. Ranges
+    are numbered where rows are written, so every later step sees the same ones. Only rows
+    equal in all of ``order`` can't be parted.
+    """
+    staged = store_once(df, "to-rank")
+    ranges = max(1, min(most, -(-staged.count() // rows_a_range)))
+    placed = staged.repartitionByRange(ranges, *order).withColumn(name, F.spark_partition_id())
+    return store_once(placed, "ranges")
+
+
+def ranged_rank(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    rank: str = "rank",
+    total: str | None = None,
+    rows_a_range: int = 100_000,
+) -> DataFrame:
+    """Add the 1-based rank of each row within ``keys`` by ``order``, whatever the values' distribution.
+
+    For orders that no cheap expression cuts evenly; ``binned_rank`` needs no stored table
+    where one does. Key columns must not be null. Nulls in ``order`` come first.
+    """
+    cut = cut_in_ranges(df, [*keys, *order], rows_a_range)
+    ranked = binned_rank(cut, keys, [F.col(c) for c in order], F.col("_range"), rank, total)
+    return ranked.drop("_range")
+
+
 def first_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     """The first ``n`` rows by ``order`` (a top-k: each task keeps at most ``n``)."""
     return df.orderBy(*order).limit(n)

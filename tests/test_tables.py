@@ -15,7 +15,7 @@ from meshloom.functions import encode
 from meshloom.functions.uniform import between, normalised, uniform
 from meshloom.operators import batching, filters, linearity, normalize, percentiles, reports, resume, scaling
 from meshloom.operators.percentiles import percentiles_by
-from meshloom.operators.ranking import shuffle_rank
+from meshloom.operators.ranking import cut_in_ranges, ranged_rank, shuffle_rank
 from meshloom.operators.slots import free_slots
 from meshloom.plans import sample_plan, splits
 from meshloom.session import scratch_path
@@ -216,6 +216,26 @@ def test_leakage_and_multihot_raise(spark):
     splits.check_multihot(legacy, 20)
 
 
+def test_ranges_follow_counts_for_skewed_ids(spark):
+    # One prefix of nine characters holds all but a few ids; a third of all rows are one split.
+    ids = spark.range(12_000).select(
+        F.when(F.col("id") % 500 == 0, F.format_string("zz_%d", "id"))
+        .otherwise(F.concat(F.lit("base_000000"), F.col("id").cast("string"))).alias("sample_id"),
+        F.when(F.col("id") % 3 == 0, "val").when(F.col("id") % 1000 == 1, "test").otherwise("train").alias("split"),
+    )
+    cut = cut_in_ranges(ids, ["split", "sample_id"], 500)
+    sizes = [r["count"] for r in cut.groupBy("_range").count().collect()]
+    assert len(sizes) > 20 and max(sizes) < 1000
+    ranked = ranged_rank(ids, ["split"], ["sample_id"], "r", "n", 500)
+    assert set(ranked.columns) == {"split", "sample_id", "n", "r"}
+    plain = Window.partitionBy("split")
+    wrong = ranked.withColumn("w", F.row_number().over(plain.orderBy("sample_id"))).withColumn(
+        "m", F.count(F.lit(1)).over(plain)
+    ).where("r <> w or n <> m")
+    assert ranked.count() == 12_000 and wrong.isEmpty()
+    assert ranged_rank(ids.limit(0), ["split"], ["sample_id"]).count() == 0
+
+
 def test_batches_are_contiguous_and_offsets_accumulate(spark):
     samples = spark.range(100).select(
         F.format_string("base_%06d", "id").alias("sample_id"),
