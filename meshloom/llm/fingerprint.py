@@ -84,10 +84,12 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b has."""
+    """Estimated share of a's shingles that b has: 1 for an empty a, null where no hash of a tells."""
     limit = F.least(reach(a), reach(b))
     low = [F.filter(s, lambda h: h < limit) for s in (a, b)]
-    return F.coalesce(F.size(F.array_intersect(*low)) / F.nullif(F.size(low[0]), F.lit(0)), F.lit(1.0))
+    return F.when(F.size(a) == 0, 1.0).otherwise(
+        F.size(F.array_intersect(*low)) / F.nullif(F.size(low[0]), F.lit(0))
+    )
 
 
 def merged(a: Column, b: Column) -> Column:

@@ -120,6 +120,13 @@ def test_quality_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
 
 
+def test_containment_without_evidence_is_null(spark):
+    long = [h << 20 for h in range(200)]
+    rows = [([1 << 31, 3 << 30], long), ([], long), ([0, 1 << 31], long), ([5], long)]
+    out = spark.createDataFrame(rows, "a array<long>, b array<long>").select(containment(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in out] == [None, 1.0, 1.0, 0.0]
+
+
 def test_repeated_ids_count_once_in_samples(spark):
     rng = random.Random(3)
     rows = [(i, prose(rng, 20), "en" if i % 2 else "de", "s0", 1) for i in range(200)]
