@@ -9,8 +9,8 @@ Every record takes part, with nulls, empty texts and repeats: equal rows are sep
 records. Only rows equal in every column share a hash, so no hot key can fill a bucket
 unless whole rows repeat. An empty table gives no rows. Column names are kept; those that
 the operator adds (``shard``, ``slot``) replace columns of these names. Columns must be
-orderable (no maps): a bucket is sorted before it is shuffled, so that a retried task and a
-rerun find the same order.
+orderable (no maps): a bucket is sorted before it is shuffled, and bucket b is partition b, whose number
+the draws of ``shuffle`` depend on. So a retried task, a rerun and a table in another layout find the same order.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ def shuffle_into_shards(
     total, rows = totals[0] or 0, totals[1]
     buckets = max(1, math.ceil(total / bucket_bytes))
     scattered = df.select(
-        F.pmod(row_hash(df, seed), F.lit(buckets)).alias("_bucket"),
+        F.pmod(row_hash(df, seed), F.lit(buckets)).cast("int").alias("_bucket"),
         F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("_record"),
     )
     counts = scattered.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"))
@@ -51,12 +51,12 @@ def shuffle_into_shards(
     position = F.col("n_before") + F.col("_at")
     shard = F.expr(f"(_position * {shards}) div {max(rows, 1)}")
     return (
-        scattered.repartition(buckets, "_bucket")
+        scattered.repartitionById(buckets, F.col("_bucket"))
         .groupBy("_bucket")
         .agg(F.array_sort(F.collect_list("_record")).alias("_records"))
+        .select("_bucket", F.shuffle("_records", seed).alias("_records"))
         .join(offsets, "_bucket")
-        .sortWithinPartitions("_bucket")
-        .select("n_before", F.posexplode(F.shuffle("_records", seed)).alias("_at", "_record"))
+        .select("n_before", F.posexplode("_records").alias("_at", "_record"))
         .withColumn("_position", position)
         .withColumn("shard", shard.cast("int"))
         .select(

@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import pytest
 from fixtures import CLASHING, DOCUMENTS, documents, empty, odd_rows, plain
 from pyspark.sql import functions as F
 
@@ -38,6 +39,22 @@ def test_shuffle_repeats_itself_and_follows_its_seed(spark):
     assert first == again != other
 
 
+@pytest.mark.parametrize("partitions,adaptive", [(4, "true"), (7, "true"), (7, "false")])
+def test_shuffle_agrees_with_itself_on_any_layout(spark, partitions, adaptive):
+    docs = documents(spark, extra=False)
+    first = plain(shuffle_into_shards(docs, bucket_bytes=1 << 12))
+    names = {"spark.sql.shuffle.partitions": str(partitions), "spark.sql.adaptive.enabled": adaptive}
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, value in names.items():
+            spark.conf.set(n, value)
+        other = plain(shuffle_into_shards(docs.repartition(partitions, "text"), bucket_bytes=1 << 12))
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
+    assert first == other
+
+
 def test_shards_of_no_rows(spark, tmp_path):
     assert shuffle_into_shards(empty(spark)).count() == 0
     write_shards(shuffle_into_shards(documents(spark, extra=False), shards=2), f"{tmp_path}/out")
