@@ -48,15 +48,15 @@ def shuffle_into_shards(
     )
     counts = scattered.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"))
     offsets = prefix_sums(counts, "_bucket", ["n"]).select("_bucket", "n_before")
+    # A bucket's offset travels as one more row of the bucket, so that its records move once.
+    moved = scattered.unionByName(offsets, allowMissingColumns=True)
     position = F.col("n_before") + F.col("_at")
     shard = F.expr(f"(_position * {shards}) div {max(rows, 1)}")
     return (
-        scattered.repartitionById(buckets, F.col("_bucket"))
+        moved.repartitionById(buckets, F.col("_bucket"))
         .groupBy("_bucket")
-        .agg(F.array_sort(F.collect_list("_record")).alias("_records"))
-        .select("_bucket", F.shuffle("_records", seed).alias("_records"))
-        .join(offsets, "_bucket")
-        .select("n_before", F.posexplode("_records").alias("_at", "_record"))
+        .agg(F.array_sort(F.collect_list("_record")).alias("_records"), F.max("n_before").alias("n_before"))
+        .select("n_before", F.posexplode(F.shuffle("_records", seed)).alias("_at", "_record"))
         .withColumn("_position", position)
         .withColumn("shard", shard.cast("int"))
         .select(
