@@ -12,7 +12,13 @@ their first |s| - ceil(t|s|) + l share at least l: the longer the prefix, the mo
    near copies), pairs are not listed: in each round a node is compared with one pivot of its lists, and
    linked nodes become one component. Pairs within a component need no comparing, so the next round orders
    shingles anew: those of one component alone come first and match nothing. When a round links few
-   nodes, the pairs left between components are listed, and those with min(l, l') matches or more are verified.
+   nodes, the pairs left between components are found and verified:
+   a. Each node has a centre, the pivot it meets most. With D(u) the shingles of just one of u and its centre, sets
+      u and v of one centre differ by |D(u)| + |D(v)| - 2 |D(u) & D(v)| shingles. Unless both link with the centre they
+      can link only if D(u) and D(v) share enough: steps 2 and 3 again, on the sets D. A family of near copies
+      shares nearly all shingles but few changes, so its lists become short where they would hold every member.
+   b. Nodes of different centres are listed by shared prefix shingles: within a list only centres meet first.
+   Those with min(l, l') matches or more are verified.
 
 All links between different texts count, so components are exact, up to equal 64-bit hashes. Null and
 empty texts have no shingles and link with nothing; a text with fewer words than a shingle is one
@@ -58,12 +64,16 @@ class Join:
     rounds: int = 12
 
     def prefix(self, n: int, matches: int) -> int:
-        return min(n, n + (-self.num * n) // self.den + matches)
+        return min(n, n - self.least_overlap(n) + matches)
 
     def least_overlap(self, n: int) -> int:
         """Shingles that a set of n must share with one it links with; also the least size of that one."""
         return -((-self.num * n) // self.den)
 
+    def excess(self, apart: int, n: int, m: int) -> int:
+        """Above 0 where sets of n and m with ``apart`` shingles in just one of them don't link."""
+        return apart * (self.den + self.num) - (n + m) * (self.den - self.num)
+
     def sieve_matches(self, n: int) -> int:
         return 1 + int(self.sieve * n)
 
@@ -212,20 +222,26 @@ def sets_of(docs: DataFrame, survivors: DataFrame, join: Join) -> DataFrame:
     return sets if sets.count() <= wanted.count() else store_once(sets.dropDuplicates(["node"]), "sets")
 
 
-def prefix_entries(sets: DataFrame, comp: DataFrame | None, join: Join) -> DataFrame:
-    """h, node, n, matches and single (shingles that no other component has): the rest of each node's chosen prefix."""
+def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """h, node, comp, n, size and need of every shingle (or change) in the binary column ``shingles``."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            sizes = part["size"].to_numpy()
+            h = np.concatenate([np.frombuffer(d.as_buffer(), dtype=np.int64) for d in part["shingles"]])
+            names = ["node", "comp", "n", "size", "need"]
+            columns = [pa.array(np.repeat(part[c].to_numpy(), sizes)) for c in names]
+            yield pa.RecordBatch.from_arrays([pa.array(h), *columns], names=["h", *names])
 
-    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                sizes = part["n"].to_numpy()
-                h = np.concatenate([np.frombuffer(d.as_buffer(), dtype=np.int64) for d in part["shingles"]])
-                ids = [pa.array(np.repeat(part[c].to_numpy(), sizes)) for c in ("node", "comp")]
-                yield pa.RecordBatch.from_arrays([pa.array(h), *ids, pa.array(np.repeat(sizes, sizes))], names=["h", "node", "comp", "n"])
-
-    placed = with_components(sets, comp).select("node", "comp", "n", "shingles")
-    listed = placed.mapInArrow(tokens, "h long, node long, comp long, n long")
+
+def prefix_entries(placed: DataFrame, join: Join) -> DataFrame:
+    """h, node, n, size, matches and single (shingles that no other component has): the rest of each node's chosen prefix.
+
+    ``placed`` has node, comp, n, size, shingles and need, the least overlap with a set that links.
+    """
+    listed = placed.select("node", "comp", "n", "size", "need", "shingles").mapInArrow(
+        tokens, "h long, node long, comp long, n long, size long, need long"
+    )
     frequency = (
         listed.groupBy("h")
         .agg(F.count(F.lit(1)).alias("df"), F.min("comp").alias("a"), F.max("comp").alias("b"))
@@ -233,36 +249,42 @@ def prefix_entries(sets: DataFrame, comp: DataFrame | None, join: Join) -> DataF
         .select("h", "df")
     )
     known = (
-        listed.select("h", "node", "n")
+        listed.drop("comp")
         .join(frequency, "h")
-        .groupBy("node", "n")
+        .groupBy("node", "n", "size", "need")
         .agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("shared"))
     )
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            out: list[list[np.ndarray]] = [[] for _ in range(6)]
             lists = batch["shared"]
             ends, fields = lists.offsets.to_numpy(), lists.values
             df_all, h_all = fields.field("df").to_numpy(), fields.field("h").to_numpy()
-            for i, (node, n) in enumerate(zip(batch["node"].to_pylist(), batch["n"].to_pylist(), strict=True)):
+            rows = zip(*(batch[c].to_pylist() for c in ("node", "n", "size", "need")), strict=True)
+            for i, (node, n, held, need) in enumerate(rows):
                 df, h = df_all[ends[i] : ends[i + 1]], h_all[ends[i] : ends[i + 1]]
-                single = n - len(df)  # these come first in the order and match nothing
-                matches = np.arange(1, min(join.longest, join.least_overlap(n)) + 1)
-                sizes = np.array([max(0, join.prefix(n, int(k)) - single) for k in matches])
+                single = held - len(df)  # these come first in the order and match nothing
+                matches = np.arange(1, min(join.longest, need) + 1)
+                sizes = np.clip(held - need + matches - single, 0, len(df))
                 read = np.append(0, np.cumsum(df - 1))[sizes]
                 best = int(np.argmin(read + join.verification * read / matches))
                 size, k = int(sizes[best]), int(matches[best])
                 if size < k:  # too few shared shingles for this many matches
                     continue
-                for column, x in zip(out, (h[:size], *(np.full(size, v) for v in (node, n, k, single))), strict=True):
+                for column, x in zip(out, (h[:size], *(np.full(size, v) for v in (node, n, held, k, single))), strict=True):
                     column.append(x)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([*c, np.zeros(0, np.int64)]).astype(np.int64)) for c in out],
-                names=["h", "node", "n", "matches", "single"],
+                names=["h", "node", "n", "size", "matches", "single"],
             )
 
-    return known.mapInArrow(choose, "h long, node long, n long, matches long, single long")
+    return known.mapInArrow(choose, "h long, node long, n long, size long, matches long, single long")
+
+
+def shingle_entries(sets: DataFrame, comp: DataFrame | None, join: Join) -> DataFrame:
+    need = F.ceil(F.col("n") * join.num / join.den).cast("long")
+    return prefix_entries(with_components(sets, comp).withColumn("size", F.col("n")).withColumn("need", need), join)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
@@ -295,7 +317,7 @@ def near_components(sets: DataFrame, join: Join) -> DataFrame:
     """node and comp (the least node of its component) of all nodes that link with another."""
     comp, open_sets, listing = None, sets, False
     for turn in range(join.rounds + 1):
-        entries = store_once(prefix_entries(open_sets, comp, join), "entries")
+        entries = store_once(shingle_entries(open_sets, comp, join), "entries")
         placed = with_components(entries, comp)
         shared = placed.groupBy("h").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b")
         live = store_once(placed.join(shared.select("h"), "h"), "live")
@@ -312,7 +334,7 @@ def near_components(sets: DataFrame, join: Join) -> DataFrame:
                 comp = merged(comp, links)
                 open_sets = by_ids(sets, nodes, "node")
                 continue
-        links = linked(listed_pairs(live, join), sets, join)
+        links = linked(listed_pairs(live, sets, join), sets, join)
         if not links.isEmpty():
             comp = merged(comp, links)
         break
@@ -359,16 +381,19 @@ def may_link(join: Join, n: str, m: str, single_n: str, single_m: str) -> Column
     return most * (join.num + join.den) >= (F.col(n) + F.col(m)) * join.num
 
 
-def pivot_pairs(live: DataFrame, join: Join, turn: int) -> DataFrame:
-    """Each node with the one pivot of its lists that shares most of them, if it is of another component.
+def list_pivots(live: DataFrame, turn: int) -> DataFrame:
+    """h and p: the pivot of each list, its node with the smallest share of single shingles.
 
-    The pivot of a list is its node with the smallest share of single shingles. Near copies differ from one another by
-    the changes of both, so the least changed one links with most of them.
+    Near copies differ from one another by the changes of both, so the least changed one links with most of them.
     """
     changed = (F.col("single") / F.col("n")).alias("changed")
     member = F.struct(changed, F.xxhash64(F.lit(turn), "node").alias("draw"), "node", "comp", "n", "matches", "single")
-    pivots = live.groupBy("h").agg(F.min(member).alias("p"))
-    met = live.join(pivots, "h").select(
+    return live.groupBy("h").agg(F.min(member).alias("p"))
+
+
+def pivot_pairs(live: DataFrame, join: Join, turn: int) -> DataFrame:
+    """Each node with the one pivot of its lists that shares most of them, if it is of another component."""
+    met = live.join(list_pivots(live, turn), "h").select(
         "node", "n", "single", "comp", F.least("matches", "p.matches").alias("asked"), F.col("p.node").alias("pivot"),
         F.col("p.n").alias("pn"), F.col("p.single").alias("psingle"), F.col("p.comp").alias("pcomp"),
     )
@@ -383,27 +408,98 @@ def pivot_pairs(live: DataFrame, join: Join, turn: int) -> DataFrame:
     return best.select(F.col("node").alias("u"), F.col("b.pivot").alias("v"))
 
 
-def listed_pairs(live: DataFrame, join: Join) -> DataFrame:
-    """All pairs of different components with enough matches in their prefixes."""
-    sides = [
-        live.select(*[F.col(c).alias(f"{side}_{c}") for c in ("h", "node", "comp", "n", "matches", "single")]) for side in "uv"
-    ]
-    met = (
-        (F.col("u_h") == F.col("v_h"))
-        & (F.col("u_node") < F.col("v_node"))
-        & (F.col("u_comp") != F.col("v_comp"))
-        & may_link(join, "u_n", "v_n", "u_single", "v_single")
+def centred(live: DataFrame) -> DataFrame:
+    """node, comp and centre: the pivot that the node meets in most of its lists."""
+    met = live.join(list_pivots(live, 0).select("h", F.col("p.node").alias("pivot")), "h")
+    counts = met.groupBy("node", "comp", "pivot").agg(F.count(F.lit(1)).alias("lists"))
+    return counts.groupBy("node", "comp").agg(F.max(F.struct("lists", "pivot")).alias("c")).select(
+        "node", "comp", F.col("c.pivot").alias("centre")
     )
+
+
+def changes(centres: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
+    """node, comp, centre, n, size, need, linked and shingles: the hashed changes of each node from its centre.
+
+    Let sets u and v have the centre p, and c = (den - num) / (den + num). They link if |D(u)| + |D(v)| - 2 o is at most
+    c (|u| + |v|), where o changes are common. As | |v| - |p| | <= |D(v)| and o <= |D(v)|, that takes
+    o >= (|D(u)| - c (|u| + |p|)) / (1 + c): above 0, thus 1 or more, for a set u that doesn't link with p.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["node", "comp", "centre", "n", "size", "need", "linked", "shingles"]
+        kinds = [*[pa.int64()] * 6, pa.bool_(), pa.binary()]
+        for batch in batches:
+            out: list[list] = [[] for _ in names]
+            rows = zip(*(batch[c].to_pylist() for c in ("node", "comp", "centre")), batch["a"], batch["b"], strict=True)
+            for node, comp, centre, a, b in rows:
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+                d = np.setxor1d(x, y, assume_unique=True)
+                excess = join.excess(len(d), len(x), len(y))
+                # A change counts for its centre only.
+                keys = _mixed((d ^ np.uint64(centre % (1 << 64))) * np.uint64(0x9E3779B97F4A7C15))
+                row = (node, comp, centre, len(x), len(d), max(1, -(-excess // (2 * join.den))), excess <= 0, keys.tobytes())
+                for column, value in zip(out, row, strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+
+    others = centres.filter("node <> centre")
+    left = others.join(sets.select("node", F.col("shingles").alias("a")), "node")
+    middles = store_once(others.select("centre").distinct(), "centres")
+    right = by_ids(sets.select(F.col("node").alias("centre"), F.col("shingles").alias("b")), middles, "centre")
+    schema = "node long, comp long, centre long, n long, size long, need long, linked boolean, shingles binary"
+    return left.join(right, "centre").select("node", "comp", "centre", "a", "b").mapInArrow(compare, schema)
+
+
+def counted_pairs(met: DataFrame) -> DataFrame:
     return (
-        sides[0]
-        .join(sides[1], met)
-        .groupBy(F.col("u_node").alias("u"), F.col("v_node").alias("v"), F.least("u_matches", "v_matches").alias("asked"))
+        met.groupBy(F.col("u_node").alias("u"), F.col("v_node").alias("v"), F.least("u_matches", "v_matches").alias("asked"))
         .agg(F.count(F.lit(1)).alias("shared"))
         .filter("shared >= asked")
         .select("u", "v")
     )
 
 
+def sides(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return tuple(df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns]) for side in "uv")
+
+
+def same_centre_pairs(changed: DataFrame, join: Join) -> DataFrame:
+    """Pairs of one centre and different components that share enough changes in their prefixes."""
+    entries = prefix_entries(changed.filter("size > 0"), join).join(changed.select("node", "comp"), "node")
+    u, v = sides(store_once(entries, "changes"))
+    # Changes that no other component has can't be common.
+    most = F.least(*[F.col(f"{s}_size") - F.col(f"{s}_single") for s in "uv"])
+    apart = F.col("u_size") + F.col("v_size") - 2 * most
+    met = (
+        (F.col("u_h") == F.col("v_h"))
+        & (F.col("u_node") < F.col("v_node"))
+        & (F.col("u_comp") != F.col("v_comp"))
+        & (apart * (join.den + join.num) <= (F.col("u_n") + F.col("v_n")) * (join.den - join.num))
+    )
+    return counted_pairs(u.join(v, met))
+
+
+def other_centre_pairs(live: DataFrame, centres: DataFrame, join: Join) -> DataFrame:
+    """Pairs of different centres and components that share enough shingles in their prefixes."""
+    placed = store_once(live.join(centres.select("node", "centre"), "node"), "placed")
+    a, b = sides(placed.select("h", "centre").distinct())
+    # The centres of a list meet before their nodes do, so nodes of one centre never do here.
+    pairs = a.join(b, (F.col("u_h") == F.col("v_h")) & (F.col("u_centre") < F.col("v_centre"))).drop("v_h")
+    u, v = sides(placed)
+    v = v.withColumnRenamed("v_h", "u_h")
+    met = pairs.join(u, ["u_h", "u_centre"]).join(v, ["u_h", "v_centre"])
+    may = (F.col("u_comp") != F.col("v_comp")) & may_link(join, "u_n", "v_n", "u_single", "v_single")
+    return counted_pairs(met.filter(may))
+
+
+def listed_pairs(live: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
+    """All pairs of different components that may link, and the nodes that link with their centre."""
+    centres = store_once(centred(live), "centred")
+    changed = store_once(changes(centres, sets, join), "changed")
+    direct = changed.filter("linked").select(F.col("node").alias("u"), F.col("centre").alias("v"))
+    return direct.unionByName(same_centre_pairs(changed, join)).unionByName(other_centre_pairs(live, centres, join))
+
+
 def referred(df: DataFrame) -> DataFrame:
     """doc_id, ref, text_hash and text (a null being empty): ref and text_hash tell different rows apart."""
     # A row without an id is found again by its text.
