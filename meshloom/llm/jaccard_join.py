@@ -409,12 +409,15 @@ def pivot_pairs(live: DataFrame, join: Join, turn: int) -> DataFrame:
 
 
 def centred(live: DataFrame) -> DataFrame:
-    """node, comp and centre: the pivot that the node meets in most of its lists."""
-    met = live.join(list_pivots(live, 0).select("h", F.col("p.node").alias("pivot")), "h")
-    counts = met.groupBy("node", "comp", "pivot").agg(F.count(F.lit(1)).alias("lists"))
-    return counts.groupBy("node", "comp").agg(F.max(F.struct("lists", "pivot")).alias("c")).select(
-        "node", "comp", F.col("c.pivot").alias("centre")
-    )
+    """node, comp and centre: of the pivots that a node meets in many of its lists, the first in the order of pivots.
+
+    Any pivot is right. Pivots of a family follow one order, so its members mostly agree on one, whichever they meet most.
+    """
+    rank = F.struct("p.changed", "p.draw", F.col("p.node").alias("pivot"))
+    met = live.join(list_pivots(live, 0), "h").groupBy("node", "comp", rank.alias("rank")).agg(F.count(F.lit(1)).alias("lists"))
+    most = met.groupBy("node").agg(F.max("lists").alias("most"))
+    often = met.join(most, "node").filter(4 * F.col("lists") >= F.col("most"))
+    return often.groupBy("node", "comp").agg(F.min("rank").alias("r")).select("node", "comp", F.col("r.pivot").alias("centre"))
 
 
 def changes(centres: DataFrame, sets: DataFrame, join: Join) -> DataFrame:

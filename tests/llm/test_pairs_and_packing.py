@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from meshloom.llm.components import components
+from meshloom.llm import jaccard_join
 from meshloom.llm.jaccard_join import Join, near_duplicates, one_of_each_group
 from meshloom.llm.packing import (
     WordIds,
@@ -91,6 +92,67 @@ def test_groups_equal_brute_force(spark, join):
     assert plain(near_duplicates(docs, join)) == brute_groups(rows, join.words, join.num, join.den)
 
 
+def family_of_far_copies(members):
+    """Sets of one text with three to five words changed, and for every tenth member a sibling with one word more."""
+    rng = random.Random(members)
+    words = prose(rng, 150).split()
+    texts = []
+    for i in range(members):
+        near = words.copy()
+        for at in rng.sample(range(len(near)), rng.randrange(3, 6)):
+            near[at] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(near))
+        if i % 10 == 0:
+            near[rng.randrange(len(near))] = f"s{i}"
+            texts.append(" ".join(near))
+    return jaccard_join.shingle_sets(pa.array(texts), Join().words)
+
+
+def least_of_components(nodes, pairs):
+    root = {x: x for x in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {x: find(x) for x in nodes}
+
+
+def test_listing_of_one_family_is_short(spark, monkeypatch):
+    join, rows = Join(), {}
+    counted = jaccard_join.counted_pairs
+    for members in (200, 600):
+        sets = {jaccard_join.set_key(s): s for s in family_of_far_copies(members)}
+        stored = store_once(
+            spark.createDataFrame([(k, len(s), s.tobytes()) for k, s in sets.items()], "node long, n long, shingles binary"), "sets"
+        )
+        live = store_once(jaccard_join.shingle_entries(stored, None, join).withColumn("comp", F.col("node")), "live")
+        rows[members] = 0
+
+        def counting(met, members=members):
+            rows[members] += met.count()
+            return counted(met)
+
+        monkeypatch.setattr(jaccard_join, "counted_pairs", counting)
+        pairs = store_once(jaccard_join.listed_pairs(live, stored, join), "pairs")
+        found = {tuple(r) for r in jaccard_join.verified(pairs, stored, join).collect()}
+        keys = list(sets)
+        truth = set()
+        for i, a in enumerate(keys):
+            for b in keys[:i]:
+                shared = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if join.links(shared, len(sets[a]), len(sets[b])):
+                    truth.add((a, b))
+        assert len(truth) >= members // 10
+        assert least_of_components(keys, found) == least_of_components(keys, truth)
+        # Not linear (443 and 5,875 rows were measured), but far from the shared shingles of all pairs.
+        assert 1000 * rows[members] <= sum(np.unique(np.concatenate(list(sets.values())), return_counts=True)[1] ** 2)
+
+
 def test_one_row_of_each_group_stays(spark):
     docs = documents(spark)
     out = one_of_each_group(docs)
