@@ -512,3 +512,10 @@ def test_damaged_parquet_files_are_named(spark, tmp_path):
     (tmp_path / "manifest" / "cut.parquet").write_text("not a parquet file")
     assert [r["sample_id"] for r in ms.read_manifest_or_empty(spark, path).collect()] == ["s1"]
     assert [r["path"].rsplit("/", 1)[1] for r in ms.damaged_files(spark, path).collect()] == ["cut.parquet"]
+
+
+def test_numbers_are_printed_by_their_exact_value(spark):
+    values = [0.25, 0.35, 0.05, 0.15, 9.95, 99.96, -0.25, -0.04, 0.0, 1.2, 0.00015, 412345678.25, 412345678.35, 412345678.75, 2.0**53, 1e22]
+    df = spark.createDataFrame([(v,) for v in values], "v double").coalesce(1)
+    rows = df.select("v", encode.one_decimal(F.col("v")).alias("one"), encode.fixed(F.col("v"), 4).alias("four")).collect()
+    assert [(r["one"], r["four"]) for r in rows] == [("%.1f" % r["v"], "%.4f" % r["v"]) for r in rows]
