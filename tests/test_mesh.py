@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from meshloom.config import Material
 from meshloom.functions.stress import VOIGT
 from meshloom.operators import coherence, contraction, gather, hops, strain, topology
+from meshloom.sources import derived
 
 CORNERS = [(0.0, 0.0, 0.0), (1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)]
 EDGES = [(0, 1), (1, 2), (0, 2), (0, 3), (1, 3), (2, 3)]
@@ -295,3 +296,15 @@ def test_components_of_odd_graphs(spark):
     assert got == {(1, 0): 0, (1, 1): 1, (1, 2): 1, (1, 3): 3, (1, 4): 4, (1, 5): 4, (1, 6): 6, (2, 3): 3}
     none = contraction.components(nodes, edges.limit(0))
     assert none.where("component = node_id").count() == 8
+
+
+def exchanged(df) -> list[str]:
+    """What the plan moves, by the lines that say how."""
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line]
+
+
+def test_meshes_placed_by_sample_are_not_moved_again(spark):
+    sf = "/root/testdata/sf0.001"
+    elements, nodes = derived.mesh_elements(spark, sf), derived.mesh_nodes(spark, sf)
+    for made in (strain.tet10_strains(elements, nodes), topology.build_graph(elements, nodes, "tet10"), derived.mesh_fields(spark, sf)):
+        assert not [line for line in exchanged(made) if "node_id" in line or "elem_id" in line or "src" in line]
