@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from meshloom.catalog import strain_queries
 from meshloom.config import Material
 from meshloom.functions.stress import VOIGT
 from meshloom.operators import coherence, contraction, gather, hops, strain, topology
@@ -308,3 +309,8 @@ def test_meshes_placed_by_sample_are_not_moved_again(spark):
     elements, nodes = derived.mesh_elements(spark, sf), derived.mesh_nodes(spark, sf)
     for made in (strain.tet10_strains(elements, nodes), topology.build_graph(elements, nodes, "tet10"), derived.mesh_fields(spark, sf)):
         assert not [line for line in exchanged(made) if "node_id" in line or "elem_id" in line or "src" in line]
+
+
+def test_nodes_of_variants_are_not_moved(spark):
+    checked = strain_queries.spot_checks(spark, "/root/testdata/sf0.001")
+    assert not [line for line in exchanged(checked) if "node_id" in line.split("hashpartitioning(")[-1].split("]")[0]]
