@@ -140,9 +140,9 @@ SELECT scale_bucket, count(*) AS node_rows, count(DISTINCT sample_id) AS samples
 FROM variants JOIN nf USING (base_id) WHERE linearity_gate_pass GROUP BY scale_bucket"""))
 def sample_fields_sink(spark, sf):
     """Fields of accepted variants only, stored by bucket and read back."""
-    path, v = scratch_path(spark, "fields"), d.variants(spark, sf)
+    path, v = scratch_path(spark, "fields"), d.stored_variants(spark, sf)
     rows = apply_factor(d.node_fields(spark, sf), v, "base_id", ["ux", "uy", "uz", "von_mises"])
-    fs.write_sample_fields(rows, v, path)
+    fs.write_sample_fields(rows, v, path, ["base_id", "sample_id"])
     return spark.read.parquet(path).groupBy("scale_bucket").agg(
         F.count(F.lit(1)).alias("node_rows"),
         F.count_distinct("sample_id").alias("samples"),

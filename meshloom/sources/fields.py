@@ -31,7 +31,10 @@ def with_fields_only(manifest: DataFrame, fields: DataFrame, key: str = "sample_
     return manifest.join(fields.select(key), key, "left_semi")
 
 
-def write_sample_fields(fields: DataFrame, manifest: DataFrame, path: str) -> None:
-    """Store the field rows of accepted variants, partitioned by scale bucket."""
-    kept = accepted(manifest).select("sample_id", "scale_bucket")
-    fields.join(kept, "sample_id").write.mode("append").partitionBy("scale_bucket").parquet(path)
+def write_sample_fields(fields: DataFrame, manifest: DataFrame, path: str, keys: Sequence[str] = ("sample_id",)) -> None:
+    """Store the field rows of accepted variants, partitioned by scale bucket.
+
+    ``keys`` may name what the sample belongs to besides: rows that lie together by it are not moved.
+    """
+    kept = accepted(manifest).select(*keys, "scale_bucket")
+    fields.join(kept, list(keys)).write.mode("append").partitionBy("scale_bucket").parquet(path)

@@ -19,6 +19,7 @@ from meshloom.operators.ranking import cut_in_ranges, ranged_rank, shuffle_rank
 from meshloom.operators.slots import free_slots
 from meshloom.plans import sample_plan, splits
 from meshloom.session import scratch_path
+from meshloom.sources import fields as field_store
 from meshloom.sources import manifest as ms
 from meshloom.sources import stats as stats_store
 from meshloom.streaming import manifest_stream as stream
@@ -519,3 +520,14 @@ def test_numbers_are_printed_by_their_exact_value(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double").coalesce(1)
     rows = df.select("v", encode.one_decimal(F.col("v")).alias("one"), encode.fixed(F.col("v"), 4).alias("four")).collect()
     assert [(r["one"], r["four"]) for r in rows] == [("%.1f" % r["v"], "%.4f" % r["v"]) for r in rows]
+
+
+def test_fields_are_stored_by_the_keys_that_place_them(spark, tmp_path):
+    manifest = spark.createDataFrame(
+        [(1, "a", "small", None), (1, "b", "large", None), (2, "c", "small", "cap")],
+        "base_id long, sample_id string, scale_bucket string, rejection_reason string",
+    )
+    rows = spark.createDataFrame([(1, "a", 0.5), (1, "b", 1.5), (2, "c", 2.5)], "base_id long, sample_id string, ux double")
+    field_store.write_sample_fields(rows, manifest, f"{tmp_path}/f", ["base_id", "sample_id"])
+    stored = spark.read.parquet(f"{tmp_path}/f").select("sample_id", "ux", "scale_bucket")
+    assert sorted(map(tuple, stored.collect())) == [("a", 0.5, "small"), ("b", 1.5, "large")]
