@@ -136,7 +136,7 @@ JOIN (SELECT sample_id, count(*) AS c FROM walk GROUP BY 1) w ON n.sample_id = w
 def connectivity_all_nodes(spark, sf):
     """Quadratic edges; the first node of every fifth sample is cut off."""
     cut = (F.col("sample_id") % 5 == 0) & ((F.col("src") == 0) | (F.col("dst") == 0))
-    edges = _edges(spark, sf, "tet10").where(~cut)
+    edges = topology.clique_edges(d.mesh_elements(spark, sf), 10).where(~cut)
     return hops.connectivity(d.mesh_nodes(spark, sf), edges)
 
 
@@ -151,7 +151,7 @@ def component_sizes(spark, sf):
     """Quadratic edges, of which some samples lack those at node 0 and some those between nodes below 20 and the others."""
     cut = (F.col("sample_id") % 5 == 0) & ((F.col("src") == 0) | (F.col("dst") == 0))
     halves = (F.col("sample_id") % 3 == 0) & ((F.col("src") < 20) != (F.col("dst") < 20))
-    edges = _edges(spark, sf, "tet10").where(~cut & ~halves)
+    edges = topology.clique_edges(d.mesh_elements(spark, sf), 10).where(~cut & ~halves)
     return contraction.component_sizes(contraction.components(d.mesh_nodes(spark, sf), edges))
 
 

@@ -314,3 +314,14 @@ def test_meshes_placed_by_sample_are_not_moved_again(spark):
 def test_nodes_of_variants_are_not_moved(spark):
     checked = strain_queries.spot_checks(spark, "/root/testdata/sf0.001")
     assert not [line for line in exchanged(checked) if "node_id" in line.split("hashpartitioning(")[-1].split("]")[0]]
+
+
+def test_first_contraction_leaves_edges_where_they_lie(spark):
+    elements = derived.mesh_elements(spark, "/root/testdata/sf0.001")
+    edges = topology.clique_edges(elements, 10).selectExpr("sample_id", "src AS a", "dst AS b")
+    pointed = contraction.pointers(edges, 42)
+    assert not [line for line in exchanged(pointed) if "hashpartitioning(sample_id" in line]
+    # Draws are aggregated by hash: nothing is sorted.
+    assert "Sort" not in pointed._jdf.queryExecution().executedPlan().toString()
+    merged = contraction.contracted(edges, contraction.store_once(pointed, "moves"))
+    assert not [line for line in exchanged(merged) if ", a#" in line or ", b#" in line]
