@@ -4,22 +4,23 @@ All samples and all starts advance together, one join per hop; up to 64 starts o
 a node, one bit of a long each, and meet in ``bit_or``, which combines map-side. The mesh graph is undirected, so the
 neighbours of hop k lie on hops k-1, k or k+1: a new frontier is checked against the last two only. Neighbour lists
 are a bucketed table: a hop shuffles its frontier and reads, but never moves or sorts, the edges; every few hops
-lists of samples that have no frontier left are dropped, in the same buckets. Every frontier is a table in the shared folder,
-one partition per hop, so losing executors repeats one hop at most and the result is read back as a whole.
+lists of samples that have no frontier left are dropped, in the same buckets. Where sizes are given and every sample fits in
+a task, lists and frontiers are bucketed by sample: then nothing is moved at all. Every frontier is a table in the shared folder,
+so losing executors repeats one hop at most.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from meshloom.functions.uniform import shuffle_key
 from meshloom.operators.contraction import components
-from meshloom.session import cut_lineage, scratch_path, store_once
+from meshloom.session import sample_parts, scratch_path, store_once
 
 #: Starts of a sample that advance together: the bits of a long.
 WORD = 64
@@ -27,31 +28,58 @@ WORD = 64
 COMPACT_EVERY = 4
 #: Sample ids that may be broadcast to drop lists (16 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
+#: Samples of up to so many nodes lie in one task each; with larger ones all lists are spread by node.
+TASK_NODES = 1_000_000
 
 
 class Lists:
-    """Neighbour lists (sample_id, node_id, dsts) bucketed by (sample_id, node_id).
+    """Neighbour lists (sample_id, node_id, dsts), bucketed by sample if ``sizes`` (sample_id, n) tell that no sample is too large
+    for a task, else by (sample_id, node_id).
 
     A list is bounded by the degree of a mesh node. The bucketing is what keeps edges in place from hop to
     hop: a checkpoint would lose it.
     """
 
-    def __init__(self, edges: DataFrame):
+    def __init__(self, edges: DataFrame, sizes: DataFrame | None = None):
         self.spark = edges.sparkSession
         self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.keys = ["sample_id", "node_id"]
+        if sizes is not None:
+            samples, largest = sizes.agg(F.count(F.lit(1)), F.max("n")).first()
+            if samples and largest <= TASK_NODES:
+                self.parts, self.keys = sample_parts(self.spark, samples), ["sample_id"]
         self.names: list[str] = []
         lists = edges.groupBy("sample_id", F.col("src").alias("node_id")).agg(F.collect_set("dst").alias("dsts"))
-        self.whole = self._stored(lists.repartition(self.parts, "sample_id", "node_id"))
+        self.whole = self._stored(lists.repartition(self.parts, *self.keys))
         self.all_samples = self.whole.select("sample_id").distinct().count()
         self.reset()
 
     def reset(self) -> None:
         self.now, self.samples = self.whole, self.all_samples
 
-    def _stored(self, lists: DataFrame) -> DataFrame:
-        path = scratch_path(self.spark, "edges")
-        name = path.rsplit("/", 1)[1].replace("-", "_")
-        lists.write.bucketBy(self.parts, "sample_id", "node_id").option("path", path).saveAsTable(name)
+    def _stored(self, rows: DataFrame, path: str | None = None) -> DataFrame:
+        path = path or scratch_path(self.spark, "edges")
+        name = f"meshloom_{uuid.uuid4().hex}"
+        rows.write.bucketBy(self.parts, *self.keys).option("path", path).saveAsTable(name)
+        self.names.append(name)
+        return self.spark.table(name)
+
+    def level(self, rows: DataFrame, path: str, hop: int) -> tuple[DataFrame, int]:
+        """``rows`` of a hop stored as the lists are, in a folder of ``path``, and how many they are."""
+        seen_rows = Observation()
+        counted = rows.withColumn("hops", F.lit(hop)).repartition(self.parts, *self.keys)
+        counted = counted.observe(seen_rows, F.count(F.lit(1)).alias("n"))
+        return self._stored(counted, f"{path}/hop-{hop}"), seen_rows.get["n"]
+
+    def levels(self, path: str, like: DataFrame) -> DataFrame:
+        """All hops stored in ``path`` as one table, in the same buckets where they lie by sample."""
+        if self.keys != ["sample_id"]:
+            return self.spark.read.schema(like.schema).option("recursiveFileLookup", True).parquet(path)
+        name, columns = f"meshloom_{uuid.uuid4().hex}", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in like.schema)
+        self.spark.sql(
+            f"CREATE TABLE {name} ({columns}) USING parquet OPTIONS (recursiveFileLookup 'true') "
+            f"CLUSTERED BY ({', '.join(self.keys)}) INTO {self.parts} BUCKETS LOCATION '{path}'"
+        )
         self.names.append(name)
         return self.spark.table(name)
 
@@ -63,18 +91,22 @@ class Lists:
         if left <= BROADCAST_IDS:  # a scan of buckets, filtered in place, writes the same buckets
             kept = self.now.join(F.broadcast(unfinished), "sample_id", "left_semi")
         else:
-            kept = self.now.join(unfinished, "sample_id", "left_semi").repartition(self.parts, "sample_id", "node_id")
+            kept = self.now.join(unfinished, "sample_id", "left_semi").repartition(self.parts, *self.keys)
         self.now, self.samples = self._stored(kept.select("sample_id", "node_id", "dsts")), left
 
+    def members(self, nodes: DataFrame, universe: str) -> DataFrame:
+        """:func:`node_universe`, of which the used nodes are those that have a list."""
+        return (nodes if universe == "all" else self.whole).select("sample_id", "node_id")
+
     def close(self) -> None:
         for name in self.names:
             self.spark.sql(f"DROP TABLE {name}")
 
 
 @contextmanager
-def neighbour_lists(edges: DataFrame) -> Iterator[Lists]:
+def neighbour_lists(edges: DataFrame, sizes: DataFrame | None = None) -> Iterator[Lists]:
     """The lists of ``edges``, for the time of the block."""
-    lists = Lists(edges)
+    lists = Lists(edges, sizes)
     try:
         yield lists
     finally:
@@ -86,32 +118,22 @@ def breadth_first(lists: Lists, sources: DataFrame) -> DataFrame:
 
     ``sources``: (sample_id, node_id, bits); nodes with the same bit act as one set.
     """
-    spark = lists.spark
     lists.reset()
-    first = sources.groupBy("sample_id", "node_id").agg(F.bit_or("bits").alias("bits"))
-    path = scratch_path(spark, "hops")
-
-    def stored(rows: DataFrame, hop: int) -> tuple[DataFrame, int]:
-        seen_rows = Observation()
-        folder = f"{path}/hops={hop}"
-        rows.observe(seen_rows, F.count(F.lit(1)).alias("n")).write.parquet(folder)
-        return spark.read.schema(first.schema).parquet(folder), seen_rows.get["n"]
-
-    frontier, found = stored(first, 0)
-    seen, hop = frontier, 0
+    path = scratch_path(lists.spark, "hops")
+    frontier, found = lists.level(sources.groupBy("sample_id", "node_id").agg(F.bit_or("bits").alias("bits")), path, 0)
+    before, hop = frontier, 0
     while found:
         hop += 1
         if hop % COMPACT_EVERY == 0:
             lists.keep(frontier.select("sample_id").distinct())
-        none = F.lit(0).cast("long")
-        met = next_nodes(frontier, lists.now).select("sample_id", "node_id", "bits", none.alias("old"))
-        met = met.unionByName(seen.select("sample_id", "node_id", none.alias("bits"), F.col("bits").alias("old")))
-        reached = met.groupBy("sample_id", "node_id").agg(F.bit_or("bits").alias("bits"), F.bit_or("old").alias("old"))
-        new = reached.select("sample_id", "node_id", F.expr("bits & ~old").alias("bits")).where("bits <> 0")
-        fresh, found = stored(new, hop)
-        seen, frontier = frontier.unionByName(fresh), fresh
-    levels = StructType([*first.schema.fields, StructField("hops", IntegerType())])
-    return spark.read.schema(levels).parquet(path)
+        new = next_nodes(frontier, lists.now).groupBy("sample_id", "node_id").agg(F.bit_or("bits").alias("bits"))
+        # Joined, not united with what was seen: a join keeps rows where they lie.
+        for seen in [frontier] if hop == 1 else [frontier, before]:
+            old = seen.select("sample_id", "node_id", F.col("bits").alias("_old")).hint("shuffle_hash")
+            fresh = F.expr("bits & ~coalesce(_old, 0L)").alias("bits")
+            new = new.join(old, ["sample_id", "node_id"], "left").select("sample_id", "node_id", fresh)
+        before, (frontier, found) = frontier, lists.level(new.where("bits <> 0"), path, hop)
+    return lists.levels(path, frontier)
 
 
 def next_nodes(frontier: DataFrame, lists: DataFrame) -> DataFrame:
@@ -127,6 +149,10 @@ def node_universe(nodes: DataFrame, edges: DataFrame, universe: str) -> DataFram
     return edges.select("sample_id", F.col("src").alias("node_id")).distinct()
 
 
+def sample_sizes(nodes: DataFrame) -> DataFrame:
+    return nodes.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def bit(i: int) -> Column:
     return F.shiftleft(F.lit(1).cast("long"), i)
 
@@ -145,16 +171,16 @@ def hops_to_sources(
     """
     tagged = sum((F.when(F.col(flag), bit(i)).otherwise(0) for i, flag in enumerate(flags.values())), F.lit(0).cast("long"))
     sources = nodes.select("sample_id", "node_id", tagged.alias("bits")).where("bits <> 0")
-    with neighbour_lists(edges) as lists:
+    sizes = store_once(sample_sizes(nodes), "sizes")
+    with neighbour_lists(edges, sizes) as lists:
         found = breadth_first(lists, sources)
     wide = found.groupBy("sample_id", "node_id").agg(
         *[F.min(F.when(holds(i), F.col("hops"))).alias(n) for i, n in enumerate(flags)]
     )
-    sizes = nodes.groupBy("sample_id").agg(F.count(F.lit(1)).alias("_n"))
     return (
         nodes.select("sample_id", "node_id")
-        .join(wide, ["sample_id", "node_id"], "left")
-        .join(sizes, "sample_id")
+        .join(wide.hint("shuffle_hash"), ["sample_id", "node_id"], "left")
+        .join(sizes.withColumnRenamed("n", "_n"), "sample_id")
         .select(
             "sample_id",
             "node_id",
@@ -189,8 +215,9 @@ def graph_diameter(
     the largest eccentricity wins. A disconnected sample gives -1; a sample without
     edges gives 0 if it has one node, else -1.
     """
-    members = cut_lineage(node_universe(nodes, edges, universe))
-    with neighbour_lists(edges) as lists:
+    counts = store_once(sample_sizes(nodes), "sizes")
+    with neighbour_lists(edges, counts) as lists:
+        members = lists.members(nodes, universe)
         first = breadth_first(lists, seeded_starts(members, starts, seed))
         spot = F.struct("hops", (-F.col("node_id")).alias("neg"))
         ends = first.groupBy("sample_id").agg(*[F.max(F.when(holds(i), spot)).alias(f"_{i}") for i in range(starts)])
@@ -199,8 +226,8 @@ def graph_diameter(
         second = breadth_first(lists, far)
     reached = F.least(*[F.nullif(F.count_if(holds(i)), F.lit(0)) for i in range(starts)], F.count(F.lit(1)))
     sweeps = second.groupBy("sample_id").agg(F.max("hops").alias("ecc"), reached.alias("reached"))
-    sizes = members.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
-    counts = nodes.groupBy("sample_id").agg(F.count(F.lit(1)).alias("nodes"))
+    sizes = sample_sizes(members)
+    counts = counts.withColumnRenamed("n", "nodes")
     found = counts.join(sizes.join(sweeps, "sample_id"), "sample_id", "left")
     return found.select(
         "sample_id",
@@ -225,12 +252,12 @@ def exact_diameter(
     starts, the highest bounds first. A sample without candidates is exact and leaves; above ``most_starts`` starts what is found is a
     lower bound, flagged as not exact. Disconnected samples and those without edges as in :func:`graph_diameter`.
     """
-    members = store_once(node_universe(nodes, edges, universe), "members")
-    bounds = members.withColumn("bound", F.lit(None).cast("int"))
-    sources = store_once(seeded_starts(members, WORD, seed), "starts")
-    sizes = members.groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
+    counts = store_once(sample_sizes(nodes), "sizes")
     done, lower, swept = None, None, 0
-    with neighbour_lists(edges) as lists:
+    with neighbour_lists(edges, counts) as lists:
+        members = lists.members(nodes, universe)
+        bounds = members.withColumn("bound", F.lit(None).cast("int"))
+        sources, sizes = store_once(seeded_starts(members, WORD, seed), "starts"), sample_sizes(members)
         while True:
             levels = breadth_first(lists, sources)
             ecc = eccentricities(levels)
@@ -250,7 +277,7 @@ def exact_diameter(
                 break
             sources = store_once(numbered(bounds, [F.col("bound").desc(), F.col("node_id")], WORD), "starts")
     open_ = bounds.select("sample_id").distinct().withColumn("_open", F.lit(True))
-    counts = nodes.groupBy("sample_id").agg(F.count(F.lit(1)).alias("nodes"))
+    counts = counts.withColumnRenamed("n", "nodes")
     found = counts.join(done, "sample_id", "left").join(lower, "sample_id", "left").join(open_, "sample_id", "left")
     return found.select(
         "sample_id",

@@ -325,3 +325,19 @@ def test_first_contraction_leaves_edges_where_they_lie(spark):
     assert "Sort" not in pointed._jdf.queryExecution().executedPlan().toString()
     merged = contraction.contracted(edges, contraction.store_once(pointed, "moves"))
     assert not [line for line in exchanged(merged) if ", a#" in line or ", b#" in line]
+
+
+def test_hops_of_small_meshes_move_nothing(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    nodes, edges = derived.masked_nodes(spark, sf), topology.undirected_edges(topology.graph_nodes(derived.mesh_elements(spark, sf), "tet4"), 4)
+    sizes = hops.store_once(hops.sample_sizes(nodes), "sizes")
+    starts = hops.store_once(nodes.where("is_fixed").selectExpr("sample_id", "node_id", "1L AS bits"), "starts")
+    with hops.neighbour_lists(edges, sizes) as lists:
+        found = hops.breadth_first(lists, starts)
+        assert lists.keys == ["sample_id"]
+        assert not exchanged(hops.next_nodes(found.where("hops = 1"), lists.now).groupBy("sample_id", "node_id").count())
+        near = {tuple(r) for r in found.select("sample_id", "node_id", "hops").collect()}
+    monkeypatch.setattr(hops, "TASK_NODES", 5)  # too large for a task: spread by node
+    with hops.neighbour_lists(edges, sizes) as lists:
+        assert lists.keys == ["sample_id", "node_id"]
+        assert near == {tuple(r) for r in hops.breadth_first(lists, starts).select("sample_id", "node_id", "hops").collect()}
