@@ -8,10 +8,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshloom.catalog import strain_queries
+from meshloom.catalog import strain_queries, training_queries
 from meshloom.config import Material
 from meshloom.functions.stress import VOIGT
 from meshloom.operators import coherence, contraction, gather, hops, strain, topology
+from meshloom.plans import dataset
+from meshloom.session import store_once
 from meshloom.sources import derived
 
 CORNERS = [(0.0, 0.0, 0.0), (1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)]
@@ -341,3 +343,13 @@ def test_hops_of_small_meshes_move_nothing(spark, monkeypatch):
     with hops.neighbour_lists(edges, sizes) as lists:
         assert lists.keys == ["sample_id", "node_id"]
         assert near == {tuple(r) for r in hops.breadth_first(lists, starts).select("sample_id", "node_id", "hops").collect()}
+
+
+def test_dataset_rows_of_placed_fields_are_not_moved(spark):
+    manifest, fields = training_queries.mesh_manifest(spark, "/root/testdata/sf0.001")
+    stats = store_once(dataset.training_stats(manifest, fields, key="mesh_id"), "stats")
+    nodes = dataset.node_table(manifest, fields, None, stats, "mesh_id", ["split"])
+    plan = nodes._jdf.queryExecution().executedPlan().toString()
+    # Neither moved before nor after the variants multiply them: what is shuffled are manifest rows.
+    assert not [line for line in exchanged(nodes) if "sample_id" in line or "REPARTITION" in line]
+    assert "SelectedBucketsCount" in plan and set(nodes.columns) >= {"sample_id", "node_id", "split"}
