@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meshloom.catalog.registry import query, r
+from meshloom.catalog.split_queries import split_manifest
 from meshloom.catalog.sqltext import r as sr
 from meshloom.catalog.sqltext import with_parts
 from meshloom.config import DEFAULTS
@@ -13,7 +14,6 @@ from meshloom.operators import features, filters
 from meshloom.operators.normalize import target_stats
 from meshloom.operators.ranking import first_rows
 from meshloom.operators.scaling import apply_factor
-from meshloom.plans.splits import assign_splits
 from meshloom.session import scratch_path
 from meshloom.sources import derived as d
 from meshloom.sources import fields as fs
@@ -201,7 +201,7 @@ def coherence_filter(spark, sf):
 
 @query("split_filter", with_parts("splitmani", "SELECT sample_id FROM splitmani WHERE split = 'val'"))
 def split_filter(spark, sf):
-    manifest = assign_splits(d.stored_variants(spark, sf), DEFAULTS.splitting)
+    manifest = split_manifest(spark, sf)
     return filters.in_split(manifest, "val").select("sample_id")
 
 

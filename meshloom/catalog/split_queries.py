@@ -14,8 +14,12 @@ from meshloom.sources import derived as d
 RULES = DEFAULTS.splitting
 
 
-def split_manifest(spark, sf):
-    return splits.assign_splits(d.stored_variants(spark, sf), RULES)
+#: What a split is decided by, next to the sample: only these columns and those a query asks for are stored.
+SPLIT_COLUMNS = ("sample_id", "base_sample_id", "geometry_family", "scale_bucket", "radius_ratio")
+
+
+def split_manifest(spark, sf, *more):
+    return splits.assign_splits(d.stored_variants(spark, sf, *SPLIT_COLUMNS, *more), RULES)
 
 
 @query("assign_splits", with_parts("splitmani", """
@@ -85,7 +89,7 @@ SELECT base_sample_id FROM m GROUP BY base_sample_id HAVING count(DISTINCT split
 def leakage_check(spark, sf):
     """One variant of some bases is moved to another split on purpose."""
     moved = (F.col("tag") % 50 == 0) & (F.col("target_safety_factor") == 5.0)
-    manifest = split_manifest(spark, sf).withColumn(
+    manifest = split_manifest(spark, sf, "tag", "target_safety_factor").withColumn(
         "split", F.when(moved, "leaked").otherwise(F.col("split"))
     )
     return splits.leaked_bases(manifest)
@@ -110,9 +114,9 @@ placed AS (SELECT *, coalesce(sum(node_count) OVER (PARTITION BY split, batch_id
 WITH {_BATCH_SQL} SELECT sample_id, split, position, batch_id, node_offset FROM placed"""))
 def batch_assignment(spark, sf):
     """Batches of 32 graphs: train in a seeded order of epoch 3, the rest by id."""
-    usable = split_manifest(spark, sf).where("linearity_gate_pass")
+    usable = split_manifest(spark, sf, "node_count", "linearity_gate_pass").where("linearity_gate_pass")
     samples = usable.select("sample_id", "split", "node_count")
-    placed = batching.assign_batches(samples, 32, epoch=3)
+    placed = batching.assign_batches(samples, 32, epoch=3, stage=False)
     return placed.select("sample_id", "split", "position", "batch_id", "node_offset")
 
 

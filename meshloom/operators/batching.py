@@ -16,12 +16,14 @@ def assign_batches(
     seed: int = 42,
     shuffled: str = "train",
     rows_a_range: int = 100_000,
+    stage: bool = True,
 ) -> DataFrame:
     """Add position, batch_id and node_offset within each split.
 
     ``samples``: (split, sample_id, node_count). The ``shuffled`` split follows
     a digest of (seed, epoch, id); the others keep id order. Rows are ranked in
-    ranges of about ``rows_a_range`` rows, so ids may look like anything.
+    ranges of about ``rows_a_range`` rows, so ids may look like anything. ``stage`` is for samples that are
+    costly to compute; a stored table need not be stored again.
     """
     digest = shuffle_key(seed, "sample_id", f"epoch{epoch}")
     mixed = F.col("split") == shuffled
@@ -32,6 +34,7 @@ def assign_batches(
         ["_order", "sample_id"],
         rank="position",
         rows_a_range=rows_a_range,
+        stage=stage,
     )
     batched = ranked.withColumn(
         "batch_id", F.floor((F.col("position") - 1) / F.lit(batch_size)).cast("bigint")

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from meshloom.catalog import training_queries
 from meshloom.config import DEFAULTS, LinearityGate, LoadScaling, Material, Scale, Splitting
 from meshloom.functions import encode
 from meshloom.functions.uniform import between, normalised, uniform
@@ -18,7 +19,8 @@ from meshloom.operators.percentiles import percentiles_by
 from meshloom.operators.ranking import cut_in_ranges, ranged_rank, shuffle_rank
 from meshloom.operators.slots import free_slots
 from meshloom.plans import sample_plan, splits
-from meshloom.session import scratch_path
+from meshloom.session import scratch_path, store_once
+from meshloom.sources import derived
 from meshloom.sources import fields as field_store
 from meshloom.sources import manifest as ms
 from meshloom.sources import stats as stats_store
@@ -531,3 +533,18 @@ def test_fields_are_stored_by_the_keys_that_place_them(spark, tmp_path):
     field_store.write_sample_fields(rows, manifest, f"{tmp_path}/f", ["base_id", "sample_id"])
     stored = spark.read.parquet(f"{tmp_path}/f").select("sample_id", "ux", "scale_bucket")
     assert sorted(map(tuple, stored.collect())) == [("a", 0.5, "small"), ("b", 1.5, "large")]
+
+
+def test_split_queries_store_only_what_they_read(spark, monkeypatch):
+    stored = {}
+
+    def store(df, name):
+        stored[name] = df.columns
+        return store_once(df, name)
+
+    for module in (derived, normalize):
+        monkeypatch.setattr(module, "store_once", store)
+    assert training_queries.target_statistics(spark, "/root/testdata/sf0.001").count() == 1
+    assert len(stored["variants"]) == 8
+    # A row of moments a base with its factors, not a row a variant.
+    assert "factors" in stored["moments"] and "scale_factor" not in stored["moments"]
