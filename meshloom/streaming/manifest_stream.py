@@ -6,7 +6,7 @@ available and stops, so it can be rerun after any interruption.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -61,22 +61,36 @@ def keyed_state(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
-def earliest_of_batch(rows: DataFrame, key: str, event_time: str) -> DataFrame:
-    """Of each key the row of the earliest time (null last) in a batch; rows without a key all stay.
+#: Rows that are sorted at once at least; before the shuffle a task reduces its rows in windows of about so many.
+WINDOW_ROWS = 100_000
+
 
-    Keys of a task are reduced before and after the shuffle, so a key delivered very often is one row a task there.
+def earliest_rows(key: str, event_time: str, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function that keeps of each key the row of the earliest time (null last) of all batches, or of each window if not
+    ``whole``; rows without a key pass.
+
+    Rows are sorted when as many have come as are kept, so each is sorted a few times, however many batches a task gets.
+    The function holds all it calls: workers need not import this module.
     """
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
+        kept, waiting, rows = 0, [], 0
         for batch in batches:
             own = pa.Table.from_batches([batch])
             none = pc.is_null(own[key])
             yield from own.filter(none).to_batches()
-            own = own.filter(pc.invert(none))
-            kept = first_rows(own if kept is None else pa.concat_tables([kept, own]))
-        if kept is not None:
-            yield from kept.to_batches()
+            waiting.append(own.filter(pc.invert(none)))
+            rows += len(waiting[-1])
+            if rows < max(WINDOW_ROWS, 2 * kept):
+                continue
+            first = first_rows(pa.concat_tables(waiting))
+            if whole:
+                kept, waiting, rows = len(first), [first], len(first)
+            else:
+                waiting, rows = [], 0
+                yield from first.to_batches()
+        if rows:
+            yield from first_rows(pa.concat_tables(waiting)).to_batches()
 
     def first_rows(table: pa.Table) -> pa.Table:
         order = pc.sort_indices(table, [(key, "ascending"), (event_time, "ascending")], null_placement="at_end")
@@ -87,8 +101,16 @@ def earliest_of_batch(rows: DataFrame, key: str, event_time: str) -> DataFrame:
         new = pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1))
         return table.filter(pa.concat_arrays([pa.array([True]), new]))
 
-    once = rows.mapInArrow(reduce, rows.schema)
-    return once.repartition(F.col(key)).mapInArrow(reduce, rows.schema)
+    return reduce
+
+
+def earliest_of_batch(rows: DataFrame, key: str, event_time: str) -> DataFrame:
+    """Of each key the row of the earliest time (null last) in a batch; rows without a key all stay.
+
+    Keys of a task are reduced before and after the shuffle, so a key delivered very often is one row a window there.
+    """
+    once = rows.mapInArrow(earliest_rows(key, event_time, whole=False), rows.schema)
+    return once.repartition(F.col(key)).mapInArrow(earliest_rows(key, event_time, whole=True), rows.schema)
 
 
 def store_new(rows: DataFrame, table: str, checkpoint: str, key: str, event_time: str) -> None:

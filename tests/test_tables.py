@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -487,6 +488,31 @@ def test_ingest_batches_read_no_stored_rows(spark, monkeypatch):
     assert got == sorted([("", "None")] * 20 + want)
 
 
+@pytest.mark.parametrize("keys", [50_000, 40])
+def test_rows_of_a_large_batch_are_sorted_a_few_times_only(monkeypatch, keys):
+    """Hundreds of Arrow batches in a task: rows already kept aren't sorted again with each of them."""
+    rng, rows = random.Random(3), 100_000
+    events = [(rng.randrange(keys), rng.randrange(1000)) if i % 100 else (None, i) for i in range(rows)]
+    monkeypatch.setattr(stream, "WINDOW_ROWS", 1000)
+    sort, sorted_rows = stream.pc.sort_indices, []
+    monkeypatch.setattr(stream.pc, "sort_indices", lambda t, *a, **k: (sorted_rows.append(len(t)), sort(t, *a, **k))[1])
+    best = {}
+    for k, t in events:
+        if k is not None:
+            best[k] = min(t, best.get(k, t))
+    table = pa.table({"key": [e[0] for e in events], "ts": [e[1] for e in events]})
+    for whole in (True, False):
+        out = list(stream.earliest_rows("key", "ts", whole)(iter(table.to_batches(max_chunksize=200))))
+        got = [(r["key"], r["ts"]) for b in out for r in b.to_pylist()]
+        none, keyed = [t for k, t in got if k is None], [r for r in got if r[0] is not None]
+        assert none == [e[1] for e in events if e[0] is None]
+        if whole:
+            assert sorted(keyed) == sorted(best.items())
+        else:
+            assert set(best.items()) <= set(keyed) <= set(events)
+    assert sum(sorted_rows) <= 5 * rows
+
+
 def test_running_totals_store_what_changed(spark):
     incoming, totals, state = (scratch_path(spark, n) for n in ("in", "totals", "state"))
     for part in (["a", "b"], ["b", "b"], ["c"]):
