@@ -4,17 +4,22 @@ All samples and all starts advance together, one join per hop; up to 64 starts o
 a node, one bit of a long each, and meet in ``bit_or``, which combines map-side. The mesh graph is undirected, so the
 neighbours of hop k lie on hops k-1, k or k+1: a new frontier is checked against the last two only. Neighbour lists
 are a bucketed table: a hop shuffles its frontier and reads, but never moves or sorts, the edges; every few hops
-lists of samples that have no frontier left are dropped, in the same buckets. Where sizes are given and every sample fits in
-a task, lists and frontiers are bucketed by sample: then nothing is moved at all. Every frontier is a table in the shared folder,
+lists of samples that have no frontier left are dropped, in the same buckets. Every frontier is a table in the shared folder,
 so losing executors repeats one hop at most.
+
+Where sizes are given and every sample fits in a task, lists and levels are bucketed by sample. Nothing is moved then, and a task
+takes all hops of its samples in one go, some thousand nodes' arrays at a time: jobs and tables don't grow with hops.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +34,9 @@ COMPACT_EVERY = 4
 #: Sample ids that may be broadcast to drop lists (16 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: Samples of up to so many nodes lie in one task each; with larger ones all lists are spread by node.
-TASK_NODES = 1_000_000
+TASK_NODES = 200_000
+#: Neighbour lists that a task holds at once, or those of one sample.
+SWEPT_ROWS = 50_000
 
 
 class Lists:
@@ -48,10 +55,11 @@ class Lists:
             samples, largest = sizes.agg(F.count(F.lit(1)), F.max("n")).first()
             if samples and largest <= TASK_NODES:
                 self.parts, self.keys = sample_parts(self.spark, samples), ["sample_id"]
+        self.by_sample = self.keys == ["sample_id"]
         self.names: list[str] = []
         lists = edges.groupBy("sample_id", F.col("src").alias("node_id")).agg(F.collect_set("dst").alias("dsts"))
         self.whole = self._stored(lists.repartition(self.parts, *self.keys))
-        self.all_samples = self.whole.select("sample_id").distinct().count()
+        self.all_samples = samples if self.by_sample else self.whole.select("sample_id").distinct().count()
         self.reset()
 
     def reset(self) -> None:
@@ -73,7 +81,7 @@ class Lists:
 
     def levels(self, path: str, like: DataFrame) -> DataFrame:
         """All hops stored in ``path`` as one table, in the same buckets where they lie by sample."""
-        if self.keys != ["sample_id"]:
+        if not self.by_sample:
             return self.spark.read.schema(like.schema).option("recursiveFileLookup", True).parquet(path)
         name, columns = f"meshloom_{uuid.uuid4().hex}", ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in like.schema)
         self.spark.sql(
@@ -121,6 +129,10 @@ def breadth_first(lists: Lists, sources: DataFrame) -> DataFrame:
     lists.reset()
     path = scratch_path(lists.spark, "hops")
     frontier, found = lists.level(sources.groupBy("sample_id", "node_id").agg(F.bit_or("bits").alias("bits")), path, 0)
+    if lists.by_sample:
+        # A task's rows are one bucket: they are written as they lie.
+        lists._stored(swept(lists, frontier), f"{path}/swept")
+        return lists.levels(path, frontier)
     before, hop = frontier, 0
     while found:
         hop += 1
@@ -136,6 +148,78 @@ def breadth_first(lists: Lists, sources: DataFrame) -> DataFrame:
     return lists.levels(path, frontier)
 
 
+def swept(lists: Lists, starts: DataFrame) -> DataFrame:
+    """The rows of hop 1 and later of :func:`breadth_first`, for lists that lie by sample: task by task, without a shuffle."""
+    named = starts.select("sample_id", "node_id", "bits").hint("shuffle_hash")
+    rows = lists.whole.join(named, ["sample_id", "node_id"], "left").withColumn("bits", F.coalesce("bits", F.lit(0).cast("long")))
+    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("sample_id", "node_id")]
+    placed = rows.repartition(lists.parts, "sample_id").sortWithinPartitions("sample_id")
+    return placed.mapInArrow(sweep(), ", ".join([*kinds, "bits long, hops int"]))
+
+
+def sweep() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function that takes all hops from the nodes with ``bits``, over rows in order of samples. It holds all it calls: workers
+    need not import this module."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for samples in whole_samples(batches):
+            yield from reached(samples.combine_chunks()).to_batches()
+
+    def whole_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        waiting, rows = [], 0
+        for batch in batches:
+            waiting.append(pa.Table.from_batches([batch]))
+            rows += batch.num_rows
+            if rows < SWEPT_ROWS:
+                continue
+            table = pa.concat_tables(waiting)
+            cut = pc.index(table["sample_id"], table["sample_id"][-1]).as_py()  # more rows of the last sample may come
+            if cut:
+                yield table.slice(0, cut)
+            waiting, rows = [table.slice(cut)], rows - cut
+        if rows:
+            yield pa.concat_tables(waiting)
+
+    def reached(table: pa.Table) -> pa.Table:
+        sample, own, lists = (table[c].combine_chunks() for c in ("sample_id", "node_id", "dsts"))
+        sample, names = sample.dictionary_encode(), pa.concat_arrays([own, lists.flatten().cast(own.type)]).dictionary_encode()
+        count = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+        code = sample.indices.to_numpy().astype(np.int64)
+        keys = np.concatenate([code, np.repeat(code, count)]) * len(names.dictionary) + names.indices.to_numpy()
+        place = pa.array(keys).dictionary_encode()
+        nodes, place = place.dictionary.to_numpy(), place.indices.to_numpy()
+        own, target = place[: len(code)], place[len(code) :]
+        begin, degree, seen, gained, last = (np.zeros(len(nodes), np.int64) for _ in range(5))
+        begin[own], degree[own], seen[own] = np.cumsum(count) - count, count, table["bits"].to_numpy()
+        at = np.flatnonzero(seen)
+        bits, levels = seen[at], []
+        while degree[at].sum():
+            n = degree[at]
+            met = target[np.arange(n.sum()) + np.repeat(begin[at] - (np.cumsum(n) - n), n)]
+            np.bitwise_or.at(gained, met, np.repeat(bits, n))
+            fresh = gained[met] & ~seen[met]
+            gained[met] = 0
+            met, fresh = met[fresh != 0], fresh[fresh != 0]
+            # A node that several neighbours reach counts once.
+            last[met] = np.arange(len(met))
+            once = last[met] == np.arange(len(met))
+            at, bits = met[once], fresh[once]
+            seen[at] |= bits
+            levels.append((at, bits))
+        at, bits = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*levels)) if levels else (seen[:0], seen[:0])
+        hops = np.repeat(np.arange(1, len(levels) + 1, dtype=np.int32), [len(x) for x, _ in levels])
+        return pa.table(
+            {
+                "sample_id": sample.dictionary.take(pa.array(nodes[at] // len(names.dictionary))),
+                "node_id": names.dictionary.take(pa.array(nodes[at] % len(names.dictionary))),
+                "bits": bits,
+                "hops": hops,
+            }
+        )
+
+    return run
+
+
 def next_nodes(frontier: DataFrame, lists: DataFrame) -> DataFrame:
     """Neighbours of a frontier. It is hashed, so the lists need no sort either."""
     met = frontier.hint("shuffle_hash").join(lists, ["sample_id", "node_id"])

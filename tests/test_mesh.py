@@ -345,6 +345,29 @@ def test_hops_of_small_meshes_move_nothing(spark, monkeypatch):
         assert near == {tuple(r) for r in hops.breadth_first(lists, starts).select("sample_id", "node_id", "hops").collect()}
 
 
+def test_hops_of_small_samples_take_one_table(spark, monkeypatch):
+    """Forty hops in some samples, one in others, an isolated start: one job's worth of tables, and the levels of hop by hop."""
+    rng = random.Random(8)
+    graphs = {i: grid_edges((1 + i % 3, 2 + i % 4)) for i in range(30)} | {40: grid_edges((41,)), 41: (3, [(0, 1), (1, 0)])}
+    graphs |= {50 + i: random_graph(rng, 12, i) for i in range(8)}
+    nodes, edges = graph_frames(spark, graphs)
+    starts = nodes.where("node_id in (0, 2)").selectExpr("sample_id", "node_id", "if(node_id = 0, 1L, shiftleft(1L, 63)) AS bits")
+    monkeypatch.setattr(hops, "SWEPT_ROWS", 7)  # samples are cut from the rows of a task
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        with hops.neighbour_lists(edges, hops.sample_sizes(nodes)) as lists:
+            found = hops.breadth_first(lists, starts)
+            assert len(lists.names) <= 4
+            got = sorted(tuple(r) for r in found.select("sample_id", "node_id", "bits", "hops").collect())
+            frontier = found.where("hops = 0").select("sample_id", "node_id", "bits")
+            assert not exchanged(hops.swept(lists, frontier))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    with hops.neighbour_lists(edges) as lists:
+        assert got == sorted(tuple(r) for r in hops.breadth_first(lists, starts).select("sample_id", "node_id", "bits", "hops").collect())
+    assert {r[3] for r in got if r[0] == 40} == set(range(41)) and (41, 2, -(1 << 63), 0) in got
+
+
 def test_dataset_rows_of_placed_fields_are_not_moved(spark):
     manifest, fields = training_queries.mesh_manifest(spark, "/root/testdata/sf0.001")
     stats = store_once(dataset.training_stats(manifest, fields, key="mesh_id"), "stats")
