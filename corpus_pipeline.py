@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshloom.llm.jaccard_join import Join, one_of_each_group, with_group
-from meshloom.llm.line_dedup import drop_site_lines
+from meshloom.llm.line_dedup import drop_site_lines, line_keys
 from meshloom.llm.mixing import mixed_documents
 from meshloom.llm.packing import pack_documents, vocabulary_path
 from meshloom.llm.quality import THRESHOLD, fit_quality, with_quality
@@ -35,8 +35,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts that the join would group count as one page, so that near copies don't turn their own text into boilerplate.
     """
     n_chars = F.when(F.col("dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")
-    pages = with_group(docs, "near_page", NEAR)
-    return drop_site_lines(pages, page="near_page").withColumn("n_chars", n_chars).select(*docs.columns)
+    # The lines are hashed before groups are joined, so no text is moved.
+    lines = F.array_distinct(line_keys(F.col("text"))).alias("_lines")
+    near = with_group(docs.select("doc_id", "text", F.col("source").alias("_host"), lines), "_page", NEAR)
+    return drop_site_lines(docs, pages=near.select("_host", "_page", "_lines")).withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

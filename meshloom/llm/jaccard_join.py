@@ -29,6 +29,7 @@ id (null only if it has none). Repeated rows are equal sets. An empty table give
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import ExitStack
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 
 from meshloom.llm.common import by_ids, free_name, small_batches, table, text_of
 from meshloom.llm.components import components
-from meshloom.session import store_once
+from meshloom.session import store_once, stored_for_now
 
 #: Texts are shingled in batches of about this many characters.
 BATCH_CHARS = 2 << 20
@@ -157,7 +158,7 @@ def document_nodes(docs: DataFrame, join: Join) -> DataFrame:
 
 
 def sieved(docs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
-    """The nodes that may link at all: those with enough shared shingles in their prefix by hash."""
+    """ref and node of the nodes that may link at all: those with enough shared shingles in their prefix by hash."""
 
     def make(batch: pa.RecordBatch, sets: list[np.ndarray]) -> pa.Table:
         # A shingle in several nodes of the batch is shared: it is sent once, marked, and counted here.
@@ -184,7 +185,12 @@ def sieved(docs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
             }
         )
 
-    sent = store_once(over_sets(docs.select("text"), join, make, "h long, node long, here long"), "prefixes")
+    with stored_for_now(over_sets(docs.select("text"), join, make, "h long, node long, here long"), "prefixes") as sent:
+        return store_once(sharing(sent, nodes, join).select("ref", "node"), "wanted")
+
+
+def sharing(sent: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
+    """The nodes with enough shared shingles among those ``sent``."""
     # A batch sends a shingle once, so combining before the shuffle would save nothing, and a shingle that a third of
     # all documents hold has a row a batch here, not a row a document: one window is enough.
     among = Window.partitionBy("h")
@@ -201,8 +207,8 @@ def sieved(docs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
     return nodes.join(total, "node").filter(F.col("shared") >= 1 + F.floor(smallest * join.sieve))
 
 
-def sets_of(docs: DataFrame, survivors: DataFrame, join: Join) -> DataFrame:
-    """node, n and the shingles (bytes) of the surviving nodes, from one document of each."""
+def sets_of(docs: DataFrame, wanted: DataFrame, join: Join) -> DataFrame:
+    """node, n and the shingles (bytes) of the ``wanted`` nodes (a stored table), from one document of each."""
 
     def make(batch: pa.RecordBatch, sets: list[np.ndarray]) -> pa.Table:
         # A repeated id may stand for other texts too: only the text of the node counts.
@@ -215,7 +221,6 @@ def sets_of(docs: DataFrame, survivors: DataFrame, join: Join) -> DataFrame:
             }
         )
 
-    wanted = store_once(survivors.select("ref", "node"), "wanted")
     read = by_ids(docs.select("ref", "text"), wanted, "ref").select("node", "text")
     sets = store_once(over_sets(read, join, make, "node long, n long, shingles binary"), "sets")
     # Repeated rows give their set again.
@@ -317,32 +322,34 @@ def near_components(sets: DataFrame, join: Join) -> DataFrame:
     """node and comp (the least node of its component) of all nodes that link with another."""
     comp, open_sets, listing = None, sets, False
     for turn in range(join.rounds + 1):
-        entries = store_once(shingle_entries(open_sets, comp, join), "entries")
-        placed = with_components(entries, comp)
-        shared = placed.groupBy("h").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b")
-        live = store_once(placed.join(shared.select("h"), "h"), "live")
-        # A node outside these lists has no link to another component.
-        nodes = store_once(live.select("node").distinct(), "open")
-        left = nodes.count()
-        if not left:
-            break
-        if not listing and turn < join.rounds:
-            links = linked(pivot_pairs(live, join, turn), sets, join)
-            found = links.count()
-            listing = found < join.yielding * left
-            if found:
+        with ExitStack() as tables:
+            with stored_for_now(shingle_entries(open_sets, comp, join), "entries") as entries:
+                placed = with_components(entries, comp)
+                shared = placed.groupBy("h").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a < b")
+                live = tables.enter_context(stored_for_now(placed.join(shared.select("h"), "h"), "live"))
+            # A node outside these lists has no link to another component.
+            nodes = store_once(live.select("node").distinct(), "open")
+            left = nodes.count()
+            if not left:
+                break
+            if not listing and turn < join.rounds:
+                links = linked(pivot_pairs(live, join, turn), sets, join)
+                found = links.count()
+                listing = found < join.yielding * left
+                if found:
+                    comp = merged(comp, links)
+                    open_sets = by_ids(sets, nodes, "node")
+                    continue
+            links = linked(listed_pairs(live, sets, join), sets, join)
+            if not links.isEmpty():
                 comp = merged(comp, links)
-                open_sets = by_ids(sets, nodes, "node")
-                continue
-        links = linked(listed_pairs(live, sets, join), sets, join)
-        if not links.isEmpty():
-            comp = merged(comp, links)
-        break
+            break
     return comp if comp is not None else sets.select("node", F.col("node").alias("comp")).limit(0)
 
 
 def linked(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    return store_once(verified(store_once(pairs, "pairs"), sets, join), "linked")
+    with stored_for_now(pairs, "pairs") as stored:
+        return store_once(verified(stored, sets, join), "linked")
 
 
 def merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -522,8 +529,7 @@ def grouped(df: DataFrame, join: Join) -> DataFrame:
         .agg(F.max("n_shingles").alias("n"), F.min("doc_id").alias("first_doc"), F.min("ref").alias("ref")),
         "distinct",
     )
-    survivors = sieved(docs, nodes, join)
-    sets = sets_of(docs, survivors, join)
+    sets = sets_of(docs, sieved(docs, nodes, join), join)
     comp = near_components(sets, join)
     named = nodes.select("node", "first_doc").join(comp, "node")
     first = named.groupBy("comp").agg(F.min("first_doc").alias("component"))

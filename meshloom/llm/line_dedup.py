@@ -4,7 +4,7 @@ Pages are grouped by host. A line's ratio is the number of the host's pages that
 it over the number of its pages; above ``max_ratio`` and on at least ``min_pages`` pages it
 is boilerplate and goes from every page of that host. A page is a distinct text: exact
 copies count once, so mirrored pages don't turn their own text into boilerplate. A caller that knows
-near copies names a column ``page``, equal for texts that count as one page of a host. Lines are
+near copies gives ``pages``, in which texts that count as one page of a host have one value. Lines are
 compared without spaces, tabs and carriage returns around them; blank lines stay.
 
 A null text has no lines and stays null; a null host is a host of its own. A line repeated within a page
@@ -13,7 +13,8 @@ Other columns are kept; ``lines`` and ``dropped`` are replaced.
 
 Counts are combined before they are shuffled, so neither a large host nor a common line
 meets in one task. The lines to drop are few: a host has at most its mean number of
-lines a page over ``max_ratio`` of them, whatever its size, so they travel as one array a host.
+lines a page over ``max_ratio`` of them, whatever its size, so they travel as one array a host, to the texts where these
+lie if all arrays together are small.
 """
 
 from __future__ import annotations
@@ -22,9 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshloom.llm.common import set_aside, table
+from meshloom.session import store_once
 
 MAX_RATIO, MIN_PAGES = 0.02, 5
 EDGE = " \t\r"
+#: Lines to drop that may be broadcast, of 16 bytes each; with more of them texts are joined by shuffle.
+BROADCAST_LINES = 1_000_000
 
 
 def line_keys(text: Column) -> Column:
@@ -37,14 +41,12 @@ def line_keys(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), key)
 
 
-def boilerplate(df: DataFrame, host: Column, text: Column, page: Column, max_ratio: float, min_pages: int) -> DataFrame:
+def boilerplate(pages: DataFrame, max_ratio: float, min_pages: int) -> DataFrame:
     """``_host`` and the array ``_boilerplate`` of line keys to drop, for hosts that have any."""
-    pages = df.filter(text.isNotNull()).select(
-        host.alias("_host"), page.alias("_page"), text.alias("_text")
-    )
+    pages = pages.filter("_lines is not null")
     totals = pages.select("_host", "_page").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
     counts = (
-        pages.select("_host", "_page", F.explode(F.array_distinct(line_keys(F.col("_text")))).alias("_line"))
+        pages.select("_host", "_page", F.explode("_lines").alias("_line"))
         .filter("_line is not null")
         .distinct()
         .groupBy("_host", "_line")
@@ -65,14 +67,23 @@ def drop_site_lines(
     text: str = "text",
     max_ratio: float = MAX_RATIO,
     min_pages: int = MIN_PAGES,
-    page: str | None = None,
+    pages: DataFrame | None = None,
 ) -> DataFrame:
-    """``df`` with boilerplate lines gone from ``text``, and the numbers of ``lines`` and ``dropped`` ones."""
+    """``df`` with boilerplate lines gone from ``text``, and the numbers of ``lines`` and ``dropped`` ones.
+
+    ``pages``: ``_host``, ``_page`` and ``_lines`` (the distinct keys of its lines, null for a null text) of every row of ``df``, if a
+    page isn't a distinct text.
+    """
     df = df.drop("lines", "dropped")
     plain, column, original = set_aside(df)
     body = column(text)
-    alike = F.xxhash64(body, F.lit(2)) if page is None else column(page)
-    drops = boilerplate(plain, column(host), body, alike, max_ratio, min_pages)
+    if pages is None:
+        lines = F.array_distinct(line_keys(body)).alias("_lines")
+        pages = plain.select(column(host).alias("_host"), F.xxhash64(body, F.lit(2)).alias("_page"), lines)
+    drops = store_once(boilerplate(pages, max_ratio, min_pages), "boilerplate")
+    hosts, lines_in_all = drops.agg(F.count(F.lit(1)), F.sum(F.size("_boilerplate"))).first()
+    if hosts + (lines_in_all or 0) <= BROADCAST_LINES:  # stored first: a join by shuffle would move all texts
+        drops = F.broadcast(drops)
     joined = plain.join(drops, column(host).eqNullSafe(F.col("_host")), "left")
     keyed = F.arrays_zip(F.split(body, "\n").alias("line"), line_keys(body).alias("key"))
     kept = F.filter(keyed, lambda x: x["key"].isNull() | ~F.array_contains(F.col("_boilerplate"), x["key"]))

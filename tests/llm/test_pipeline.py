@@ -1,3 +1,4 @@
+import os
 import random
 from collections import Counter
 
@@ -7,6 +8,7 @@ from fixtures import DOCUMENTS, documents, odd_rows, plain, prose
 from test_pairs_and_packing import brute_groups
 
 from meshloom.llm.quality import fit_quality, with_quality
+from meshloom.session import shared_dir
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,6 +66,17 @@ def test_near_copies_keep_the_lines_they_share(spark, copies):
     assert all(r["text"] == texts[r["doc_id"]].removeprefix(f"{menu}\n") for r in out)
 
 
+def test_line_stage_moves_no_text_and_frees_its_tables(spark):
+    """Only hashes of lines are shuffled, and lists that were read for the last time are gone."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    plan = corpus_pipeline.line_dedup(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    left = {name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before}
+    assert "sets" in left and not left & {"prefixes", "entries", "live", "pairs"}
+
+
 def test_join_stage_keeps_the_first_of_each_group(kept):
     _, before, after = kept[2]
     rows = [(r["doc_id"], r["text"]) for r in before.collect()]
