@@ -13,10 +13,11 @@ their first |s| - ceil(t|s|) + l share at least l: the longer the prefix, the mo
    linked nodes become one component. Pairs within a component need no comparing, so the next round orders
    shingles anew: those of one component alone come first and match nothing. When a round links few
    nodes, the pairs left between components are found and verified:
-   a. Each node has a centre, the pivot it meets most. With D(u) the shingles of just one of u and its centre, sets
-      u and v of one centre differ by |D(u)| + |D(v)| - 2 |D(u) & D(v)| shingles. Unless both link with the centre they
-      can link only if D(u) and D(v) share enough: steps 2 and 3 again, on the sets D. A family of near copies
-      shares nearly all shingles but few changes, so its lists become short where they would hold every member.
+   a. Each node has a centre, the pivot it meets most. Let p be the shingles that most nodes of the centre hold (a pivot
+      has changes of its own, which would be common to all) and D(u) the shingles of just one of u and p. Sets u and v of one
+      centre differ by |D(u)| + |D(v)| - 2 |D(u) & D(v)| shingles. Unless both link with the member nearest to p they
+      can link only if D(u) and D(v) share enough: steps 2 and 3 again, on the sets D, by place in the order too. A family
+      of near copies shares nearly all shingles but few changes, so its lists become short where they would hold every member.
    b. Nodes of different centres are listed by shared prefix shingles: within a list only centres meet first.
    Those with min(l, l') matches or more are verified.
 
@@ -240,8 +241,9 @@ def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def prefix_entries(placed: DataFrame, join: Join) -> DataFrame:
-    """h, node, n, size, matches and single (shingles that no other component has): the rest of each node's chosen prefix.
+    """h, node, n, size, matches, single (shingles that no other component has) and rest: the rest of each node's chosen prefix.
 
+    ``rest``: how many shingles of the node that others have come later in the order than h.
     ``placed`` has node, comp, n, size, shingles and need, the least overlap with a set that links.
     """
     listed = placed.select("node", "comp", "n", "size", "need", "shingles").mapInArrow(
@@ -262,7 +264,7 @@ def prefix_entries(placed: DataFrame, join: Join) -> DataFrame:
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(6)]
+            out: list[list[np.ndarray]] = [[] for _ in range(7)]
             lists = batch["shared"]
             ends, fields = lists.offsets.to_numpy(), lists.values
             df_all, h_all = fields.field("df").to_numpy(), fields.field("h").to_numpy()
@@ -277,19 +279,20 @@ def prefix_entries(placed: DataFrame, join: Join) -> DataFrame:
                 size, k = int(sizes[best]), int(matches[best])
                 if size < k:  # too few shared shingles for this many matches
                     continue
-                for column, x in zip(out, (h[:size], *(np.full(size, v) for v in (node, n, held, k, single))), strict=True):
+                rest = len(df) - 1 - np.arange(size)
+                for column, x in zip(out, (h[:size], *(np.full(size, v) for v in (node, n, held, k, single)), rest), strict=True):
                     column.append(x)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([*c, np.zeros(0, np.int64)]).astype(np.int64)) for c in out],
-                names=["h", "node", "n", "size", "matches", "single"],
+                names=["h", "node", "n", "size", "matches", "single", "rest"],
             )
 
-    return known.mapInArrow(choose, "h long, node long, n long, size long, matches long, single long")
+    return known.mapInArrow(choose, "h long, node long, n long, size long, matches long, single long, rest long")
 
 
 def shingle_entries(sets: DataFrame, comp: DataFrame | None, join: Join) -> DataFrame:
     need = F.ceil(F.col("n") * join.num / join.den).cast("long")
-    return prefix_entries(with_components(sets, comp).withColumn("size", F.col("n")).withColumn("need", need), join)
+    return prefix_entries(with_components(sets, comp).withColumn("size", F.col("n")).withColumn("need", need), join).drop("rest")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
@@ -427,37 +430,73 @@ def centred(live: DataFrame) -> DataFrame:
     return often.groupBy("node", "comp").agg(F.min("rank").alias("r")).select("node", "comp", F.col("r.pivot").alias("centre"))
 
 
-def changes(centres: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """node, comp, centre, n, size, need, linked and shingles: the hashed changes of each node from its centre.
+def middles(centres: DataFrame, sets: DataFrame) -> DataFrame:
+    """centre and middle: the shingles that more than half of its nodes hold, for centres of two nodes or more."""
 
-    Let sets u and v have the centre p, and c = (den - num) / (den + num). They link if |D(u)| + |D(v)| - 2 o is at most
-    c (|u| + |v|), where o changes are common. As | |v| - |p| | <= |D(v)| and o <= |D(v)|, that takes
-    o >= (|D(u)| - c (|u| + |p|)) / (1 + c): above 0, thus 1 or more, for a set u that doesn't link with p.
-    """
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                held = [np.frombuffer(d.as_buffer(), dtype=np.int64) for d in part["shingles"]]
+                centre = np.repeat(part["centre"].to_numpy(), [len(x) for x in held])
+                yield pa.RecordBatch.from_arrays([pa.array(centre), pa.array(np.concatenate(held))], names=["centre", "h"])
+
+    members = centres.groupBy("centre").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
+    held = centres.select("node", "centre").join(sets.select("node", "shingles"), "node")
+    counts = held.select("centre", "shingles").mapInArrow(spread, "centre long, h long").groupBy("centre", "h").count()
+    most = counts.join(members, "centre").filter(2 * F.col("count") > F.col("members"))
+    found = most.groupBy("centre").agg(F.collect_list("h").alias("middle"))
+    return members.join(found, "centre", "left").select("centre", F.coalesce("middle", F.array().cast("array<long>")).alias("middle"))
+
+
+def changes(centres: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
+    """node, comp, centre, n, size, slack, excess and shingles: the hashed changes of each node from the middle of its centre."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["node", "comp", "centre", "n", "size", "need", "linked", "shingles"]
-        kinds = [*[pa.int64()] * 6, pa.bool_(), pa.binary()]
+        names = ["node", "comp", "centre", "n", "size", "slack", "excess", "shingles"]
+        kinds = [*[pa.int64()] * 7, pa.binary()]
         for batch in batches:
             out: list[list] = [[] for _ in names]
-            rows = zip(*(batch[c].to_pylist() for c in ("node", "comp", "centre")), batch["a"], batch["b"], strict=True)
-            for node, comp, centre, a, b in rows:
-                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+            rows = zip(*(batch[c].to_pylist() for c in ("node", "comp", "centre")), batch["a"], batch["middle"], strict=True)
+            for node, comp, centre, a, middle in rows:
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), middle.values.to_numpy().view(np.uint64)
                 d = np.setxor1d(x, y, assume_unique=True)
-                excess = join.excess(len(d), len(x), len(y))
                 # A change counts for its centre only.
                 keys = _mixed((d ^ np.uint64(centre % (1 << 64))) * np.uint64(0x9E3779B97F4A7C15))
-                row = (node, comp, centre, len(x), len(d), max(1, -(-excess // (2 * join.den))), excess <= 0, keys.tobytes())
-                for column, value in zip(out, row, strict=True):
+                row = (node, comp, centre, len(x), len(d), -join.excess(len(d), len(x), 0), join.excess(len(d), len(x), len(y)))
+                for column, value in zip(out, (*row, keys.tobytes()), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
-    others = centres.filter("node <> centre")
-    left = others.join(sets.select("node", F.col("shingles").alias("a")), "node")
-    middles = store_once(others.select("centre").distinct(), "centres")
-    right = by_ids(sets.select(F.col("node").alias("centre"), F.col("shingles").alias("b")), middles, "centre")
-    schema = "node long, comp long, centre long, n long, size long, need long, linked boolean, shingles binary"
-    return left.join(right, "centre").select("node", "comp", "centre", "a", "b").mapInArrow(compare, schema)
+    placed = centres.join(sets.select("node", F.col("shingles").alias("a")), "node").join(middles(centres, sets), "centre")
+    schema = "node long, comp long, centre long, n long, size long, slack long, excess long, shingles binary"
+    return placed.select("node", "comp", "centre", "a", "middle").mapInArrow(compare, schema)
+
+
+def with_needs(changed: DataFrame, join: Join) -> DataFrame:
+    """Add anchor, linked and need, and let all components of a centre with a linked node be one.
+
+    Let sets u and v have the middle p, and c = (den - num) / (den + num). They link if |D(u)| + |D(v)| - 2 o is at most
+    c (|u| + |v|), where o changes are common. With slack(u) = c |u| - |D(u)| that is 2 o >= -slack(u) - slack(v). So u
+    links with the node of most slack, the anchor, whatever they share, or needs o >= -(slack(u) + slack(anchor)) / 2 > 0 with
+    any node. As | |v| - |p| | <= |D(v)| and o <= |D(v)|, it also takes o >= (|D(u)| - c (|u| + |p|)) / (1 + c).
+    Nodes of the anchor's component meet others only, so they need at least what the least of these does.
+    """
+    most = changed.groupBy("centre").agg(F.max(F.struct("slack", F.col("node").alias("anchor"), F.col("comp").alias("to"))).alias("m"))
+    both = F.col("slack") + F.col("m.slack")
+    placed = changed.join(most, "centre").select(
+        "node", "comp", "centre", "n", "size", "shingles", "m.anchor", "m.to",
+        ((F.col("node") == F.col("m.anchor")) | (both >= 0)).alias("linked"),
+        F.greatest(F.lit(1), F.ceil(-both / (2 * (join.den + join.num))), F.ceil(F.col("excess") / (2 * join.den))).cast("long").alias("need"),
+    )
+    near = placed.filter("linked").select("centre", "comp", F.lit(True).alias("near")).distinct()
+    marked = placed.join(near, ["centre", "comp"], "left").withColumn("near", F.col("near").isNotNull())
+    least = marked.filter("not near").groupBy("centre").agg(F.min("need").alias("least"))
+    own = F.when(F.col("linked"), 1).otherwise(F.col("need"))
+    return marked.join(least, "centre", "left").select(
+        "node", F.when(F.col("near"), F.col("to")).otherwise(F.col("comp")).alias("comp"), "centre", "n", "size", "shingles", "anchor",
+        "linked", F.when(F.col("near"), F.greatest(own, "least")).otherwise(own).alias("need"), "least",
+    )
 
 
 def counted_pairs(met: DataFrame) -> DataFrame:
@@ -475,10 +514,15 @@ def sides(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def same_centre_pairs(changed: DataFrame, join: Join) -> DataFrame:
     """Pairs of one centre and different components that share enough changes in their prefixes."""
-    entries = prefix_entries(changed.filter("size > 0"), join).join(changed.select("node", "comp"), "node")
+    # Without a component beside the anchor's there is nothing to compare.
+    open_ = changed.filter("size > 0 and least is not null")
+    entries = prefix_entries(open_, join).join(changed.select("node", "comp"), "node")
     u, v = sides(store_once(entries, "changes"))
-    # Changes that no other component has can't be common.
-    most = F.least(*[F.col(f"{s}_size") - F.col(f"{s}_single") for s in "uv"])
+    # Changes that no other component has can't be common, nor can those that come before the first matches.
+    most = F.least(
+        *[F.col(f"{s}_size") - F.col(f"{s}_single") for s in "uv"],
+        F.least("u_matches", "v_matches") + F.least("u_rest", "v_rest"),
+    )
     apart = F.col("u_size") + F.col("v_size") - 2 * most
     met = (
         (F.col("u_h") == F.col("v_h"))
@@ -503,10 +547,10 @@ def other_centre_pairs(live: DataFrame, centres: DataFrame, join: Join) -> DataF
 
 
 def listed_pairs(live: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """All pairs of different components that may link, and the nodes that link with their centre."""
+    """All pairs of different components that may link, and the nodes that link with the anchor of their centre."""
     centres = store_once(centred(live), "centred")
-    changed = store_once(changes(centres, sets, join), "changed")
-    direct = changed.filter("linked").select(F.col("node").alias("u"), F.col("centre").alias("v"))
+    changed = store_once(with_needs(store_once(changes(centres, sets, join), "from-middles"), join), "changed")
+    direct = changed.filter("linked and node <> anchor").select(F.col("node").alias("u"), F.col("anchor").alias("v"))
     return direct.unionByName(same_centre_pairs(changed, join)).unionByName(other_centre_pairs(live, centres, join))
 
 
