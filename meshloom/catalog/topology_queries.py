@@ -16,6 +16,11 @@ def _edges(spark, sf, mode="tet4"):
     return topology.undirected_edges(topology.graph_nodes(d.mesh_elements(spark, sf), mode), width)
 
 
+def _cliques(spark, sf, mode="tet4"):
+    """The same edges, not yet listed."""
+    return topology.Cliques(topology.graph_nodes(d.mesh_elements(spark, sf), mode), 10 if mode == "tet10" else 4)
+
+
 def _edge_totals(edges):
     """Per source node: its degree and a checksum of its neighbours."""
     return edges.groupBy("sample_id", "src").agg(
@@ -178,12 +183,12 @@ FLAGS = {"hops_to_fixed": "is_fixed", "hops_to_loaded": "is_loaded"}
 @query("hops_to_sources_tet4", with_parts("masked edges4", _HOPS_SQL.format(edges="edges4")))
 def hops_to_sources_tet4(spark, sf):
     """Mid-edge nodes have no linear edge, so they keep the node count unless flagged."""
-    return _hops_view(hops.hops_to_sources(d.masked_nodes(spark, sf), _edges(spark, sf), FLAGS))
+    return _hops_view(hops.hops_to_sources(d.masked_nodes(spark, sf), _cliques(spark, sf), FLAGS))
 
 
 @query("hops_to_sources_tet10", with_parts("masked edges10", _HOPS_SQL.format(edges="edges10").replace("w.d < 16", "w.d < 9")))
 def hops_to_sources_tet10(spark, sf):
-    return _hops_view(hops.hops_to_sources(d.masked_nodes(spark, sf), _edges(spark, sf, "tet10"), FLAGS))
+    return _hops_view(hops.hops_to_sources(d.masked_nodes(spark, sf), _cliques(spark, sf, "tet10"), FLAGS))
 
 
 _DIAMETER_SQL = """

@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 from meshloom.functions.uniform import shuffle_key
 from meshloom.operators.contraction import components
-from meshloom.session import sample_parts, scratch_path, store_once
+from meshloom.operators.topology import Cliques
+from meshloom.operators.whole import are_long, by_sample, clique_edges, mesh_places, stacked, whole_parts, whole_samples
+from meshloom.session import sample_parts, scratch_path, store_once, store_placed
 
 #: Starts of a sample that advance together: the bits of a long.
 WORD = 64
@@ -160,26 +162,12 @@ def swept(lists: Lists, starts: DataFrame) -> DataFrame:
 def sweep() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function that takes all hops from the nodes with ``bits``, over rows in order of samples. It holds all it calls: workers
     need not import this module."""
+    whole, advance = whole_samples(SWEPT_ROWS), hop_by_hop()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for samples in whole_samples(batches):
+        for samples in whole(batches):
             yield from reached(samples.combine_chunks()).to_batches()
 
-    def whole_samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        waiting, rows = [], 0
-        for batch in batches:
-            waiting.append(pa.Table.from_batches([batch]))
-            rows += batch.num_rows
-            if rows < SWEPT_ROWS:
-                continue
-            table = pa.concat_tables(waiting)
-            cut = pc.index(table["sample_id"], table["sample_id"][-1]).as_py()  # more rows of the last sample may come
-            if cut:
-                yield table.slice(0, cut)
-            waiting, rows = [table.slice(cut)], rows - cut
-        if rows:
-            yield pa.concat_tables(waiting)
-
     def reached(table: pa.Table) -> pa.Table:
         sample, own, lists = (table[c].combine_chunks() for c in ("sample_id", "node_id", "dsts"))
         sample, names = sample.dictionary_encode(), pa.concat_arrays([own, lists.flatten().cast(own.type)]).dictionary_encode()
@@ -189,8 +177,27 @@ def sweep() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         place = pa.array(keys).dictionary_encode()
         nodes, place = place.dictionary.to_numpy(), place.indices.to_numpy()
         own, target = place[: len(code)], place[len(code) :]
-        begin, degree, seen, gained, last = (np.zeros(len(nodes), np.int64) for _ in range(5))
+        begin, degree, seen = (np.zeros(len(nodes), np.int64) for _ in range(3))
         begin[own], degree[own], seen[own] = np.cumsum(count) - count, count, table["bits"].to_numpy()
+        at, bits, hops = advance(begin, degree, target, seen)
+        return pa.table(
+            {
+                "sample_id": sample.dictionary.take(pa.array(nodes[at] // len(names.dictionary))),
+                "node_id": names.dictionary.take(pa.array(nodes[at] % len(names.dictionary))),
+                "bits": bits,
+                "hops": hops,
+            }
+        )
+
+    return run
+
+
+def hop_by_hop() -> Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple]:
+    """A function that takes all hops: place p has ``degree[p]`` neighbours in ``target`` from ``begin[p]``, and the bits ``seen[p]`` at
+    hop 0. It gives places, bits and hops of what is reached later."""
+
+    def advance(begin: np.ndarray, degree: np.ndarray, target: np.ndarray, seen: np.ndarray) -> tuple:
+        gained, last = np.zeros(len(seen), np.int64), np.zeros(len(seen), np.int64)
         at = np.flatnonzero(seen)
         bits, levels = seen[at], []
         while degree[at].sum():
@@ -207,17 +214,9 @@ def sweep() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
             seen[at] |= bits
             levels.append((at, bits))
         at, bits = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*levels)) if levels else (seen[:0], seen[:0])
-        hops = np.repeat(np.arange(1, len(levels) + 1, dtype=np.int32), [len(x) for x, _ in levels])
-        return pa.table(
-            {
-                "sample_id": sample.dictionary.take(pa.array(nodes[at] // len(names.dictionary))),
-                "node_id": names.dictionary.take(pa.array(nodes[at] % len(names.dictionary))),
-                "bits": bits,
-                "hops": hops,
-            }
-        )
+        return at, bits, np.repeat(np.arange(1, len(levels) + 1, dtype=np.int32), [len(x) for x, _ in levels])
 
-    return run
+    return advance
 
 
 def next_nodes(frontier: DataFrame, lists: DataFrame) -> DataFrame:
@@ -245,19 +244,52 @@ def holds(i: int) -> Column:
     return F.col("bits").bitwiseAND(bit(i)) != 0
 
 
+def mesh_sweep(elements: DataFrame, sources: DataFrame, sizes: DataFrame, width: int) -> DataFrame | None:
+    """:func:`breadth_first` over the :func:`undirected_edges` of elements, which a task makes, keeps and forgets some thousand rows at a
+    time: neither edges nor lists are stored. None if a sample is too large for that, or ids aren't longs."""
+    if not are_long((elements, "nodes"), (sources, "node_id"), (sources, "bits")):
+        return None
+    elements = elements.select("sample_id", "nodes").where("nodes is not null")
+    parts = whole_parts(elements, sizes)
+    if not parts:
+        return None
+    rows = stacked(elements, sources.where("node_id is not null"))
+    numbered, edges, advance = mesh_places(width), clique_edges(), hop_by_hop()
+
+    def step(table: pa.Table) -> pa.Table:
+        sample, _, own, first, matrix, held, names = numbered(table)
+        src, dst = edges(matrix, len(names))
+        degree = np.bincount(src, minlength=len(names))
+        seen = np.zeros(len(names), np.int64)
+        np.bitwise_or.at(seen, first, table["bits"].combine_chunks().filter(pa.array(own)).to_numpy())
+        start = np.flatnonzero(seen)
+        zero = seen[start]
+        at, bits, hops = advance(np.cumsum(degree) - degree, degree, dst, seen)
+        at, bits, hops = np.append(start, at), np.append(zero, bits), np.append(np.zeros(len(start), np.int32), hops)
+        return pa.table(
+            {"sample_id": sample.dictionary.take(pa.array(held[at])), "node_id": names[at], "bits": bits, "hops": hops}
+        )
+
+    kind = sources.schema["sample_id"].dataType.simpleString()
+    found = by_sample(rows, parts, step, f"sample_id {kind}, node_id long, bits long, hops int")
+    return store_placed(found, "hops", "sample_id", parts, lies=True)
+
+
 def hops_to_sources(
-    nodes: DataFrame, edges: DataFrame, flags: dict[str, str]
+    nodes: DataFrame, edges: DataFrame | Cliques, flags: dict[str, str]
 ) -> DataFrame:
     """Hop count from each node to the nearest flagged node.
 
     ``flags`` maps an output column to a boolean column of ``nodes``. Unreached
-    nodes get the sample's node count.
+    nodes get the sample's node count. Edges that are :class:`Cliques` of elements are made where small samples lie.
     """
     tagged = sum((F.when(F.col(flag), bit(i)).otherwise(0) for i, flag in enumerate(flags.values())), F.lit(0).cast("long"))
     sources = nodes.select("sample_id", "node_id", tagged.alias("bits")).where("bits <> 0")
     sizes = store_once(sample_sizes(nodes), "sizes")
-    with neighbour_lists(edges, sizes) as lists:
-        found = breadth_first(lists, sources)
+    found = mesh_sweep(edges.elements, sources, sizes, edges.width) if isinstance(edges, Cliques) else None
+    if found is None:
+        with neighbour_lists(edges.edges() if isinstance(edges, Cliques) else edges, sizes) as lists:
+            found = breadth_first(lists, sources)
     wide = found.groupBy("sample_id", "node_id").agg(
         *[F.min(F.when(holds(i), F.col("hops"))).alias(n) for i, n in enumerate(flags)]
     )

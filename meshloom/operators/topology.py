@@ -8,6 +8,7 @@ or (sample, face), so one giant mesh spreads over all tasks like many small ones
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -69,6 +70,17 @@ def undirected_edges(elements: DataFrame, width: int) -> DataFrame:
     return once.select("sample_id", F.explode(both).alias("e")).select("sample_id", "e.*")
 
 
+@dataclass(frozen=True)
+class Cliques:
+    """The :func:`undirected_edges` of elements, for steps that make them as they need them."""
+
+    elements: DataFrame
+    width: int
+
+    def edges(self) -> DataFrame:
+        return undirected_edges(self.elements, self.width)
+
+
 def edge_features(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Relative position and distance of each directed edge, as float32."""
     point = ["x", "y", "z"]
@@ -198,7 +210,8 @@ def mark_faces(
                 F.when(side == "min", low + margin).otherwise(high - margin).alias("limit"),
             ).alias(f"_{mask}")
         )
-    joined = nodes.join(box.select("sample_id", *limits), "sample_id")
+    # A row a sample: hashed, so nodes aren't sorted.
+    joined = nodes.join(box.select("sample_id", *limits).hint("shuffle_hash"), "sample_id")
     for mask in named:
         spec = F.col(f"_{mask}")
         at = pick(spec["axis"], [F.col(c) for c in axes])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from meshloom.catalog import strain_queries, training_queries
 from meshloom.config import Material
 from meshloom.functions.stress import VOIGT
-from meshloom.operators import coherence, contraction, gather, hops, strain, topology
+from meshloom.operators import coherence, contraction, gather, hops, strain, topology, whole
 from meshloom.plans import dataset
 from meshloom.session import store_once
 from meshloom.sources import derived
@@ -376,3 +376,19 @@ def test_dataset_rows_of_placed_fields_are_not_moved(spark):
     # Neither moved before nor after the variants multiply them: what is shuffled are manifest rows.
     assert not [line for line in exchanged(nodes) if "sample_id" in line or "REPARTITION" in line]
     assert "SelectedBucketsCount" in plan and set(nodes.columns) >= {"sample_id", "node_id", "split"}
+
+
+def test_hops_over_elements_store_neither_edges_nor_lists(spark, monkeypatch):
+    """Elements that lack nodes or hold one twice, a source off the mesh, one sample cut from the rows of a task after the other."""
+    rng = random.Random(3)
+    meshes = [(s, i, rng.sample(range(12), 3) + [rng.choice([None, 2, 7])]) for s in range(9) for i in range(4)]
+    elements = spark.createDataFrame([*meshes, (9, 0, [1, 2, 8])], "sample_id long, elem_id long, nodes array<long>")
+    nodes = spark.createDataFrame([(s, n, n % 5 == 0, n == 3) for s in range(11) for n in range(14)], "sample_id long, node_id long, a boolean, b boolean")
+    cliques, flags = topology.Cliques(elements, 4), {"to_a": "a", "to_b": "b"}
+    want = sorted(tuple(r) for r in hops.hops_to_sources(nodes, cliques.edges(), flags).collect())
+    monkeypatch.setattr(whole, "SWEPT_ROWS", 25)
+    with monkeypatch.context() as m:
+        m.setattr(hops, "neighbour_lists", None)  # not called
+        assert want == sorted(tuple(r) for r in hops.hops_to_sources(nodes, cliques, flags).collect())
+    monkeypatch.setattr(whole, "SWEPT_ROWS", 2)  # too large to be taken whole
+    assert want == sorted(tuple(r) for r in hops.hops_to_sources(nodes, cliques, flags).collect())
