@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from meshloom.functions.uniform import shuffle_key
 from meshloom.operators.contraction import components
 from meshloom.operators.topology import Cliques
-from meshloom.operators.whole import are_long, by_sample, clique_edges, mesh_places, stacked, whole_parts, whole_samples
+from meshloom.operators.whole import are_long, by_sample, mesh_places, placed_edges, stacked, whole_parts, whole_samples
 from meshloom.session import sample_parts, scratch_path, store_once, store_placed
 
 #: Starts of a sample that advance together: the bits of a long.
@@ -254,7 +254,7 @@ def mesh_sweep(elements: DataFrame, sources: DataFrame, sizes: DataFrame, width:
     if not parts:
         return None
     rows = stacked(elements, sources.where("node_id is not null"))
-    numbered, edges, advance = mesh_places(width), clique_edges(), hop_by_hop()
+    numbered, edges, advance = mesh_places(width), placed_edges(), hop_by_hop()
 
     def step(table: pa.Table) -> pa.Table:
         sample, _, own, first, matrix, held, names = numbered(table)

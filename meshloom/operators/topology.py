@@ -11,12 +11,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshloom.functions.encode import face_axis, face_side
 from meshloom.functions.stress import norm3
 from meshloom.operators.ranking import binned_rank
+from meshloom.operators.whole import are_long, by_sample, mesh_places, placed_edges, rows_of_places, stacked, whole_parts
 
 CORNERS = 4
 FACE_TOLERANCE = 0.02
@@ -105,8 +108,51 @@ def edge_features(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def build_graph(elements: DataFrame, nodes: DataFrame, mode: str = "tet4") -> DataFrame:
+    """Edges with their features. Small samples are taken whole, where they lie; larger ones are joined."""
     width = 10 if mode == "tet10" else CORNERS
-    return edge_features(undirected_edges(graph_nodes(elements, mode), width), nodes)
+    cliques = Cliques(graph_nodes(elements, mode), width)
+    made = whole_graph(cliques, nodes)
+    return edge_features(cliques.edges(), nodes) if made is None else made
+
+
+def whole_graph(cliques: Cliques, nodes: DataFrame) -> DataFrame | None:
+    """:func:`edge_features` of edges that a task makes, keeps and forgets some thousand rows at a time; None where a sample is too large
+    for that, or columns are of other types."""
+    point = ["x", "y", "z"]
+    kinds = {df.schema["sample_id"].dataType.simpleString() for df in (cliques.elements, nodes)}
+    doubles = all(nodes.schema[c].dataType.simpleString() == "double" for c in point)
+    if len(kinds) > 1 or not doubles or not are_long((cliques.elements, "nodes"), (nodes, "node_id")):
+        return None
+    rows = stacked(
+        cliques.elements.select("sample_id", "nodes").where("nodes is not null"),
+        nodes.select("sample_id", "node_id", *point).where("node_id is not null"),
+    )
+    parts = whole_parts(rows)
+    if not parts:
+        return None
+    numbered, edges, met = mesh_places(cliques.width), placed_edges(), rows_of_places()
+
+    def step(table: pa.Table) -> pa.Table:
+        sample, _, own, first, matrix, held, names = numbered(table)
+        src, dst = edges(matrix, len(names))
+        at, tail, head = met(first, len(names), src, dst)
+        columns = {"sample_id": sample.dictionary.take(pa.array(held[src[at]])), "src": names[src[at]], "dst": names[dst[at]]}
+        square, lacking = 0.0, None
+        for c in point:
+            values = table[c].combine_chunks().filter(pa.array(own))
+            known = values.to_numpy(zero_copy_only=False)
+            delta = known[head] - known[tail]
+            null = None
+            if values.null_count:
+                none = values.is_null().to_numpy(zero_copy_only=False)
+                null = none[head] | none[tail]
+                lacking = null if lacking is None else lacking | null
+            columns[f"d{c}"] = pa.array(delta.astype(np.float32), mask=null)
+            square = square + delta * delta
+        columns["distance"] = pa.array(np.sqrt(square).astype(np.float32), mask=lacking)
+        return pa.table(columns)
+
+    return by_sample(rows, parts, step, f"sample_id {kinds.pop()}, src long, dst long, dx float, dy float, dz float, distance float")
 
 
 def node_positions(nodes: DataFrame, width: int = 4096) -> DataFrame:

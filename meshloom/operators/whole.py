@@ -119,7 +119,7 @@ def mesh_places(width: int) -> Callable[[pa.Table], tuple]:
     return numbered
 
 
-def clique_edges() -> Callable[[np.ndarray, int], tuple[np.ndarray, np.ndarray]]:
+def placed_edges() -> Callable[[np.ndarray, int], tuple[np.ndarray, np.ndarray]]:
     """A function that gives the distinct edges of elements' places in both directions, ``count`` places in all, in order of their
     first end; a self-loop comes once.
 
@@ -143,3 +143,26 @@ def clique_edges() -> Callable[[np.ndarray, int], tuple[np.ndarray, np.ndarray]]
         return keys[np.append(True, keys[1:] != keys[:-1])[: len(keys)]]
 
     return edges
+
+
+def rows_of_places() -> Callable[..., tuple]:
+    """A function that joins places to the nodes' rows that hold them (``first``, ``count`` places in all): of each match its number in
+    ``wanted`` and a row for each of ``wanted``. A node of several rows gives all their combinations."""
+
+    def met(first: np.ndarray, count: int, *wanted: np.ndarray) -> tuple:
+        times = np.bincount(first, minlength=count)
+        order = np.argsort(first, kind="stable")
+        begin = np.cumsum(times) - times
+        at, rows = np.arange(len(wanted[0])), []
+        for places in wanted:
+            n = times[places[at]]
+            if (n != 1).any():
+                again = np.repeat(np.arange(len(at)), n)
+                at, rows = at[again], [r[again] for r in rows]
+                shift = np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n)
+            else:
+                shift = 0
+            rows.append(order[begin[places[at]] + shift])
+        return at, *rows
+
+    return met

@@ -392,3 +392,19 @@ def test_hops_over_elements_store_neither_edges_nor_lists(spark, monkeypatch):
         assert want == sorted(tuple(r) for r in hops.hops_to_sources(nodes, cliques, flags).collect())
     monkeypatch.setattr(whole, "SWEPT_ROWS", 2)  # too large to be taken whole
     assert want == sorted(tuple(r) for r in hops.hops_to_sources(nodes, cliques, flags).collect())
+
+
+def test_graph_of_small_samples_equals_the_joins(spark, monkeypatch):
+    """Nodes that come twice, lack a coordinate or are missing, elements that lack nodes, a null sample."""
+    rng = random.Random(5)
+    meshes = [(s, i, rng.sample(range(9), 3) + [rng.choice([None, 2, 7])]) for s in range(6) for i in range(4)]
+    elements = spark.createDataFrame([*meshes, (9, 0, [1, 2]), (None, 1, [0, 1, 2, 3])], "sample_id long, elem_id long, nodes array<long>")
+    rows = [(s, n, rng.random(), rng.random(), None if n == 7 else rng.random()) for s in range(10) for n in [*range(8), 2, 2]]
+    nodes = spark.createDataFrame([*rows, (None, 0, 0.0, 0.0, 0.0), (1, None, 0.0, 0.0, 0.0)], "sample_id long, node_id long, x double, y double, z double")
+    want = sorted(map(repr, topology.edge_features(topology.undirected_edges(elements, 4), nodes).collect()))
+    monkeypatch.setattr(whole, "SWEPT_ROWS", 20)
+    with monkeypatch.context() as m:
+        m.setattr(topology, "edge_features", None)  # not called
+        assert want == sorted(map(repr, topology.build_graph(elements, nodes).collect()))
+    monkeypatch.setattr(whole, "SWEPT_ROWS", 2)  # too large to be taken whole
+    assert want == sorted(map(repr, topology.build_graph(elements, nodes).collect()))
