@@ -10,13 +10,16 @@ A linear tetrahedron has a single Jacobian, the same at every point.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshloom.functions.stress import VOIGT
 from meshloom.operators.gather import gather_points
+from meshloom.operators.whole import are_long, by_sample, mesh_places, stacked, whole_parts
 
 COORDS = ("x", "y", "z")
 DISP = ("ux", "uy", "uz")
@@ -189,8 +192,16 @@ def tet10_point_strains(
     return _finish(gp, head, F.lit(GAUSS_WEIGHT) * F.abs("det"))
 
 
-def tet10_strains(elements: DataFrame, nodes: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Volume-averaged strain; zero when any integration point is degenerate."""
+def tet10_strains(
+    elements: DataFrame, nodes: DataFrame, keep: Sequence[str] = (), parts: int | None = None
+) -> DataFrame:
+    """Volume-averaged strain; zero when any integration point is degenerate.
+
+    Small samples are taken whole, in ``parts`` tasks (:func:`strain_parts`) and where they lie; with 0 of them, points are joined.
+    """
+    parts = strain_parts(elements, nodes) if parts is None else parts
+    if parts:
+        return _whole_strains(elements, nodes, keep, parts)
     points = tet10_point_strains(elements, nodes, keep)
     flat = F.min(F.abs("det")) < DEGENERATE
     weight = F.sum("volume")
@@ -201,3 +212,145 @@ def tet10_strains(elements: DataFrame, nodes: DataFrame, keep: Sequence[str] = (
             for e in STRAINS
         ],
     )
+
+
+def strain_parts(elements: DataFrame, nodes: DataFrame) -> int:
+    """Partitions by sample in which :func:`tet10_strains` takes samples whole; 0 where one is too large, or columns are of other types."""
+    kinds = {df.schema["sample_id"].dataType.simpleString() for df in (elements, nodes)}
+    doubles = all(nodes.schema[c].dataType.simpleString() == "double" for c in (*COORDS, *DISP))
+    if len(kinds) > 1 or not doubles or not are_long((elements, "nodes"), (nodes, "node_id")):
+        return 0
+    return whole_parts(stacked(elements.select("sample_id"), nodes.select("sample_id")))
+
+
+def _whole_strains(elements: DataFrame, nodes: DataFrame, keep: Sequence[str], parts: int) -> DataFrame:
+    """:func:`tet10_strains` of samples that a task takes whole, some thousand rows at a time."""
+    head = list(dict.fromkeys(["elem_id", *keep]))
+    # Rows of one element are one group; the hash stands for all that names it within its sample.
+    same = F.xxhash64(*[c for n in head for c in (F.col(n), F.col(n).isNull())]).alias("_same")
+    rows = stacked(
+        elements.select("sample_id", *dict.fromkeys([*head, "nodes"]), same).where("nodes is not null"),
+        nodes.select("sample_id", "node_id", *COORDS, *DISP).where("node_id is not null"),
+    )
+    gathered, strained, values = _points_of_elements(), _strained(), (*COORDS, *DISP)
+
+    def step(table: pa.Table) -> pa.Table:
+        known, null = {}, {}
+        own = table["nodes"].combine_chunks().is_null()
+        for c in values:
+            column = table[c].combine_chunks().filter(own)
+            known[c] = column.to_numpy(zero_copy_only=False)
+            null[c] = column.is_null().to_numpy(zero_copy_only=False) if column.null_count else None
+        table, at = gathered(table, [known[c] for c in values], [null[c] for c in values])
+        made = {c: table[c] for c in ["sample_id", *head]}
+        return pa.table(made | strained(known, null, at))
+
+    kinds = [f"{n} {elements.schema[n].dataType.simpleString()}" for n in ["sample_id", *head]]
+    return by_sample(rows, parts, step, ", ".join([*kinds, *[f"{n} double" for n in ("volume", *STRAINS)]]))
+
+
+def _points_of_elements() -> Callable[..., tuple]:
+    """A function that gathers what :func:`gather_points` does: elements (one row a group) and the node rows of their first ten points,
+    -1 for elements of fewer."""
+    width = 10
+    numbered = mesh_places(None)
+
+    def gathered(table: pa.Table, values: list, nulls: list) -> tuple:
+        _, code, own, first, matrix, _, names = numbered(table)
+        table = table.filter(pa.array(~own))
+        same = np.stack([code[~own], table["_same"].to_numpy()])
+        order = np.lexsort(same[::-1])
+        new = np.append(True, (np.diff(same[:, order]) != 0).any(0))[: len(order)]
+        times = np.bincount(first, minlength=len(names))
+        by_place = np.argsort(first, kind="stable")
+        begin = np.cumsum(times) - times
+        if matrix.shape[1] == width and new.all() and (matrix >= 0).all() and (times[matrix] == 1).all():
+            return table, by_place[begin[matrix]]
+        group, least = np.empty(len(order), np.int64), order[new]
+        group[order] = np.cumsum(new) - 1
+        element, local = np.nonzero(matrix >= 0)
+        place = matrix[element, local]
+        n = times[place]
+        again = np.repeat(np.arange(len(place)), n)
+        row = by_place[begin[place[again]] + np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n)]
+        group, local = group[element[again]], local[again]
+        keys = [group, local]
+        for v, none in zip(values, nulls):
+            keys += [v[row]] if none is None else [~none[row], np.where(none[row], 0.0, v[row])]
+        order = np.lexsort(keys[::-1])
+        group, row = group[order], row[order]
+        held = np.bincount(group, minlength=len(least))
+        at = np.full((len(least), width), -1)
+        full = held >= width
+        start = (np.cumsum(held) - held)[full]
+        at[full] = row[start[:, None] + np.arange(width)]
+        return table.take(pa.array(least[held > 0])), at[held > 0]
+
+    return gathered
+
+
+def _strained() -> Callable[[dict, dict, np.ndarray], dict]:
+    """A function that gives volume and strains of elements, by the formulas and in the order of operations of the columns above. A null
+    coordinate makes all null, a null displacement the strains that take it."""
+    coords, disp, names = COORDS, DISP, STRAINS
+    near, far, weight, degenerate = GAUSS_NEAR - GAUSS_FAR, 4.0 * GAUSS_FAR, GAUSS_WEIGHT, DEGENERATE
+    mid = {(a, b): _mid(a, b) for a in range(4) for b in range(4) if a != b}
+    mids = [_mids(v) for v in range(4)]
+    shears = ((0, 1), (1, 2), (0, 2))
+
+    def strained(known: dict, null: dict, at: np.ndarray) -> dict:
+        lacking = at[:, 0] < 0
+        nodes = np.where(at < 0, 0, at).T
+
+        def any_null(c: str) -> np.ndarray:
+            return lacking if null[c] is None else lacking | null[c][nodes].any(0)
+
+        def slopes(c: str) -> list:
+            """Of each integration point, the three slopes of a value."""
+            if not len(known[c]):
+                return [[np.zeros(len(at))] * 3] * 4
+            f = known[c][nodes]
+            wide = [far * (f[mids[v][0]] + f[mids[v][1]] + f[mids[v][2]]) for v in range(4)]
+            points = []
+            for m in range(4):
+                d = [
+                    near * ((3.0 * f[m] - 0.0 * f[v]) if v == m else (4.0 * f[mid[m, v]] - 1.0 * f[v])) + wide[v]
+                    for v in range(4)
+                ]
+                points.append([d[r + 1] - d[0] for r in range(3)])
+            return points
+
+        x, u = [slopes(c) for c in coords], [slopes(c) for c in disp]
+        volume, least, sums = 0.0, None, [0.0] * 6
+        for m in range(4):
+            j = [[x[c][m][r] for c in range(3)] for r in range(3)]
+            g = [[u[c][m][r] for c in range(3)] for r in range(3)]
+            (a, b, c), (d, e, f), (p, h, i) = j
+            det = a * (e * i - f * h) - b * (d * i - f * p) + c * (d * h - e * p)
+            size = np.abs(det)
+            flat = size < degenerate
+            inverse = np.where(flat, 0.0, 1.0 / np.where(flat, 1.0, det))
+            scaled = {}
+            for k in range(3):
+                for r in range(3):
+                    (a, b), (c, d) = [q for q in range(3) if q != r], [q for q in range(3) if q != k]
+                    minor = j[a][c] * j[b][d] - j[a][d] * j[b][c]
+                    scaled[k, r] = (minor if (k + r) % 2 == 0 else -minor) * inverse
+
+            def slope(v: int, k: int) -> np.ndarray:
+                return scaled[k, 0] * g[0][v] + scaled[k, 1] * g[1][v] + scaled[k, 2] * g[2][v]
+
+            part = weight * size
+            strains = [slope(v, v) for v in range(3)] + [slope(v, k) + slope(k, v) for v, k in shears]
+            volume = volume + part
+            sums = [s + e * part for s, e in zip(sums, strains)]
+            least = size if least is None else np.fmin(least, size)
+        flat = least < degenerate
+        whole = any_null(coords[0]) | any_null(coords[1]) | any_null(coords[2])
+        gone = [any_null(c) & ~flat for c in disp]
+        masks = [whole | gone[v] for v in range(3)] + [whole | gone[v] | gone[k] for v, k in shears]
+        divisor = np.where(flat, 1.0, volume)
+        made = {n: pa.array(np.where(flat, 0.0, s / divisor), mask=mask) for n, s, mask in zip(names, sums, masks)}
+        return {"volume": pa.array(volume, mask=whole)} | made
+
+    return strained

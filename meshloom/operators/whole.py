@@ -82,12 +82,12 @@ def whole_samples(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return cut_between
 
 
-def mesh_places(width: int) -> Callable[[pa.Table], tuple]:
+def mesh_places(width: int | None) -> Callable[[pa.Table], tuple]:
     """A function that numbers the nodes of a table of whole samples, from its columns sample_id, node_id and nodes (of elements; null in
     a node's row).
 
-    It gives the sample's number in a row, samples; which rows are nodes'; their places; a matrix of the first ``width`` places of
-    each element, -1 where it has none; of each place its sample's number and its node.
+    It gives the samples; a row's number of its sample; which rows are nodes'; their places; a matrix of the first ``width`` places of
+    each element (all if None), -1 where it has none; of each place its sample's number and its node.
     """
 
     def numbered(table: pa.Table) -> tuple:
@@ -106,10 +106,11 @@ def mesh_places(width: int) -> Callable[[pa.Table], tuple]:
         place = np.full(len(keys), -1)
         place[known] = seen.indices.to_numpy()
         first, target = place[: own.sum()], place[own.sum() :]
-        if (count == width).all():
-            matrix = target.reshape(-1, width)
+        most = count.max(initial=0) if width is None else width
+        if (count == most).all():
+            matrix = target.reshape(-1, most)
         else:
-            spot = np.arange(width)
+            spot = np.arange(most)
             at = (np.cumsum(count) - count)[:, None] + spot
             held = np.append(target, -1)[np.minimum(at, len(target))]
             matrix = np.where(spot < count[:, None], held, -1)

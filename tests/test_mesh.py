@@ -408,3 +408,35 @@ def test_graph_of_small_samples_equals_the_joins(spark, monkeypatch):
         assert want == sorted(map(repr, topology.build_graph(elements, nodes).collect()))
     monkeypatch.setattr(whole, "SWEPT_ROWS", 2)  # too large to be taken whole
     assert want == sorted(map(repr, topology.build_graph(elements, nodes).collect()))
+
+
+def test_strains_of_small_samples_equal_the_joins(spark):
+    """Flat and repeated elements, repeated nodes, elements that lack nodes or hold eleven, null coordinates, displacements and keys."""
+    rng = random.Random(11)
+    point = lambda: [rng.uniform(-1, 1) for _ in range(6)]
+    rows = [(s, n, *point()) for s in range(4) for n in range(14)] + [(5, n, *point()) for n in [*range(10), 3, 3]]
+    rows += [(6, n, 0.0, 1.0, 2.0, *point()[:3]) for n in range(10)]
+    rows += [(7, n, *(None if (n, k) in ((1, 1), (11, 3)) else v for k, v in enumerate(point()))) for n in range(12)]
+    nodes = spark.createDataFrame(
+        [*rows, (None, 0, *point()), (1, None, *point())],
+        "sample_id long, node_id long, x double, y double, z double, ux double, uy double, uz double",
+    )
+    held = [(s, i, rng.sample(range(14), 10)) for s in range(4) for i in range(3)]
+    held += [(0, 1, held[1][2]), (1, 0, rng.sample(range(14), 10)), (5, 0, list(range(10))), (6, 0, list(range(10)))]
+    held += [(7, 0, list(range(10))), (7, 1, [0, *range(2, 11)]), (7, 2, [0, *range(3, 12)]), (2, 7, [*range(9)]), (2, 8, [*range(11)])]
+    held += [(2, 9, [99, *range(10)]), (3, 9, [*range(9), None]), (3, None, list(range(2, 12))), (None, 0, list(range(10))), (8, 0, [1]), (3, 5, None)]
+    elements = spark.createDataFrame(held, "sample_id long, elem_id long, nodes array<long>").withColumn("tag", F.col("elem_id") % 2)
+    for keep in ([], ["nodes"], ["tag"]):
+        joined = strain.tet10_strains(elements, nodes, keep, 0)
+        made = strain.tet10_strains(elements, nodes, keep)
+        assert joined.columns == made.columns and "MapInArrow" in made._jdf.queryExecution().toString()
+        assert sorted(map(repr, made.collect())) == sorted(map(repr, joined.collect()))
+
+
+def test_solved_elements_are_stored_where_they_lie(spark):
+    solved = derived.solved_elements(spark, "/root/testdata/sf0.001", stored=["von_mises"])
+    keys = derived.mesh_nodes(spark, "/root/testdata/sf0.001").select("sample_id", "node_id")
+    averaged = gather.element_to_node(solved, keys, ["von_mises"])
+    plan = averaged._jdf.queryExecution().executedPlan().toString()
+    # Nothing is solved again, and neither elements nor nodes are moved.
+    assert "MapInArrow" not in plan and "collect_list" not in plan and not [line for line in exchanged(averaged) if "node_id" in line]
