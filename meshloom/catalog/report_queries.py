@@ -12,7 +12,7 @@ from meshloom.config import DEFAULTS
 from meshloom.operators import reports, topology
 from meshloom.operators.gather import element_to_node
 from meshloom.operators.scaling import load_variants, nonzero_fields, zero_fields
-from meshloom.session import store_once
+from meshloom.session import sample_parts, store_once, store_placed
 from meshloom.sources import derived as d
 
 
@@ -185,7 +185,11 @@ FROM s GROUP BY sample_id, z_slice"""))
 def thickness_slice_profile(spark, sf):
     """Stress percentiles and concentration in four z-slices of every mesh."""
     keys = d.mesh_nodes(spark, sf).select("sample_id", "node_id", "z")
-    nodes = element_to_node(d.solved_elements(spark, sf), keys, ["von_mises"])
+    solved = d.solved_elements(spark, sf, stored=["von_mises"])
+    # Read several times, so the averages are stored once, where they lie.
+    nodes = element_to_node(solved, keys, ["von_mises"])
+    parts = sample_parts(spark, d.table(spark, sf, "part").count())
+    nodes = store_placed(nodes, "averages", "sample_id", parts)
     mean = nodes.groupBy("sample_id").agg(F.avg("von_mises").alias("nominal"))
     out = reports.slice_profile(nodes.join(mean, "sample_id"), 4, "nominal")
     return out.select(

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meshloom.catalog import strain_queries, training_queries
+from meshloom.catalog import report_queries, strain_queries, training_queries
 from meshloom.config import Material
 from meshloom.functions.stress import VOIGT
 from meshloom.operators import coherence, contraction, gather, hops, strain, topology, whole
@@ -440,3 +440,10 @@ def test_solved_elements_are_stored_where_they_lie(spark):
     plan = averaged._jdf.queryExecution().executedPlan().toString()
     # Nothing is solved again, and neither elements nor nodes are moved.
     assert "MapInArrow" not in plan and "collect_list" not in plan and not [line for line in exchanged(averaged) if "node_id" in line]
+
+
+def test_slice_profile_solves_its_meshes_once(spark):
+    profile = report_queries.thickness_slice_profile(spark, "/root/testdata/sf0.001")
+    plan = profile._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "explode" not in plan  # of stored averages, read by bucket
+    assert "SelectedBucketsCount" in plan
