@@ -447,3 +447,9 @@ def test_slice_profile_solves_its_meshes_once(spark):
     plan = profile._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" not in plan and "explode" not in plan  # of stored averages, read by bucket
     assert "SelectedBucketsCount" in plan
+
+
+def test_mesh_fields_read_stored_stresses(spark):
+    fields = derived.mesh_fields(spark, "/root/testdata/sf0.001")
+    plan = fields._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "MapInArrow" not in plan and "SelectedBucketsCount" in plan
